@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import licenses, linededup, topk
+from lodestone.llm import huffman, licenses, linededup, packing, topk
+from lodestone.llm.shared import shared_path
+from lodestone.llm.tokens import default_tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -21,13 +27,21 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    huffman.write_token_file(_table(spark, sf_dir, "documents"), path, default_tokenizer(), end_id=2)
+    return huffman.read_token_file(spark, path, with_ids=False)
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_token_file": op8_token_file,
     "op9_exact_top_k": op9_exact_top_k,
 }
 
