@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import huffman, licenses, linededup, packing, topk
+from lodestone.llm import huffman, langid, licenses, linededup, packing, quality, topk
 from lodestone.llm.shared import shared_path
 from lodestone.llm.tokens import default_tokenizer
 
@@ -18,11 +18,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 3, 1))
+    machine = quality.learn(docs.where(~F.col("held_out")).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    scored = quality.score_quality(docs, machine)
+    return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id", 4, 2))
+    profiles = langid.learn_profiles(docs.where(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
@@ -39,7 +52,9 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_token_file": op8_token_file,
     "op9_exact_top_k": op9_exact_top_k,
