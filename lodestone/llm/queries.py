@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chatformat, huffman, langid, licenses, linededup, packing, quality, topk
+from lodestone.llm import chatformat, decontam, huffman, langid, licenses, linededup, packing, quality, topk
 from lodestone.llm.shared import shared_path
 from lodestone.llm.tokens import default_tokenizer
 
@@ -18,6 +18,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=0)
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 3, 1))
     machine = quality.learn(docs.where(~F.col("held_out")).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
@@ -64,6 +69,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
