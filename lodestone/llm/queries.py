@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chatformat, decontam, huffman, langid, licenses, linededup, packing, quality, topk
+from lodestone.llm import chatformat, decontam, huffman, jaccard, langid, licenses, linededup, packing, quality, topk
 from lodestone.llm.shared import shared_path
 from lodestone.llm.tokens import default_tokenizer
 
@@ -67,6 +67,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -77,6 +81,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_token_file": op8_token_file,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL = {
