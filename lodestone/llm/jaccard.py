@@ -226,8 +226,8 @@ def _blocks(large: DataFrame, threshold: float) -> DataFrame:
         seen = np.zeros(int(local.max()) + 1, dtype=bool)
         by = np.argsort(left, kind="stable")
         left, right = left[by], right[by]
-        cuts = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1]))) if len(left) else []
-        for c, d in zip(cuts, [*cuts[1:], len(left)], strict=True):
+        cuts = np.flatnonzero(np.diff(left, prepend=-1)).tolist()
+        for c, d in zip(cuts, [*cuts[1:], len(left)], strict=False):
             k = int(left[c])
             seen[own[k]] = True
             for m in right[c:d].tolist():
