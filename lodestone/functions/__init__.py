@@ -1 +1 @@
-
+"""Column expressions: strings, scores, dates, hashes, globs, labels."""

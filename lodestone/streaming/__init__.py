@@ -1 +1 @@
-
+"""Structured Streaming: windows over events and keyed state."""
