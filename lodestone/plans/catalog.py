@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestone.plans import ledger, relations  # noqa: E402, F401
+from lodestone.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
