@@ -233,7 +233,7 @@ def layer_faults(edges: DataFrame, layers: DataFrame, allowed: DataFrame) -> Dat
     many = nodes.where("n > 1").select(F.lit("ambiguous").alias("fault"), F.col("node").alias("source"), F.lit(None).cast("string").alias("target"))
     one = n.where("n = 1")
     across = edges.join(one.select(F.col("node").alias("source"), F.col("layer").alias("from_layer")), "source").join(one.select(F.col("node").alias("target"), F.col("layer").alias("to_layer")), "target").where("from_layer <> to_layer")
-    bad = across.join(allowed, ["from_layer", "to_layer"], "left_anti").select(F.lit("not_allowed").alias("fault"), "source", "target")
+    bad = across.join(allowed, ["from_layer", "to_layer"], "left_anti").select(F.lit("not_allowed").alias("fault"), "source", F.col("target").cast("string").alias("target"))
     return none.unionByName(many).unionByName(bad)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.tables import Tables
 
-AS_OF = "1998-12-01 00:00:00"
+AS_OF = "2001-12-01 00:00:00"
 
 
 def modules(t: Tables) -> DataFrame:
