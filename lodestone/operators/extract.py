@@ -81,16 +81,20 @@ def markdown_links(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def script_imports(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, target`` of JavaScript and TypeScript imports and requires, comments left out."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)/\*.*?\*/|(?m)^\s*//.*$", "")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s:/\*.*?\*/)|(?m:^\s*//[^\n]*$)", "")
     found = F.regexp_extract_all(bare, F.lit(r"""(?:from|import|require\()\s*['"]([^'"]+)['"]"""), F.lit(1))
     return df.select(key, F.explode(F.array_distinct(found)).alias("target"))
 
 
 def script_symbols(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, kind, name`` of classes, functions and arrow constants."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)/\*.*?\*/|(?m)^\s*//.*$", "")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s:/\*.*?\*/)|(?m:^\s*//[^\n]*$)", "")
     kinds = {"class": r"\bclass\s+([A-Za-z_$][\w$]*)", "function": r"\bfunction\s+([A-Za-z_$][\w$]*)", "arrow": r"\bconst\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>"}
-    all_ = F.concat(*[F.transform(F.regexp_extract_all(bare, F.lit(p), F.lit(1)), lambda n, k=k: F.struct(F.lit(k).alias("kind"), n.alias("name"))) for k, p in kinds.items()])
+
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(bare, F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    all_ = F.concat(*[named(k, p) for k, p in kinds.items()])
     return df.select(key, F.explode(all_).alias("s")).select(key, "s.kind", "s.name")
 
 

@@ -1,0 +1,321 @@
+from __future__ import annotations
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.operators import extract, graph, paging, queue, rules, temporal, windows
+from lodestone.operators import relational as rel
+from lodestone.sources import files
+from lodestone.sources.versioned import VersionedTable
+
+
+def pairs(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+# ---- graphs
+
+
+def closure(edges):
+    nodes = {n for e in edges for n in e}
+    out = {n: set() for n in nodes}
+    for n in nodes:
+        todo = [n]
+        while todo:
+            for a, b in edges:
+                if a == todo[-1] and b not in out[n]:
+                    out[n].add(b)
+                    todo.insert(0, b)
+            todo.pop()
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_against_closure(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(20)}
+    reached = closure(edges)
+    want = {}
+    for n in reached:
+        same = {m for m in reached[n] if m != n and n in reached[m]}
+        if same:
+            want[n] = min(same | {n})
+    got = dict(pairs(graph.strongly_connected(graph.session_graph(spark, edges)), "node", "component"))
+    assert got == want
+
+
+def test_cycle_of_one_and_no_edges(spark):
+    assert graph.strongly_connected(graph.session_graph(spark, [(1, 1), (1, 2)])).count() == 0
+    assert graph.strongly_connected(graph.session_graph(spark, [])).count() == 0
+
+
+def test_reach_stops_on_cycles(spark):
+    e = graph.session_graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
+    start = spark.createDataFrame([(1,)], "node long")
+    assert pairs(graph.reach(e, start), "node", "distance") == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert pairs(graph.reach(e, start, depth=1), "node", "distance") == [(1, 0), (2, 1)]
+    assert [r["node"] for r in graph.dependants(e, spark.createDataFrame([(4,)], "node long"), limit=2).collect()] == [3, 2]
+
+
+def test_degrees_differ(spark):
+    e = spark.createDataFrame([(1, 2), (1, 2), (1, None), (3, 2)], "source long, target long")
+    assert pairs(graph.degree_all(e), "node", "fan_in", "fan_out") == [(1, 0, 3), (2, 3, 0), (3, 0, 1)]
+    assert pairs(graph.degree_internal(e), "node", "fan_in", "fan_out") == [(1, 0, 2), (2, 3, 0), (3, 0, 1)]
+    assert pairs(graph.degree_distinct(e), "node", "fan_in", "fan_out") == [(1, 0, 1), (2, 2, 0), (3, 0, 1)]
+
+
+def test_hub_is_not_passed(spark):
+    e = graph.session_graph(spark, [(0, 1), (1, 2), *[(1, n) for n in range(3, 9)]])
+    assert pairs(graph.expand(e, spark.createDataFrame([(0,)], "node long"), depth=2, hub=4), "node", "distance") == [(0, 0), (1, 1)]
+
+
+def test_tree_with_virtual_parent_and_cycle(spark):
+    g = spark.createDataFrame([("a", "top"), ("b", "a"), ("x", "y"), ("y", "x")], "name string, parent string")
+    d = spark.createDataFrame([("a", 1), ("b", 2), ("x", 4), ("y", 8)], "name string, loc long")
+    assert dict(pairs(graph.rollup_tree(g, d, ["loc"]), "name", "total_loc")) == {"a": 3, "b": 2, "top": 3, "x": 12, "y": 12}
+    assert dict(pairs(graph.root_of(graph.with_virtual_parents(g).where("name in ('a', 'b', 'top')")), "name", "root")) == {"a": "top", "b": "top", "top": "top"}
+
+
+def test_layers(spark):
+    e = graph.session_graph(spark, [(1, 2), (2, 1), (3, 1)])
+    layers = spark.createDataFrame([(1, "low"), (2, "high")], "node long, layer string")
+    allowed = spark.createDataFrame([("high", "low")], "from_layer string, to_layer string")
+    assert pairs(graph.layer_faults(e, layers, allowed), "fault", "source") == [("not_allowed", 1), ("unclassified", 3)]
+
+
+# ---- relational and temporal
+
+
+def test_diff_and_replay(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k long, v string")
+    b = spark.createDataFrame([(2, None), (3, "y"), (4, "w")], "k long, v string")
+    assert pairs(rel.diff_frames(a, b, ["k"], ["v"]), "k", "change_kind") == [(1, "delete"), (3, "change"), (4, "add")]
+    base = a.select("k", F.lit(0).alias("seq"), F.lit("add").alias("kind"), "v")
+    deltas = base.unionByName(temporal.delta_encode(a, b, ["k"], ["v"], 1))
+    assert temporal.as_of(deltas, ["k"], 1).select("k", "v").exceptAll(b).count() == 0
+    assert temporal.as_of(deltas, ["k"], 0).select("k", "v").exceptAll(a).count() == 0
+
+
+def test_checkpoints(spark):
+    assert [temporal.checkpoint_before(n) for n in (0, 14, 15, 30, 31, 32)] == [None, None, 15, 15, 31, 31]
+    deltas = spark.createDataFrame([(n % 3, n, "delete" if n % 7 == 6 else "change", n * 10) for n in range(33)], "k long, seq int, kind string, v long")
+    direct, base = temporal.as_of(deltas, ["k"], 32), temporal.as_of(deltas, ["k"], 31)
+    assert temporal.parity(direct, temporal.as_of(deltas, ["k"], 32, base, 31), ["k", "seq", "v"]).first()["equal"]
+    assert not temporal.parity(direct, base, ["k", "seq", "v"]).first()["equal"]
+
+
+def test_lineage(spark):
+    s = spark.createDataFrame([(1, None, 0, 1), (2, 1, 1, 1), (3, 9, 2, 1), (4, 2, 5, 1), (5, 1, 1, 2)], "id long, base long, seq int, repository long")
+    assert pairs(temporal.lineage_faults(s), "id", "fault") == [(3, "missing_base"), (4, "not_monotone"), (5, "foreign_base")]
+
+
+def test_invalidation_and_carry(spark):
+    tokens = spark.createDataFrame([(1, "pkg.core"), (2, "other"), (3, "core")], "k long, token string")
+    hit = temporal.invalidated(tokens, spark.createDataFrame([("core",)], "token string"), "k", "token")
+    assert pairs(hit, "k") == [(1,), (3,)]
+    old, new = graph.session_graph(spark, [(1, 9), (2, 9)]), graph.session_graph(spark, [(1, 8), (2, 8)])
+    assert pairs(temporal.carry_forward(old, new, hit.select(F.col("k").alias("source"))), "source", "target") == [(1, 8), (2, 9)]
+
+
+def test_integrity(spark):
+    df = spark.createDataFrame([(1,), (1,), (None,)], "k long")
+    with pytest.raises(ValueError, match="not unique"):
+        rel.assert_unique(df, ["k"])
+    with pytest.raises(ValueError, match="no fact"):
+        rel.lookup_all(df.dropna(), spark.createDataFrame([(2,)], "k long"), "k")
+    assert rel.orphans(df, ["k"], spark.createDataFrame([(2,)], "k long")).count() == 2
+
+
+# ---- windows and pages
+
+
+@pytest.mark.parametrize("n, limit", [(10, 4), (33, 8), (3, 8), (7, 1), (7, 0), (100, 13)])
+def test_even_sample(spark, n, limit):
+    got = [r["id"] for r in windows.even_sample(spark.range(n), ["id"], limit).orderBy("id").collect()]
+    assert got == windows._spread(list(range(n)), limit)
+
+
+def test_representative():
+    revs = [{"sha": str(n), "month": f"2020-{n // 4:02}", "tagged": n == 5, "paths": ["schema.sql"] if n == 9 else []} for n in range(24)]
+    got = windows.representative(revs, 8)
+    assert len(got) == 8 and {"0", "23", "5", "9"} <= set(got) and got == sorted(got, key=int)
+
+
+def test_greedy_batches(spark):
+    rng = random.Random(3)
+    sizes = [(k, n, rng.randrange(1, 60)) for k in ("a", "b") for n in range(40)]
+    got = pairs(windows.size_batches(spark.createDataFrame(sizes, "k string, n long, s long"), "k", "n", "s", 100), "k", "n", "batch")
+    want, total = [], {}
+    for k, n, s in sizes:
+        batch, t = total.get(k, (0, 0))
+        batch, t = (batch + 1, s) if t and t + s > 100 else (batch, t + s)
+        total[k] = (batch, t)
+        want.append((k, n, batch))
+    assert got == sorted(want)
+
+
+def test_diversity(spark):
+    rows = [("q", n, n, "f" if n < 5 else f"f{n}", "g" if n < 9 else f"g{n}") for n in range(12)]
+    got = [r["node"] for r in windows.diversity_select(spark.createDataFrame(rows, "language string, rank long, node long, folder string, grp string"), "language", 9).orderBy("place").collect()]
+    assert got == [0, 1, 5, 6, 7, 9, 10, 11, 2]
+
+
+def test_pages_are_disjoint_and_complete(spark):
+    df = spark.createDataFrame([(n % 5, f"p{n:03}") for n in range(57)], "score int, path string")
+    keys, cursor, seen = [("score", True), ("path", False)], None, []
+    while True:
+        page = paging.read_page(df, keys, 20, cursor, view="all")
+        assert page.total == 57
+        seen += [r["path"] for r in page.rows]
+        cursor = page.cursor
+        if not cursor:
+            break
+    assert seen == [r["path"] for r in df.orderBy(F.col("score").desc(), "path").collect()]
+
+
+def test_page_budget_and_bad_cursors(spark):
+    df = spark.createDataFrame([(n, "x" * 300) for n in range(30)], "n int, t string")
+    page = paging.read_page(df, [("n", False)], 20, budget=2000)
+    assert len(json.dumps(page.rows).encode()) <= 2000 and page.omitted == 20 - len(page.rows)
+    with pytest.raises(ValueError, match="another query"):
+        paging.read_page(df, [("n", False)], 20, page.cursor, view="other")
+    for bad in (lambda: paging.read_page(df, [("n", False)], 201), lambda: paging.read_page(df, [("n", False)], 5, "???"), lambda: paging.read_page(df, [("n", False)], 5, budget=10)):
+        with pytest.raises(ValueError):
+            bad()
+    assert paging.statuses(["Active", "new", "dismissed"]) == [*paging.ACTIVE, "dismissed"] and paging.statuses(["all"]) == []
+
+
+# ---- rules and queues
+
+
+def test_lifecycle(spark):
+    stored = spark.createDataFrame([(k, s, 1, 1, None) for k, s in (("a", "new"), ("b", "resolved"), ("c", "dismissed"), ("d", "planned"), ("e", "dismissed"), ("f", "resolved"))], "stable_key string, status string, first_snapshot long, last_snapshot long, resolved_at timestamp")
+    seen = spark.createDataFrame([("a",), ("b",), ("c",), ("n",)], "stable_key string")
+    got = {r["stable_key"]: (r["status"], r["last_snapshot"], r["resolved_at"] is not None) for r in rules.lifecycle(stored, seen, 2, "2026-01-01").collect()}
+    assert got == {"a": ("new", 2, False), "b": ("regressed", 2, False), "c": ("dismissed", 2, False), "n": ("new", 2, False), "d": ("resolved", 1, True), "e": ("dismissed", 1, False), "f": ("resolved", 1, False)}
+    assert rules.set_status(stored, "a", "resolved", "2026-01-01").where("stable_key = 'a' and resolved_at is not null").count() == 1
+    with pytest.raises(ValueError):
+        rules.set_status(stored, "a", "odd", "2026-01-01")
+
+
+def test_dead_code_is_suppressed(spark):
+    modules = spark.createDataFrame([(1, "a/x.py", "source"), (2, "a/main.py", "source"), (3, "a/y.py", "source")], "node long, path string, kind string")
+    changes = spark.createDataFrame([(n, "2020-01-01 00:00:00") for n in (1, 2, 3)], "node long, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    schema = "source long, target long, status string, candidates array<string>"
+    good = spark.createDataFrame([(2, 3, "resolved_internal", [])], schema)
+    weak = spark.createDataFrame([(2, 3, "resolved_internal", []), (2, None, "unresolved_internal", [])], schema)
+    assert pairs(rules.dead_code(modules, good, changes, "2021-01-01"), "subject", "confidence") == [("a/x.py", 0.75)]
+    assert rules.dead_code(modules, weak, changes, "2021-01-01").count() == 0
+
+
+def test_rules_merge():
+    got = rules.configured([{"id": "max_fan_out", "max": 3}, {"id": "own", "type": "max_fan_in", "max": 1}])
+    assert [r["max"] for r in got if r["id"] in ("max_fan_out", "own")] == [3, 1] and len(got) == len(rules.DEFAULTS) + 1
+
+
+@pytest.fixture()
+def jobs(spark):
+    rows = [(1, "s1", "pending", 5, 0, 3, "h1", 2.0, None, None, None, None), (2, "s2", "pending", 9, 0, 3, "h2", 2.0, None, None, None, None), (3, "s3", "running", 1, 3, 3, "h3", 1.0, None, None, "2026-01-01 00:00:00", None), (4, "s4", "completed", 1, 1, 3, "h4", 1.0, 3.0, None, None, "2026-01-02 05:00:00")]
+    df = spark.createDataFrame(rows, "id long, scope string, status string, priority int, attempts int, max_attempts int, input_hash string, estimated_cost double, actual_cost double, available_at string, lease_expires_at string, completed_at string")
+    return df.select("*", *[]).withColumns({c: F.col(c).cast("timestamp") for c in ("available_at", "lease_expires_at", "completed_at")})
+
+
+def test_queue(spark, jobs):
+    now, today = "2026-01-02 06:00:00", "2026-01-02"
+    assert queue.spent(jobs, today).first()["spent"] == 4.0
+    state = lambda df: {r["id"]: r["status"] for r in df.collect()}
+    assert state(queue.claim_within(jobs, 4, None, now, today))[2] == "running"
+    assert state(queue.claim_within(jobs, 4, 5.0, now, today)) == state(jobs)
+    assert state(queue.expire_leases(jobs, now))[3] == "failed"
+    failed = queue.fail(jobs, spark.createDataFrame([(2,)], "id long"), now)
+    assert failed.where("id = 2").first()["status"] == "retry"
+    assert [r["id"] for r in queue.claim(failed, 5, now).collect()] == [1]
+    assert state(queue.supersede(jobs, spark.createDataFrame([("s1", "new")], "scope string, input_hash string")))[1] == "superseded"
+
+
+def test_readiness(spark):
+    modules = lambda *s: spark.createDataFrame([(x,) for x in s], "state string")
+    scopes = spark.createDataFrame([("repository", "current")], "scope string, state string")
+    assert queue.readiness(modules("current", "excluded"), scopes).first()["ready"]
+    assert not queue.readiness(modules("current", "pending_context"), scopes).first()["ready"]
+
+
+def test_reduce_tree(spark):
+    got = queue.reduce_tree(spark.range(50).select(F.lit("k").alias("k"), "id", F.col("id").alias("v")), "k", "id", "v", 4)
+    assert [(r["level"], r["n"], r["total"]) for r in got.where("part = 0").orderBy("level").collect()][-1] == (2, 50, 1225.0)
+
+
+# ---- extraction and sources
+
+
+def test_python_facts():
+    text = '"""Doc line.\nmore"""\nimport os\nfrom .a import b as c\n\nclass K(Base):\n    def _f(self, x):\n        "doc"\n        return g(x) if x and x > 1 else 0\n'
+    f = extract.python_facts(text)
+    assert f["summary"] == "Doc line." and f["bases"] == ["Base"] and f["calls"] == ["g"]
+    assert [(i["module"], i["name"]) for i in f["imports"]] == [("os", None), (".a", "b")]
+    assert [(s["kind"], s["name"], s["visibility"], s["complexity"]) for s in f["symbols"]] == [("class", "K", "public", 3), ("function", "_f", "private", 3)]
+    assert f["structural_hash"] == extract.python_facts(text.replace("Doc line.", "Other.") + "# note\n")["structural_hash"]
+    assert extract.python_facts("def (")["parse_error"] == "SyntaxError" and extract.python_facts(None)["symbols"] == []
+
+
+def test_script_facts(spark):
+    df = spark.createDataFrame([("w", "// import 'no'\nimport {a} from './b';\nconst r = require('c');\nexport class K {}\nfunction f() {}\nconst g = async (x) => x\n")], "k string, text string")
+    assert pairs(extract.script_imports(df, "k"), "target") == [("./b",), ("c",)]
+    assert pairs(extract.script_symbols(df, "k"), "kind", "name") == [("arrow", "g"), ("class", "K"), ("function", "f")]
+
+
+def test_tree_and_languages(spark, tmp_path):
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg/core.py").write_text("x = 1\n# c\n")
+    (tmp_path / "pkg/blob.py").write_bytes(b"a\0b")
+    (tmp_path / "pkg/big.py").write_text("x" * 2000)
+    (tmp_path / "README.md").write_text("[l](pkg/core.py)")
+    (tmp_path / "ignored").mkdir()
+    (tmp_path / "ignored/s.py").write_text("")
+    df = files.tree(spark, str(tmp_path), ignore=["ignored/**"], max_bytes=1000)
+    kinds = df.select("path", extract.language("path").alias("l")).withColumn("a", extract.artifact_type("path", F.col("l")))
+    assert pairs(kinds, "path", "l", "a") == [("README.md", "markdown", "documentation"), ("pkg/core.py", "python", "source")]
+    assert pairs(extract.line_facts(df), "path", "lines_of_code", "comment_lines") == [("README.md", 1, 0), ("pkg/core.py", 1, 1)]
+    assert pairs(extract.markdown_links(df, "path"), "target") == [("pkg/core.py",)]
+
+
+def test_reports(spark, tmp_path):
+    (tmp_path / "c.xml").write_text('<coverage><packages><package><classes><class filename="pkg/a.py" line-rate="0.5" branch-rate="0.25"><lines><line number="1" hits="1"/><line number="2" hits="0"/></lines></class></classes></package></packages></coverage>')
+    (tmp_path / "l.info").write_text("SF:pkg\\b.py\nLF:4\nLH:3\nBRF:2\nBRH:1\nend_of_record\nSF:c.py\nLF:0\nLH:0\nend_of_record\n")
+    assert pairs(files.cobertura(spark, str(tmp_path / "c.xml")), "path", "line_rate", "total_lines", "covered_lines") == [("pkg/a.py", 0.5, 2, 1)]
+    assert [tuple(r) for r in files.lcov(spark, str(tmp_path / "l.info")).orderBy("path").select("path", "line_rate", "branch_rate").collect()] == [("c.py", None, None), ("pkg/b.py", 0.75, 0.5)]
+
+
+def test_logs(spark, tmp_path):
+    (tmp_path / "log").write_text("\x1eaa\x1f2020-01-01T00:00:00Z\x1fme\x1fone\n1\t2\ta.py\n-\t-\tb.png\n\x1ebb\x1fbad\x1fme\x1ftwo\n")
+    assert pairs(files.change_log(spark, str(tmp_path / "log")).fillna(-1), "sha", "path", "additions") == [("aa", "a.py", 1), ("aa", "b.png", -1)]
+    (tmp_path / "status").write_text("M\ta.py\nR087\tx.py\ty.py\nD\tz.py\nA\tn.py\n")
+    assert {r["kind"]: (r["similarity"], r["old_path"], r["path"]) for r in files.tree_changes(spark, str(tmp_path / "status")).collect()} == {"M": (None, "a.py", "a.py"), "R": (87, "x.py", "y.py"), "D": (None, "z.py", None), "A": (None, None, "n.py")}
+    (tmp_path / "refs").write_text("aa refs/tags/v1\nbb refs/heads/main\n")
+    assert pairs(files.refs(spark, str(tmp_path / "refs")), "kind", "name") == [("branch", "main"), ("tag", "v1")]
+
+
+def test_policy():
+    with pytest.raises(ValueError, match="given twice"):
+        files.policy("groups: [{name: a}, {name: a}]")
+    assert files.policy("ignore: [x]")["groups"] == []
+    with pytest.raises(ValueError):
+        files.registry("repositories: [{name: a, path: x}, {name: b, path: x}]")
+
+
+def test_versioned_table(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    row = lambda *r: spark.createDataFrame(list(r), "k long, v string, n int")
+    assert t.version() is None
+    t.append(row((1, "a", 1), (2, "b", 1)))
+    t.upsert(row((2, "c", 2), (3, "d", 2)), ["k"])
+    assert pairs(t.read(), "k", "v") == [(1, "a"), (2, "c"), (3, "d")]
+    t.insert_absent(row((1, "z", 3), (4, "e", 3)), ["k"])
+    t.replace(row((4, "f", 9)), ["k"], "n")
+    assert pairs(t.read(), "k", "v") == [(1, "a"), (2, "c"), (3, "d"), (4, "f")]
+    assert t.manifest(["k", "v"]).first()["n_rows"] == 4
+    t.restore(1)
+    assert t.version() == 5 and pairs(t.read(), "k", "v") == [(1, "a"), (2, "b")]
