@@ -51,7 +51,7 @@ def ngrams(text: str) -> np.ndarray:
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     codes = np.sort(codes)
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
     return codes[first], np.diff(np.append(first, len(codes)))
 
 

@@ -107,8 +107,6 @@ class ByteBpe:
         return np.concatenate(flat), np.concatenate(sizes)[np.argsort(order)], order
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_ENTRIES:
-            self._forget()
         flat, sizes, order = self._encode_words(words)
         ends = np.cumsum(sizes[order])
         first = np.empty(len(words), np.int64)
@@ -140,12 +138,10 @@ class ByteBpe:
         if missing:
             at = np.full(len(distinct), -1, np.int64)
             at[codes[::-1]] = np.arange(len(codes))[::-1]  # a place where each stands
-            before = len(self.memo)
-            words = [joined[starts[at[i]] : starts[at[i]] + sizes[at[i]]] for i in missing]
-            self._learn(distinct[missing], words)
-            if len(self.memo) < before + len(missing):  # the memo began anew
-                gone = [i for i, h in enumerate(distinct.tolist()) if h not in self.memo]
-                self._learn(distinct[gone], [joined[starts[at[i]] : starts[at[i]] + sizes[at[i]]] for i in gone])
+            if len(self.memo) + len(missing) > MEMO_ENTRIES:  # it begins anew with what this chunk holds
+                self._forget()
+                missing, look = list(range(len(distinct))), self.memo.get
+            self._learn(distinct[missing], [joined[starts[at[i]] : starts[at[i]] + sizes[at[i]]] for i in missing])
             slots = [look(h) for h in distinct.tolist()]
         slot = np.array(slots, dtype=np.int64)[codes]
         size, first = self.size[slot], self.first[slot]
