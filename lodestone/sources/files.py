@@ -9,25 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.exprs import included, normalised_path
+from lodestone.sources.treesource import TreeSource
 
 
 def tree(spark: SparkSession, root: str, include: Sequence[str] = (), ignore: Sequence[str] = (), max_bytes: int = 1_000_000) -> DataFrame:
     """``path, size, raw_hash, text`` of analysable files below a folder.
 
-    Too large and binary files (a NUL in the first 8192 bytes) and those the policy keeps out are left out before their
-    content is decoded; Spark lists no hidden files and follows no links out of the folder's file system."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
-    base = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    relative = F.regexp_replace(base, "^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    named = files.select(relative.alias("path"), F.col("length").alias("size"), "content").where(included("path", include, ignore))
+    Too large and binary files (a NUL in the first 8192 bytes) and those the policy keeps out are left out."""
+    spark.dataSource.register(TreeSource)
+    found = spark.read.format("sourcetree").option("maxBytes", max_bytes).load(root)
+    named = found.where(F.col("content").isNotNull() & included("path", include, ignore)).select("path", F.col("length").alias("size"), "content")
     binary = F.contains(F.substring("content", 1, 8192), F.lit(b"\x00"))
     return named.where(~binary).select("path", "size", F.sha2("content", 256).alias("raw_hash"), F.call_function("decode", "content", F.lit("UTF-8")).alias("text"))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
-
-
 def change_log(spark: SparkSession, path: str) -> DataFrame:
     """``sha, at, author, subject, path, additions, deletions`` of a log whose records start with 0x1E, whose
     header fields are split by 0x1F, and whose other lines are ``additions TAB deletions TAB path`` (``-``: binary)."""
