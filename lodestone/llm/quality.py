@@ -25,7 +25,7 @@ WORD_SLOTS = 1 << 12
 LEVELS = 16
 RANK = 8
 FIT_ROWS = 12_000
-STATISTICS = ("chars", "words", "word_length", "line_length", "letters", "upper", "digits", "blanks", "marks", "rare_marks", "same_words", "same_lines")
+STATISTICS = ("chars", "words", "word_length", "line_length", "letters", "upper", "digits", "blanks", "marks", "rare_marks", "same_words", "same_lines", "words_twice")
 SLOTS = WORD_SLOTS + len(STATISTICS) * LEVELS
 _MARKS = np.zeros(256, dtype=np.uint8)
 for _c in b".,;:!?'\"-()":
@@ -45,7 +45,7 @@ def statistics(text: str, words: np.ndarray) -> np.ndarray:
     return np.array([
         min(np.log1p(len(raw)) / 14, 1), min(np.log1p(len(words)) / 12, 1), min(n / w / 32, 1), min(np.log1p(n / len(lines)) / 10, 1),
         (upper + lower + wide) / n, upper / max(upper + lower, 1), count[48:58].sum() / n, (count[32] + count[10] + count[9]) / n,
-        min(kinds[1] / w, 1), min(kinds[2] / w, 1), 1 - len(np.unique(words)) / w, 1 - len(set(lines)) / len(lines),
+        min(kinds[1] / w, 1), min(kinds[2] / w, 1), 1 - len(np.unique(words)) / w, 1 - len(set(lines)) / len(lines), (words[1:] == words[:-1]).sum() / w,
     ])
 
 
