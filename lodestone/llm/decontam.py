@@ -97,7 +97,7 @@ def tile(doc_at: np.ndarray, item_at: np.ndarray, seed: int = SEED) -> list[tupl
     return tiles
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.6, seed: int = SEED) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.5, seed: int = SEED) -> DataFrame:
     """One row per leaked pair: ``doc_id, item_id, item_words, covered_words, coverage, tiles`` (an
     array of ``doc_word, item_word, words``).
 
@@ -133,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.select(F.col("_doc").alias("doc_id"), F.col("_item").alias("item_id"), "b.item_words", "b.covered_words", "b.coverage", "b.tiles")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.6) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose id has no leaked item, with all their columns; null ids stay."""
     leaked = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, min_coverage).select(F.col("doc_id").alias("_leaked")).distinct()
     return docs.join(leaked, F.col(id_col) == F.col("_leaked"), "left_anti")
