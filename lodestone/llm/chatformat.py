@@ -74,10 +74,11 @@ class Tree:
             n += 1
         return n
 
-    def add(self, conv_id, turns: list[tuple[str, str]], coded: list[tuple[np.ndarray, np.ndarray, np.ndarray]], train: str) -> None:
+    def add(self, conv_id, turns: list[tuple[str, str]], coded: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]], train: str) -> None:
         n = self.shared(turns)
         del self.path[n:]
-        for turn, (head, body, foot) in zip(turns[n:], coded, strict=True):
+        for turn in turns[n:]:
+            head, body, foot = coded[turn]
             parent = self.path[-1] if self.path else -1
             length = len(head) + len(body) + len(foot)
             up = self.segments[parent] if self.path else None
@@ -119,14 +120,13 @@ def format_conversations(turns: DataFrame, tokenizer: str, conv_col: str = "conv
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, tree, n = byte_bpe(tokenizer), Tree(), TaskContext.get().partitionId() << 32
         for b in batches:
-            for conv, turns in zip(b["conv"].tolist(), b["turns"], strict=True):
-                turns = [(t["role"], t["text"]) for t in turns]
+            talks = [[(t["role"], t["text"]) for t in turns] for turns in b["turns"]]
+            coded = _coded(bpe, list(dict.fromkeys(t for turns in talks for t in turns)))  # each turn of a batch once
+            for conv, turns in zip(b["conv"].tolist(), talks, strict=True):
                 fresh = turns[tree.shared(turns) :]
-                coded = _coded(bpe, fresh)
-                if tree.leaves and tree.size + sum(map(len, (x for c in coded for x in c))) > max_tokens:
+                if tree.leaves and tree.size + sum(len(x) for t in fresh for x in coded[t]) > max_tokens:
                     yield tree.row(n)
                     tree, n = Tree(), n + 1
-                    coded = _coded(bpe, turns)
                 tree.add(None if pd.isna(conv) else int(conv), turns, coded, train)
         if tree.leaves:
             yield tree.row(n)
@@ -135,10 +135,11 @@ def format_conversations(turns: DataFrame, tokenizer: str, conv_col: str = "conv
     return dealt.mapInPandas(grow, SEQUENCES)
 
 
-def _coded(bpe, turns: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _coded(bpe, turns: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ids of head, text and end of each turn."""
     parts = [p for role, text in turns for p in (f"{START}{escape_role(role)}\n", escape(text), f"{END}\n")]
     ids = bpe.encode(parts)
-    return list(zip(ids[0::3], ids[1::3], ids[2::3], strict=True))
+    return dict(zip(turns, zip(ids[0::3], ids[1::3], ids[2::3], strict=True), strict=True))
 
 
 @functools.lru_cache(maxsize=2)
