@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import materialise
+
 _BLANKS = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -57,6 +59,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = line_table(docs, id_col, text_col, min_chars)
     hot = lines.groupBy("_line_hash").agg(F.count_distinct("_line_doc").alias("_line_n"), F.max("_line_doc").alias("_line_keep")).where(F.col("_line_n") >= min_docs).drop("_line_n")
+    hot = materialise(hot)  # its own exchange then: a join of a very common line can be split, a small table broadcast
     drops = lines.join(hot, "_line_hash").where("_line_doc <> _line_keep").groupBy("_line_doc").agg(F.collect_set("_line_hash").alias("_line_drops"))
 
     @F.pandas_udf("n_lines long, n_dropped long, kept string")
