@@ -138,15 +138,16 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str,
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text").mapInPandas(run, "part int, before long, n long, docs array<long>, lens array<long>, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_by"))
+    # The second key splits an id that very many rows share.
+    return rows.repartitionByRange("_id", "_by").sortWithinPartitions("_id", "_by").mapInPandas(run, "part int, before long, n long, docs array<long>, lens array<long>, ids binary")
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the token file of ``docs`` to ``path`` (a folder every executor reaches).
 
     Null texts are empty: they have the end id alone (no ids where ``end_id`` is None).  Repeated ids are
-    written one after the other, by text; a null id comes first.  An empty table makes an empty file.
+    written one after the other, by a hash of the text; a null id comes first.  An empty table makes an empty file.
     """
     spark = docs.sparkSession
     held = shared_path(spark, "ids")
