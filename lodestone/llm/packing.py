@@ -22,6 +22,7 @@ from lodestone.llm.shared import materialise
 from lodestone.llm.tokens import byte_bpe
 
 GROUP_SEQUENCES = 16384
+GROUP_PIECES = 1 << 18  # very short pieces make more groups
 TEXTS = 256
 
 
@@ -150,8 +151,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     stays null.  An empty table gives no rows.
     """
     parts = materialise(pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
-    tokens = parts.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-tokens // (capacity * group_sequences)))
+    n = parts.agg(F.sum("length").alias("tokens"), F.count("*").alias("pieces")).first()
+    groups = max(1, -(-(n["tokens"] or 0) // (capacity * group_sequences)), -(-n["pieces"] // GROUP_PIECES))
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].tolist()
