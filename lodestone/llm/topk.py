@@ -93,6 +93,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     n = asks.count()
     parts = []
     blocks = max(1, -(-n // block))
+    asks = asks if blocks == 1 else materialise(asks)
     for at in range(blocks):
         own = asks.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == at).toPandas()
         by_length = {}
