@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark(tmp_path_factory):
     from lodestone.session import session
 
-    s = session("local[4]", 4, spark_driver_memory="4g", spark_checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
+    s = session("local[4]", 2, spark_driver_memory="4g", spark_checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
