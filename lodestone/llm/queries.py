@@ -84,6 +84,30 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+def _licenses_sql() -> str:
+    """The licence scan over word triples instead of hashes."""
+    rows = ", ".join(f"({i}, '{words}', '{label}', {str(i < len(licenses.PHRASES)).lower()})" for i, (words, label) in enumerate((*licenses.PHRASES, *licenses.TEMPLATES)))
+    return f"""
+WITH t(template, words, label, phrase) AS (VALUES {rows}),
+tw AS (SELECT template, label, phrase, string_split(words, ' ') AS w FROM t),
+tg AS (SELECT template, label, phrase, len(w) - 2 AS grams, i AS place, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram
+  FROM (SELECT *, unnest(range(0, len(w) - 2)) AS i FROM tw)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, i AS p, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram FROM (SELECT *, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM d)),
+v AS (SELECT doc_id, template, label, phrase, grams, p - place AS diagonal, p, place FROM g JOIN tg USING (gram)),
+x AS (SELECT doc_id, template, label, phrase, grams, diagonal, count(DISTINCT place) AS held FROM v GROUP BY ALL),
+b AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM x WHERE phrase AND held = grams GROUP BY doc_id),
+y AS (SELECT doc_id, template, diagonal, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.MAX_SHIFT}, false) AS fresh FROM x WHERE NOT phrase),
+z AS (SELECT doc_id, template, diagonal, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM y),
+m AS (SELECT v.doc_id, v.template, label, grams, run, count(DISTINCT place) / grams AS share, max(p) - min(p) + 1 AS reach FROM v JOIN z ON v.doc_id = z.doc_id AND v.template = z.template AND v.diagonal = z.diagonal GROUP BY v.doc_id, v.template, label, grams, run),
+s AS (SELECT doc_id, label, share FROM m WHERE share >= {licenses.MIN_SHARE} AND reach <= 2 * grams),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM s UNION ALL SELECT doc_id, label FROM x WHERE phrase AND held = grams) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN (SELECT doc_id, max(share) AS best FROM s GROUP BY doc_id) q ON d.doc_id = q.doc_id
+"""
+
+
 ORACLE_SQL = {
     "op4_line_dedup": """
 WITH l AS (
@@ -113,6 +137,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\\\*\\|'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """,
+    "op7_license_scan": _licenses_sql(),
     "op9_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
