@@ -55,19 +55,23 @@ def _degrees(sources: DataFrame, targets: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """``node, distance`` of all nodes that a path leads to from ``start`` (a ``node`` column),
     which are at distance 0."""
-    hops = edges.where("target is not null").select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
-    seen = checkpointed(start.select("node").distinct().withColumn("distance", F.lit(0)))
-    frontier, at = seen, 0
+    hops = checkpointed(edges.where("target is not null").select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
+    seen, at = checkpointed(start.select("node").distinct().withColumn("distance", F.lit(0))), 0
     while depth is None or at < depth:
         at += 1
-        fresh = frontier.join(hops, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = checkpointed(fresh.withColumn("distance", F.lit(at)))
-        if frontier.isEmpty():
+        seen = _step(seen, hops, at)
+        if seen.where(F.col("distance") == at).isEmpty():
             break
-        seen = seen.unionByName(frontier)
     return seen
 
 
+def _step(seen: DataFrame, hops: DataFrame, at: int) -> DataFrame:
+    """``seen`` and what one hop from its last ring adds.  The least distance per node is an aggregate over both, so the
+    number of partitions stays as it is, however many hops there are."""
+    fresh = seen.where(F.col("distance") == at - 1).join(hops, "node").select(F.col("next").alias("node"), F.lit(at).alias("distance"))
+    return checkpointed(seen.unionByName(fresh).groupBy("node").agg(F.min("distance").alias("distance")))
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
@@ -94,16 +98,10 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, hub: int = 80) ->
     both = undirected(edges)
     passable = degree_distinct(edges).where(F.col("fan_in") + F.col("fan_out") <= hub).select(F.col("node").alias("source"))
     near = reach(both, seeds, depth=1)
-    if depth < 2:
-        return near
-    calm = both.join(passable, "source", "left_semi")
-    seen, frontier = near, near.where("distance = 1")
+    calm = checkpointed(both.join(passable, "source", "left_semi").select(F.col("source").alias("node"), F.col("target").alias("next"))) if depth > 1 else None
+    seen = near
     for at in range(2, depth + 1):
-        fresh = frontier.select(F.col("node").alias("source")).join(calm, "source").select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = checkpointed(fresh.withColumn("distance", F.lit(at)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+        seen = _step(seen, calm, at)
     return seen
 
 
