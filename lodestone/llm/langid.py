@@ -100,7 +100,8 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     counts = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top).select("lang", "rank", "gram")
+    # A plain bound on the row number lets every task keep its own ``top`` before the shuffle.
+    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("lang", (F.col("place") - 1).alias("rank"), "gram")
 
 
 class Profiles:
