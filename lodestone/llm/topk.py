@@ -23,6 +23,7 @@ from lodestone.llm.shared import materialise
 
 LEVELS = (1, 4, 16)
 ROWS = 2048
+EXACT = 2**53  # doubles hold all whole numbers up to here
 
 
 def _features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -35,6 +36,15 @@ def _features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
+def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as 64-bit integers; larger ones are cut to the largest there is."""
+    if len(x) and np.abs(x).max() * np.abs(q).max() * x.shape[1] >= EXACT:
+        own = [int(c) for c in q.tolist()]
+        most = np.iinfo(np.int64)
+        return np.array([min(max(sum(int(a) * b for a, b in zip(row, own, strict=True)), most.min), most.max) for row in x.tolist()], dtype=np.int64)
+    return np.rint(x @ q).astype(np.int64)
+
+
 class BlockSearch:
     """The best k candidates so far for each query of a block."""
 
@@ -58,7 +68,7 @@ class BlockSearch:
             alive[np.ix_(rows, cols)] &= bound + slack >= self.floor[rows, None]
         for r in rows[alive[rows].any(1)].tolist():
             c = np.flatnonzero(alive[r])
-            score = np.rint(x[c] @ self.q[r]).astype(np.int64)
+            score = _products(x[c], self.q[r])
             all_ = np.concatenate((self.best[r], np.stack((score, ids[c]), 1)))
             all_ = all_[np.lexsort((all_[:, 1], -all_[:, 0]))[: self.k]]
             self.best[r] = all_
@@ -72,11 +82,11 @@ class BlockSearch:
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """``(_id, _v array<int>)``: floor(scale * component), as doubles.  Rows with a null id,
-    a null or empty vector, or null or non-finite components are left out."""
+    """``(_id, _v array<double>)``: floor(scale * component), as doubles (held to 64 bits).  Rows with a
+    null id, a null or empty vector, or null or non-finite components are left out."""
     x = F.col(vector_col).cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select(F.col(id_col).cast("long").alias("_id"), F.transform(x, lambda c: F.floor(c * scale).cast("int")).alias("_v"))
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select(F.col(id_col).cast("long").alias("_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("_v"))
 
 
 def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block: int = 4096) -> DataFrame:
@@ -85,7 +95,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
 
     Rows that ``quantised`` leaves out take no part.  Of rows that share a query's id the
     smallest vector asks, and none of them answers; other repeated rows each may answer.  Only vectors
-    of equal length are compared.  At most ``block`` queries are broadcast at a time.
+    of equal length are compared.  Scores beyond 64 bits are cut to the largest there is.  At most ``block`` queries are broadcast at a time.
     """
     rows = quantised(vectors, id_col, vector_col, scale)
     spark = vectors.sparkSession

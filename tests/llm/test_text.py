@@ -104,6 +104,18 @@ def test_top_k_against_all_pairs(spark):
     assert topk.exact_top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_wide_numbers(spark):
+    vectors = {20: [123456.5, -98765.25], 21: [123456.75, 98765.0], 22: [-7.0, 5.5], 40: [1e30, -1e30], 41: [1e12, 1e12], 42: [1e12, 1e12 + 1]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    near = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    whole = {i: [int(float(near(int(np.floor(1024 * c))))) for c in v] for i, v in vectors.items()}
+    want = []
+    for q in (20, 40):
+        scored = sorted((-near(sum(a * b for a, b in zip(whole[q], x, strict=True))), i) for i, x in whole.items() if i != q)[:4]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, topk.exact_top_k(df, k=4, every=20).collect())) == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(1, 40), st.integers(0, 10**6))
 def test_bounds_hold(n, seed):
