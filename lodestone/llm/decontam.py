@@ -2,7 +2,10 @@
 
 Seeds are runs of ``SEED`` words shared by a document and a benchmark item.  Documents'
 runs pass a bitmap of the benchmark's runs (of fixed size, so that it can be broadcast
-however large the benchmark is), and the rest are joined exactly.  For each pair of document
+however large the benchmark is), and the rest are joined exactly.  An item can only leak where more of its places
+match than some number; so many places, those of the runs that most items share, propose no pairs
+and are looked up for the proposed ones, so that a stem of thousands of items doesn't pair each of them
+with each text that has it.  For each pair of document
 and item with enough shared words, tiles are marked by running Karp-Rabin: the longest
 matches that overlap nothing marked so far, again and again, down to ``SEED`` words.
 An item is leaked where tiles cover at least a share of its words, in whatever order.
@@ -14,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import materialise
 from lodestone.llm.textcore import shingle_hashes, word_hashes
 
 SEED = 5
@@ -97,6 +101,15 @@ def tile(doc_at: np.ndarray, item_at: np.ndarray, seed: int = SEED) -> list[tupl
     return tiles
 
 
+def ranked_places(grams: DataFrame, min_coverage: float, seed: int) -> DataFrame:
+    """``grams`` and ``_common``: true for an item's places of the runs that most items share, one
+    fewer than a leak needs; runs of a single place stay out."""
+    often = grams.groupBy("_run").agg(F.count("*").alias("_often"))
+    rank = F.row_number().over(Window.partitionBy("_item", "_item_text").orderBy(F.col("_often").desc(), "_item_at"))
+    needed = F.ceil(F.col("_item_words") * F.lit(min_coverage) / seed - 1e-9)  # a place covers ``seed`` words at most
+    return grams.join(often, "_run").withColumn("_common", (F.col("_often") > 1) & (rank < needed)).drop("_often")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.5, seed: int = SEED) -> DataFrame:
     """One row per leaked pair: ``doc_id, item_id, item_words, covered_words, coverage, tiles`` (an
     array of ``doc_word, item_word, words``).
@@ -107,12 +120,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_it")).where("_item is not null").dropDuplicates()
     grams = runs(items.withColumn("_item_text", F.xxhash64("_it")), ["_item", "_item_text"], "_it", seed).select("_item", "_item_text", F.col("_words").alias("_item_words"), "_run", F.col("_at").alias("_item_at"))
+    grams = materialise(ranked_places(grams, min_coverage, seed))
     own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_dt")).where("_doc is not null").withColumn("_doc_text", F.xxhash64("_dt"))
     hits = runs(own, ["_doc", "_doc_text"], "_dt", seed, bitmap_of(grams.select("_run"))).drop("_words")
+    hits = materialise(hits.join(grams.select("_run").distinct(), "_run", "left_semi"))
 
     pair = ["_doc", "_doc_text", "_item", "_item_text", "_item_words"]
-    # The least that tiles can cover is known from the distinct places: few pairs pass.
-    places = hits.join(grams, "_run").groupBy(*pair).agg(F.collect_set(F.struct("_at", "_item_at")).alias("_places"))
+    proposed = hits.join(grams.where("not _common"), "_run").select(*pair, "_at", "_item_at")
+    common = grams.where("_common").select("_item", "_item_text", "_run", "_item_at")
+    looked_up = proposed.select(*pair).distinct().join(common, ["_item", "_item_text"]).join(hits, ["_doc", "_doc_text", "_run"]).select(*pair, "_at", "_item_at")
+    # The most that tiles can cover is known from the distinct places: few pairs pass.
+    places = proposed.unionByName(looked_up).groupBy(*pair).agg(F.collect_set(F.struct("_at", "_item_at")).alias("_places"))
     reach = F.aggregate(
         F.array_sort(F.array_distinct(F.transform("_places", lambda p: p["_item_at"]))), F.struct(F.lit(0).alias("n"), F.lit(-1_000_000).alias("last")),
         lambda s, p: F.struct((s["n"] + F.least(F.lit(seed), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"],

@@ -275,6 +275,25 @@ def test_tiles(doc, item, seed):
         assert doc[d : d + n] == item[i : i + n]
 
 
+def test_leaks_of_items_with_common_stems(spark):
+    rng = np.random.default_rng(9)
+    stem = [f"stem{n}" for n in range(8)]
+    items = {n: stem[: n % 9] + [f"w{w}" for w in rng.integers(0, 6, 4 + n % 12)] for n in range(24)}
+    texts = {n: stem + items[n % 24][(n % 5) :] + [f"w{w}" for w in rng.integers(0, 6, 10)] for n in range(40)} | {50: stem, 51: stem * 3}
+    want = set()
+    for d, text in texts.items():
+        for i, item in items.items():
+            covered = brute_tiles(text, item, 3)[0]
+            if covered >= 0.5 * len(item):
+                want.add((d, i, covered))
+    frame = lambda rows, name: spark.createDataFrame([(n, " ".join(t)) for n, t in rows.items()], f"{name} long, text string")
+    got = decontam.contaminated(frame(texts, "doc_id"), frame(items, "item_id"), seed=3)
+    assert sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in got.collect()) == sorted(want)
+    grams = spark.createDataFrame([(1, 1, 30, 7, 0), (1, 1, 30, 8, 1), (1, 1, 30, 9, 2), (1, 1, 30, 6, 3), (2, 2, 30, 7, 0), (2, 2, 30, 5, 1)], "_item long, _item_text long, _item_words int, _run long, _item_at int")
+    ranked = decontam.ranked_places(grams, 0.5, 5)
+    assert sorted((r["_item"], r["_run"]) for r in ranked.where("_common").collect()) == [(1, 7), (2, 7)]
+
+
 def test_leaks(spark, odd, nothing):
     passage = [f"tok{n}" for n in range(40)]
     turned = passage[20:] + passage[:20]
