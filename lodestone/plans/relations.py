@@ -64,15 +64,20 @@ def longest_prefix(t: Tables) -> DataFrame:
     return rel.longest_prefix(names, known, "module", "known").select("module", "known")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part),
-w AS (SELECT p_brand AS name, 0 AS way, count(DISTINCT p_size) AS k, CAST(min(p_size) AS VARCHAR) AS target FROM part WHERE p_retailprice < 910 GROUP BY p_brand
-  UNION ALL SELECT p_type, 1, count(DISTINCT p_brand), min(p_brand) FROM part WHERE p_partkey % 40 = 0 GROUP BY p_type)
+@query("""WITH n AS (SELECT n_name AS name FROM nation UNION SELECT s_name FROM supplier UNION SELECT c_mktsegment FROM customer),
+w AS (SELECT n_name AS name, 0 AS way, count(DISTINCT r_name) AS k, min(r_name) AS target FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_name
+  UNION ALL SELECT s_name, 1, count(DISTINCT n_name), min(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY s_name
+  UNION ALL SELECT c_mktsegment, 2, count(DISTINCT n_name), min(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment)
 SELECT n.name, arg_min(target, way) AS target, CAST(min(way) AS INTEGER) AS way FROM n LEFT JOIN w ON n.name = w.name AND k = 1 GROUP BY n.name""")
 def resolve_target(t: Tables) -> DataFrame:
-    p = t("part", "p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    by_brand = p.where("p_retailprice < 910").select(F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("target"))
-    by_type = p.where("p_partkey % 40 = 0").select(F.col("p_type").alias("name"), F.col("p_brand").alias("target"))
-    return rel.resolve_by_priority(p.select(F.col("p_brand").alias("name")).unionByName(p.select(F.col("p_type").alias("name"))), by_brand, by_type)
+    """Nations by region, suppliers by nation; segments are ambiguous."""
+    n, r = t("nation", "n_nationkey", "n_name", "n_regionkey"), t("region", "r_regionkey", "r_name")
+    s, c = t("supplier", "s_name", "s_nationkey"), t("customer", "c_mktsegment", "c_nationkey")
+    nations = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("target"))
+    suppliers = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("n_name").alias("target"))
+    segments = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("name"), F.col("n_name").alias("target"))
+    names = n.select(F.col("n_name").alias("name")).unionByName(s.select(F.col("s_name").alias("name"))).unionByName(c.select(F.col("c_mktsegment").alias("name")))
+    return rel.resolve_by_priority(names, nations, suppliers, segments)
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages),

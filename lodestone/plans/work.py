@@ -70,13 +70,14 @@ def finding_lifecycle(t: Tables) -> DataFrame:
     return rules.presence_history(e.where("event_type = 'error'").select("user_id", "day"), frames, "user_id", "day")
 
 
-@query("""WITH s AS (SELECT doc_id % 500 AS k, CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'planned' ELSE 'new' END AS status FROM documents WHERE doc_id < 500 AND doc_id % 3 <> 0),
-d AS (SELECT DISTINCT doc_id % 500 AS k FROM labels)
+@query("""WITH s AS (SELECT doc_id AS k, CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'planned' ELSE 'new' END AS status FROM labels),
+d AS (SELECT DISTINCT doc_id AS k FROM documents WHERE n_chars > 1500)
 SELECT CAST(coalesce(s.k, d.k) AS VARCHAR) AS stable_key, CASE WHEN s.status IS NULL THEN 'new' WHEN d.k IS NOT NULL AND status = 'resolved' THEN 'regressed' WHEN d.k IS NULL AND status <> 'dismissed' THEN 'resolved' ELSE status END AS status FROM s FULL JOIN d ON s.k = d.k""")
 def lifecycle_step(t: Tables) -> DataFrame:
+    """Labels as stored findings; the rule that is evaluated finds long documents."""
     status = F.element_at(F.array(*map(F.lit, ("resolved", "dismissed", "planned", "new"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    stored = t("documents", "doc_id").where("doc_id < 500 AND doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("stable_key"), status.alias("status"), F.lit(1).cast("long").alias("first_snapshot"), F.lit(1).cast("long").alias("last_snapshot"), F.lit(None).cast("timestamp").alias("resolved_at"))
-    seen = t("labels", "doc_id").select((F.col("doc_id") % 500).cast("string").alias("stable_key"))
+    stored = t("labels", "doc_id").select(F.col("doc_id").cast("string").alias("stable_key"), status.alias("status"), F.lit(1).cast("long").alias("first_snapshot"), F.lit(1).cast("long").alias("last_snapshot"), F.lit(None).cast("timestamp").alias("resolved_at"))
+    seen = t("documents", "doc_id", "n_chars").where("n_chars > 1500").select(F.col("doc_id").cast("string").alias("stable_key"))
     return rules.lifecycle(stored, seen, 2, "2026-01-01 00:00:00").select("stable_key", "status")
 
 
@@ -142,10 +143,9 @@ def work_priorities(t: Tables) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), work_priority(F.lit(50), F.col("o_totalprice") / 100, F.col("o_custkey") % 300).cast("long").alias("priority"))
 
 
-@query("SELECT doc_id, sha256(list_aggregate(list_sort(list_distinct(list_transform(string_split(substr(text, 1, 60), ' '), lambda x: lower(trim(x))))), 'string_agg', chr(10))) AS fingerprint FROM documents WHERE doc_id % 2 = 0 AND NOT contains(substr(text, 1, 60), chr(10))")
+@query("SELECT doc_id, sha256(list_aggregate(list_sort(list_distinct(list_transform(string_split(text, ' '), lambda x: regexp_replace(lower(trim(x)), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')))), 'string_agg', chr(10))) AS fingerprint FROM documents")
 def intent_fingerprints(t: Tables) -> DataFrame:
-    d = t("documents", "doc_id", "text").withColumn("head", F.substring("text", 1, 60)).where((F.col("doc_id") % 2 == 0) & ~F.contains("head", F.lit("\n")))
-    return d.select("doc_id", intent_fingerprint(F.split("head", " ")).alias("fingerprint"))
+    return t("documents", "doc_id", "text").select("doc_id", intent_fingerprint(F.split("text", " ")).alias("fingerprint"))
 
 
 @query(f"WITH {a.MODULES} SELECT node, split_part(path, '/', 3) AS base, 'm' || CAST(node AS VARCHAR) AS stem, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS parent, regexp_matches(path, '^brand_1') AS in_scope, trim(regexp_replace(lower(language), '[^a-z0-9]+', '-', 'g'), '-') AS slug, 'python' AS detected FROM m")
