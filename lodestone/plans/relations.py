@@ -43,11 +43,11 @@ def suffix_match_unique(t: Tables) -> DataFrame:
     return rel.resolve_unique_suffix(names, a.modules(t).select("path"))
 
 
-@query("""WITH k AS (SELECT DISTINCT p_brand || '.' || CAST(p_size AS VARCHAR) AS path FROM part WHERE p_partkey % 3 = 0),
+@query("""WITH k AS (SELECT DISTINCT p_brand || '.' || CAST(p_size AS VARCHAR) AS path FROM part),
 r AS (SELECT s_suppkey AS id, unnest(['Brand#' || CAST(s_suppkey % 60 AS VARCHAR) || '.' || CAST(s_suppkey % 50 AS VARCHAR), 'Brand#11.' || CAST(s_suppkey % 50 AS VARCHAR), 'Brand#12.' || CAST(s_suppkey % 50 AS VARCHAR), 'Brand#13.1']) AS path, unnest([0, 1, 2, 3]) AS n FROM supplier)
 SELECT s_suppkey AS id, arg_min(path, n) AS resolved, CAST(min(n) AS INTEGER) AS attempt FROM supplier LEFT JOIN (SELECT id, path, n FROM r JOIN k USING (path)) x ON x.id = s_suppkey GROUP BY s_suppkey""")
 def first_candidate(t: Tables) -> DataFrame:
-    known = t("part", "p_partkey", "p_brand", "p_size").where("p_partkey % 3 = 0").select(F.concat("p_brand", F.lit("."), F.col("p_size").cast("string")).alias("path"))
+    known = t("part", "p_brand", "p_size").select(F.concat("p_brand", F.lit("."), F.col("p_size").cast("string")).alias("path"))
     n = F.pmod("id", F.lit(50)).cast("string")
     tries = F.array(F.concat(F.lit("Brand#"), F.pmod("id", F.lit(60)).cast("string"), F.lit("."), n), F.concat(F.lit("Brand#11."), n), F.concat(F.lit("Brand#12."), n), F.lit("Brand#13.1"))
     return rel.first_candidate(t("supplier", "s_suppkey").select(F.col("s_suppkey").alias("id")), tries, known, "id").select("id", "resolved", "attempt")
@@ -183,35 +183,40 @@ def set_ops(t: Tables) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN p.id IS NULL THEN 'new' WHEN d.n_chars = p.raw AND d.lang = p.an THEN 'raw_unchanged' WHEN d.n_chars = p.raw THEN 'analyzer_changed' WHEN d.n_chars % 10 = p.st THEN 'metadata_only' ELSE 'structural_changed' END AS analysis_status
-FROM documents d LEFT JOIN (SELECT doc_id AS id, n_chars + CASE WHEN doc_id % 3 = 0 THEN 10 WHEN doc_id % 3 = 1 THEN 0 ELSE 3 END AS raw, (n_chars + CASE WHEN doc_id % 3 = 0 THEN 10 WHEN doc_id % 3 = 1 THEN 0 ELSE 3 END) % 10 AS st, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END AS an FROM documents WHERE doc_id % 7 <> 0) p ON p.id = d.doc_id""")
+FROM documents d LEFT JOIN (SELECT doc_id AS id, n_chars + CASE WHEN doc_id % 3 = 0 THEN 10 WHEN doc_id % 3 = 1 THEN 0 ELSE 3 END AS raw, (n_chars + CASE WHEN doc_id % 3 = 0 THEN 10 WHEN doc_id % 3 = 1 THEN 0 ELSE 3 END) % 10 AS st, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END AS an FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) p ON p.id = d.doc_id""")
 def incremental_reuse(t: Tables) -> DataFrame:
     d = t("documents", "doc_id", "lang", "n_chars")
     now = d.select("doc_id", F.col("n_chars").alias("raw_hash"), (F.col("n_chars") % 10).alias("structural_hash"), F.col("lang").alias("analyzer"))
     third = F.pmod("doc_id", F.lit(3))
     raw = F.col("n_chars") + F.when(third == 0, 10).when(third == 1, 0).otherwise(3)
-    was = d.where("doc_id % 7 <> 0").select("doc_id", raw.alias("raw_hash"), (raw % 10).alias("structural_hash"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("lang")).alias("analyzer"))
+    was = d.join(t("labels", "doc_id"), "doc_id", "left_semi").select("doc_id", raw.alias("raw_hash"), (raw % 10).alias("structural_hash"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("lang")).alias("analyzer"))
     return temporal.reuse_status(now, was, "doc_id").select("doc_id", "analysis_status")
 
 
-@query(f"""WITH {a.MODULES}, n AS (SELECT node, loc FROM m WHERE node % 11 <> 0), w AS (SELECT node, loc + (node % 3 - 1) * 20 AS loc FROM m WHERE node % 13 <> 0)
+@query(f"""WITH {a.MODULES}, n AS (SELECT node, loc FROM m WHERE kind <> 'documentation'), w AS (SELECT node, loc + (node % 3 - 1) * 20 AS loc FROM m WHERE kind <> 'test')
 SELECT coalesce(n.node, w.node) AS node, w.loc AS baseline, n.loc AS current, CASE WHEN w.loc IS NULL AND n.loc > 600 THEN 'new_violation' WHEN n.loc IS NULL THEN 'stale_baseline' WHEN w.loc IS NULL THEN 'ok' WHEN n.loc > w.loc THEN 'growth' WHEN n.loc < w.loc THEN 'stale_baseline' ELSE 'ok' END AS verdict FROM n FULL JOIN w ON n.node = w.node""")
 def ratchet_diff(t: Tables) -> DataFrame:
-    m = a.modules(t).select("node", "loc")
-    was = m.where("node % 13 <> 0").withColumn("loc", F.col("loc") + (F.pmod("node", F.lit(3)) - 1) * 20)
-    return rel.ratchet(m.where("node % 11 <> 0"), was, "node", "loc", 600)
+    m = a.modules(t).select("node", "loc", "kind")
+    was = m.where("kind <> 'test'").withColumn("loc", F.col("loc") + (F.pmod("node", F.lit(3)) - 1) * 20)
+    return rel.ratchet(m.where("kind <> 'documentation'").drop("kind"), was.drop("kind"), "node", "loc", 600)
 
 
-@query("""WITH x AS (SELECT doc_id, n_chars, source FROM documents WHERE doc_id % 4 = 0), r AS (SELECT doc_id, n_chars + 1 AS n_chars, source FROM documents WHERE doc_id % 6 = 0)
-SELECT * FROM r UNION ALL SELECT * FROM x WHERE doc_id NOT IN (SELECT doc_id FROM r)""")
+@query("""WITH r AS (SELECT doc_id, CAST(0 AS INTEGER) AS quality FROM documents WHERE n_chars > 1500)
+SELECT * FROM r UNION ALL SELECT doc_id, CAST(quality AS INTEGER) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM r)""")
 def upsert_rows(t: Tables) -> DataFrame:
-    d = t("documents", "doc_id", "n_chars", "source")
-    return rel.upsert(d.where("doc_id % 4 = 0"), d.where("doc_id % 6 = 0").withColumn("n_chars", F.col("n_chars") + 1), ["doc_id"])
+    """Long documents are labelled anew."""
+    fresh = t("documents", "doc_id", "n_chars").where("n_chars > 1500").select("doc_id", F.lit(0).alias("quality"))
+    return rel.upsert(_labels(t), fresh, ["doc_id"])
 
 
-@query("""WITH x AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 4 = 0) SELECT * FROM x UNION ALL SELECT doc_id, n_chars + 1 FROM documents WHERE doc_id % 6 = 0 AND doc_id NOT IN (SELECT doc_id FROM x)""")
+@query("""SELECT doc_id, CAST(quality AS INTEGER) AS quality FROM labels UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def insert_absent_rows(t: Tables) -> DataFrame:
-    d = t("documents", "doc_id", "n_chars")
-    return rel.insert_absent(d.where("doc_id % 4 = 0"), d.where("doc_id % 6 = 0").withColumn("n_chars", F.col("n_chars") + 1), ["doc_id"])
+    """Documents without a label get one."""
+    return rel.insert_absent(_labels(t), t("documents", "doc_id").select("doc_id", F.lit(0).alias("quality")), ["doc_id"])
+
+
+def _labels(t: Tables) -> DataFrame:
+    return t("labels", "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("quality"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
