@@ -144,10 +144,17 @@ def contained_pairs(members: DataFrame, pairs: DataFrame, group: str, member: st
     return pairs.select("a", "b").distinct().join(a, "a").join(b, [group, "b"]).groupBy("a", "b").agg(F.count("*").alias("proofs"))
 
 
-def collisions(members: DataFrame, group: str, member: str, sample: int = 10) -> DataFrame:
-    """Pairs of groups that share members: how many, and the first few by name."""
-    own = members.select(F.col(group).alias("left"), member).distinct()
-    both = own.join(own.select(F.col("left").alias("right"), member), member).where("left < right")
+def collisions(members: DataFrame, group: str, member: str, sample: int = 10, block: int = 512) -> DataFrame:
+    """Pairs of groups that share members: how many, and the first few by name.
+
+    The groups of a very common member are dealt to blocks of about ``block``, and each pair of blocks is joined by
+    itself, so no task pairs all groups of one member."""
+    own = members.select(F.col(group).alias("left"), member).where(F.col("left").isNotNull()).distinct()
+    common = own.groupBy(member).agg(F.ceil(F.count("*") / block).alias("_blocks")).where("_blocks > 1")
+    dealt = own.join(common, member, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_block", F.pmod(F.xxhash64("left"), "_blocks"))
+    a = dealt.select("left", member, F.col("_block").alias("_i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_j"))
+    b = dealt.select(F.col("left").alias("right"), member, F.explode(F.sequence(F.lit(0).cast("long"), "_block")).alias("_i"), F.col("_block").alias("_j"))
+    both = a.join(b, [member, "_i", "_j"]).where("_i < _j OR left < right").select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), member)
     return both.groupBy("left", "right").agg(F.count("*").alias("shared"), F.slice(F.array_sort(F.collect_set(member)), 1, sample).alias("first"))
 
 

@@ -104,6 +104,13 @@ def pair_collisions(t: Tables) -> DataFrame:
     return rel.collisions(x, "l_suppkey", "l_partkey").select("left", "right", "shared")
 
 
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS p FROM lineitem)
+SELECT x.g AS "left", y.g AS "right", count(*) AS shared FROM s x JOIN s y ON x.p = y.p AND x.g < y.g GROUP BY ALL""")
+def supplier_collisions(t: Tables) -> DataFrame:
+    """All pairs of suppliers that share parts, over the whole table; *pair_collisions* has its large orders only."""
+    return rel.collisions(t("lineitem", "l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").select("left", "right", "shared")
+
+
 @query(f"""WITH {a.FINDINGS}, p AS (SELECT node, unnest(string_split(path, '/')) AS part FROM f) SELECT part, count(*) AS findings FROM p GROUP BY part""")
 def explode_findings(t: Tables) -> DataFrame:
     return a.findings(t).select(F.explode(F.split("path", "/")).alias("part")).groupBy("part").agg(F.count("*").alias("findings"))

@@ -89,6 +89,24 @@ def test_layers(spark):
 # ---- relational and temporal
 
 
+def test_collisions_in_blocks(spark):
+    """A member that all groups share, one that two share, a null group; in blocks and in one."""
+    rows = [(g, m) for g in range(40) for m in ("all", f"p{g // 2}", f"own{g}")] + [(3, "all"), (None, "all")]
+    df = spark.createDataFrame(rows, "g long, m string")
+    want = sorted((x, y, 1 + (x // 2 == y // 2), ["all"] + [f"p{x // 2}"] * (x // 2 == y // 2)) for x in range(40) for y in range(x + 1, 40))
+    for block in (7, 512):
+        assert pairs(rel.collisions(df, "g", "m", block=block), "left", "right", "shared", "first") == want
+
+
+def test_collisions_over_the_whole_table(spark, tmp_path):
+    """Pairs whose orders are all small are pairs too."""
+    from lodestone.plans import catalog
+
+    rows = [(1, 10, 3), (2, 10, 50), (3, 10, 46), (1, 11, 2), (2, 11, 1), (2, 11, 1)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert pairs(catalog.QUERIES["supplier_collisions"](spark, str(tmp_path)), "left", "right", "shared") == [(1, 2, 2), (1, 3, 1), (2, 3, 1)]
+
+
 def test_diff_and_replay(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k long, v string")
     b = spark.createDataFrame([(2, None), (3, "y"), (4, "w")], "k long, v string")
