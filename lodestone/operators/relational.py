@@ -125,13 +125,20 @@ def resolve_by_priority(references: DataFrame, *ways: DataFrame, name: str = "na
     return references.select(name).distinct().join(best, name, "left")
 
 
-def candidate_status(references: DataFrame, candidates: DataFrame, name: str = "name", target: str = "target", limit: int = 10) -> DataFrame:
-    """Resolved with one candidate, ambiguous with more (sorted candidates), else unresolved where the
-    name is relative, else external."""
-    many = candidates.groupBy(name).agg(F.array_sort(F.collect_set(target)).alias("candidates"))
-    n = F.size(F.coalesce("candidates", F.array().cast("array<string>")))
+def candidate_counts(references: DataFrame, candidates: DataFrame, name: str = "name", target: str = "target") -> DataFrame:
+    """``n`` distinct candidates of each reference, and what follows: resolved with one, ambiguous with more, else
+    unresolved where the name is relative, else external.  Pairs are made distinct before names are counted."""
+    many = candidates.select(name, target).where(F.col(target).isNotNull()).distinct().groupBy(name).agg(F.count("*").alias("n"))
+    n = F.col("n")
     status = F.when(n == 1, "resolved_internal").when(n > 1, "ambiguous_internal").when(F.col(name).rlike(r"^[./]"), "unresolved_internal").otherwise("external")
-    return references.join(many, name, "left").withColumn("status", status).withColumn("candidates", F.slice("candidates", 1, limit))
+    return references.join(many, name, "left").fillna({"n": 0}).withColumn("status", status)
+
+
+def candidate_status(references: DataFrame, candidates: DataFrame, name: str = "name", target: str = "target", limit: int = 10) -> DataFrame:
+    """``candidate_counts`` with the first ``limit`` candidates in order (null where there are none)."""
+    w = Window.partitionBy(name).orderBy(target)
+    first = candidates.select(name, target).where(F.col(target).isNotNull()).distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+    return candidate_counts(references, candidates, name, target).join(first.groupBy(name).agg(F.array_sort(F.collect_list(target)).alias("candidates")), name, "left")
 
 
 # ---- sets

@@ -87,7 +87,7 @@ FROM (SELECT DISTINCT target FROM l) LEFT JOIN u USING (target) GROUP BY target"
 def resolve_links(t: Tables) -> DataFrame:
     names = extract.links(t("pages", "page_id", "html"), "page_id").select("target").distinct().withColumnRenamed("target", "name")
     own = t("pages", "page_id", "url").select(F.regexp_replace("url", "^https?://[^/]+", "").alias("name"), F.col("page_id").cast("string").alias("target"))
-    return rel.candidate_status(names, own, limit=1_000_000).select(F.col("name").alias("target"), F.greatest(F.size("candidates"), F.lit(0)).cast("long").alias("n"), "status").fillna({"n": 0})
+    return rel.candidate_counts(names, own).select(F.col("name").alias("target"), "n", "status")
 
 
 @query(f"""WITH {a.EDGES}, s AS (SELECT DISTINCT user_id, CAST(floor(value / 4) AS BIGINT) AS test FROM events WHERE event_type = 'click')

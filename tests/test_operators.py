@@ -89,6 +89,24 @@ def test_layers(spark):
 # ---- relational and temporal
 
 
+def test_candidates_are_counted_past_the_limit(spark):
+    names = spark.createDataFrame([("/",), ("/a",), ("./b",), ("c",)], "name string")
+    own = [("/", f"p{n:03}") for n in range(300)] * 2 + [("/a", "p1"), ("/a", "p1"), ("/a", None), ("x", "p2"), (None, "p3")]
+    got = rel.candidate_status(names, spark.createDataFrame(own, "name string, target string"), limit=3)
+    assert pairs(got, "name", "n", "status", "candidates") == [("./b", 0, "unresolved_internal", None), ("/", 300, "ambiguous_internal", ["p000", "p001", "p002"]), ("/a", 1, "resolved_internal", ["p1"]), ("c", 0, "external", None)]
+
+
+def test_link_candidates_are_not_collected(spark, tmp_path):
+    """No array of the pages of one path stands in the plan, and all of them count."""
+    from lodestone.plans import catalog
+
+    rows = [(n, f"https://h{n}.example/", '<a href="/">x</a> <a href="https://z">y</a>') for n in range(500)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = catalog.QUERIES["resolve_links"](spark, str(tmp_path))
+    assert pairs(df, "target", "n", "status") == [("/", 500, "ambiguous_internal"), ("https://z", 0, "external")]
+    assert "collect_" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_collisions_in_blocks(spark):
     """A member that all groups share, one that two share, a null group; in blocks and in one."""
     rows = [(g, m) for g in range(40) for m in ("all", f"p{g // 2}", f"own{g}")] + [(3, "all"), (None, "all")]
