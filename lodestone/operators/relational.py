@@ -6,8 +6,11 @@ each side shuffles once on its key; small sides are left to adaptive broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import itertools
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,13 +62,20 @@ def change_summary(changes: DataFrame, key: str, at: str, tie: str) -> DataFrame
 
 def merge_edges(references: DataFrame, keys: Sequence[str] = ("source", "target", "external", "type", "status"), samples: int = 5) -> DataFrame:
     """One edge per key: weight, largest confidence, smallest line from 0 on, the first distinct
-    pieces of evidence by line, and the distinct original targets."""
+    pieces of evidence by line, and the distinct original targets.
+
+    References are merged per piece of evidence, then the first pieces of each key are numbered; the rows of both
+    kinds meet in one aggregate, so null keys stay and no array is longer than its result."""
     line = F.when(F.col("line") >= 0, F.col("line"))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("evidence") != "", F.struct(F.coalesce(line, F.lit(2_000_000_000)).alias("line"), "evidence"))))
-    return references.groupBy(*keys).agg(
-        F.count("*").alias("weight"), F.max("confidence").alias("confidence"), F.min(line).alias("line"),
-        F.array_join(F.slice(F.array_distinct(F.transform(ordered, lambda e: e["evidence"])), 1, samples), " | ").alias("evidence"),
-        F.array_sort(F.collect_set("original")).alias("originals"),
+    pieces = references.where("evidence != ''").groupBy(*keys, "evidence").agg(F.min(F.coalesce(line, F.lit(2_000_000_000))).alias("_line"))
+    first = pieces.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_line", "evidence"))).where(F.col("_n") <= samples)
+    merged = references.groupBy(*keys).agg(F.count("*").alias("weight"), F.max("confidence").alias("confidence"), F.min(line).alias("line"))
+    originals = references.where("original is not null").select(*keys, "original").distinct()
+    parts = merged.unionByName(first.select(*keys, F.struct("_n", "evidence").alias("_e")), allowMissingColumns=True).unionByName(originals, allowMissingColumns=True)
+    return parts.groupBy(*keys).agg(
+        F.max("weight").alias("weight"), F.max("confidence").alias("confidence"), F.max("line").alias("line"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["evidence"]), " | ").alias("evidence"),
+        F.array_sort(F.collect_list("original")).alias("originals"),
     )
 
 
@@ -209,7 +219,11 @@ def facets(df: DataFrame, *columns: str) -> DataFrame:
 
 def diagnostic_groups(df: DataFrame, key: str, item: str, severity: Column, sample: int = 3) -> DataFrame:
     """Groups of two and more: size, largest severity rank, first few items by name."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.max(severity).alias("top"), F.array_join(F.slice(F.array_sort(F.collect_set(item)), 1, sample), ",").alias("sample")).where("n >= 2")
+    counted = df.groupBy(key).agg(F.count("*").alias("n"), F.max(severity).alias("top"))
+    items = df.select(key, item).where(F.col(item).isNotNull()).distinct()
+    first = items.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(item))).where(F.col("_n") <= sample)
+    parts = counted.unionByName(first.select(key, F.col(item).alias("_item")), allowMissingColumns=True)
+    return parts.groupBy(key).agg(F.max("n").alias("n"), F.max("top").alias("top"), F.array_join(F.array_sort(F.collect_list("_item")), ",").alias("sample")).where("n >= 2")
 
 
 def pivot_metrics(metrics: DataFrame, key: str, name: str, value: str, names: Sequence[str]) -> DataFrame:
@@ -237,6 +251,35 @@ def table_digest(df: DataFrame, key: Sequence[str], buckets: int = 64) -> DataFr
     return by.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
 
 
+def ordered_digest(df: DataFrame, key: str, item: str) -> DataFrame:
+    """``key, digest, n``: per key one SHA-256 over its items, put together in order.
+
+    Rows come sorted by key; a task walks its partition and keeps one running hash, so no key has to fit in memory.
+    A null item counts in ``n`` only."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, running, n, kind = None, hashlib.sha256(), 0, None
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for k, group in itertools.groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda x: x[0]):
+                if n and k != current:
+                    done.append((current, running.hexdigest(), n))
+                    running, n = hashlib.sha256(), 0
+                current, texts = k, [x for _, x in group]
+                running.update("".join(x for x in texts if x is not None).encode())
+                n += len(texts)
+            yield made(done, kind)
+        if n:
+            yield made([(current, running.hexdigest(), n)], kind)
+
+    def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, pa.string(), pa.int64()))], ["key", "digest", "n"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(item).alias("item")).repartition("key").sortWithinPartitions("key", "item")
+    return rows.mapInArrow(walk, f"key {kind}, digest string, n long").withColumnRenamed("key", key)
+
+
 def ratchet(current: DataFrame, baseline: DataFrame, key: str, value: str, hard: int) -> DataFrame:
     """Verdict of each key against a baseline: new ones must stay within ``hard``, known ones must not grow, and a
     baseline that is too high is stale."""

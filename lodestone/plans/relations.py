@@ -160,7 +160,7 @@ def checkpoint_equivalence(t: Tables) -> DataFrame:
 @query(f"WITH {a.DELTAS} SELECT seq, sha256(string_agg(sha256(CAST(node AS VARCHAR) || '|' || kind), '' ORDER BY sha256(CAST(node AS VARCHAR) || '|' || kind))) AS digest, count(*) AS n FROM d GROUP BY seq")
 def frame_digest(t: Tables) -> DataFrame:
     row = F.sha2(F.concat_ws("|", F.col("node").cast("string"), "kind"), 256)
-    return a.deltas(t).groupBy("seq").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("digest"), F.count("*").alias("n"))
+    return rel.ordered_digest(a.deltas(t).select("seq", row.alias("row")), "seq", "row")
 
 
 _DAYS = "y AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), z AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM y)"

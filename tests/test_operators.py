@@ -89,6 +89,44 @@ def test_layers(spark):
 # ---- relational and temporal
 
 
+def optimised(df):
+    """The optimised plan as text."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_edges_with_many_pieces_of_evidence(spark):
+    rows = [("a", None, n % 90 - 3, f"e{n % 90:02}", f"t{n % 3}", n / 1000) for n in range(900)] + [("a", "b", None, "", None, 0.1), (None, "b", 4, None, "t", 0.2), (None, "b", -1, "x", "t", None)]
+    df = spark.createDataFrame(rows, "source string, target string, line int, evidence string, original string, confidence double")
+    out = rel.merge_edges(df, ["source", "target"])
+    got = {(r["source"], r["target"]): (r["weight"], r["confidence"], r["line"], r["evidence"], r["originals"]) for r in out.collect()}
+    assert got == {("a", None): (900, 0.899, 0, "e03 | e04 | e05 | e06 | e07", ["t0", "t1", "t2"]), ("a", "b"): (1, 0.1, None, "", []), (None, "b"): (2, 0.2, 4, "x", ["t"])}
+    assert "WindowGroupLimit" in optimised(out)
+
+
+def test_diagnostic_groups_with_many_items(spark):
+    rows = [("a", f"p{n % 200:03}", n % 4) for n in range(400)] + [("one", "p", 1), (None, "y", 1), (None, None, 3), ("empty", None, 0), ("empty", None, 2)]
+    out = rel.diagnostic_groups(spark.createDataFrame(rows, "k string, item string, s int"), "k", "item", F.col("s"))
+    assert {(r["k"], r["n"], r["top"], r["sample"]) for r in out.collect()} == {("a", 400, 3, "p000,p001,p002"), (None, 2, 3, "y"), ("empty", 2, 2, "")}
+    assert "WindowGroupLimit" in optimised(out)
+
+
+def test_ordered_digest_walks_batches(spark):
+    """Digests of keys longer than a batch, of a null key and with null items, as of their sorted items put together."""
+    import hashlib
+
+    rows = [(k, f"{n * 7919 % 1000:04}") for k, size in ((2**60 + 1, 1000), (2, 3), (3, 64), (None, 5)) for n in range(size)] + [(2, None), (4, None)]
+    df = spark.createDataFrame(rows, "k long, x string")
+    want = {k: (hashlib.sha256("".join(sorted(x for j, x in rows if j == k and x)).encode()).hexdigest(), sum(j == k for j, _ in rows)) for k, _ in rows}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        out = rel.ordered_digest(df, "k", "x")
+        assert {r["k"]: (r["digest"], r["n"]) for r in out.collect()} == want
+        assert "collect_list" not in optimised(out)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_candidates_are_counted_past_the_limit(spark):
     names = spark.createDataFrame([("/",), ("/a",), ("./b",), ("c",)], "name string")
     own = [("/", f"p{n:03}") for n in range(300)] * 2 + [("/a", "p1"), ("/a", "p1"), ("/a", None), ("x", "p2"), (None, "p3")]
@@ -96,7 +134,7 @@ def test_candidates_are_counted_past_the_limit(spark):
     assert pairs(got, "name", "n", "status", "candidates") == [("./b", 0, "unresolved_internal", None), ("/", 300, "ambiguous_internal", ["p000", "p001", "p002"]), ("/a", 1, "resolved_internal", ["p1"]), ("c", 0, "external", None)]
 
 
-def test_link_candidates_are_not_collected(spark, tmp_path):
+def test_link_candidates_are_not_optimised(spark, tmp_path):
     """No array of the pages of one path stands in the plan, and all of them count."""
     from lodestone.plans import catalog
 
