@@ -158,9 +158,14 @@ class Engine:
 
     def scope(self, goal: str, primary: int = 8, limit: int = 50, depth: int = 2) -> dict[str, DataFrame]:
         """What to read for a goal: primary modules spread over folders, related ones by proximity, tests."""
-        ranked = self.rank_goal(goal).limit(200)
-        top = ranked.select(F.lit("goal").alias("key"), F.row_number().over(_by_score()).cast("long").alias("rank"), "node", parent("path").alias("folder"), effective("grp", default="ungrouped").alias("grp"), "path", "score")
-        chosen = graph.checkpointed(windows.diversity_select(top, "key", primary))
+        ranked = graph.checkpointed(self.rank_goal(goal).select("node", "path", "grp", "score"))
+        rows = ranked.select(F.lit("goal").alias("key"), "node", parent("path").alias("folder"), effective("grp", default="ungrouped").alias("grp"), "path", "score")
+        top = windows.diversity_bound(rows, "key", [F.col("score").desc(), F.col("path")], primary).drop("_fill").distinct()
+        chosen = windows.diversity_select(top.withColumn("rank", F.row_number().over(_by_score()).cast("long")), "key", primary).drop("rank")
+        before = ranked.select(F.col("score").alias("_score"), F.col("path").alias("_path"))
+        ahead = F.count_if((F.col("_score") > F.col("score")) | ((F.col("_score") == F.col("score")) & (F.col("_path") < F.col("path"))))
+        ranks = before.join(F.broadcast(chosen.select("node", "score", "path"))).groupBy("node").agg((ahead + 1).alias("rank"))
+        chosen = graph.checkpointed(chosen.join(ranks, "node").select("key", "rank", "node", "folder", "grp", "path", "score", "place"))
         seeds = chosen.select("node")
         nodes = self.modules.select("node", parent("path").alias("folder"), "grp", "path").join(ranked.select("node", F.col("score").alias("lexical")), "node", "left")
         related = graph.related(self.edges, seeds, nodes, depth, limit)
@@ -208,7 +213,7 @@ class Engine:
 def _by_score():
     from pyspark.sql import Window
 
-    return Window.orderBy(F.col("score").desc(), "path")  # over the 200 best only
+    return Window.orderBy(F.col("score").desc(), "path")  # over the few rows that caps leave
 
 
 # ---- scanning

@@ -101,11 +101,11 @@ def tfidf_rank(t: Tables) -> DataFrame:
 
 @query()
 def diversity_selection(t: Tables) -> DataFrame:
-    """For each language, sixteen of the hundred largest modules, spread over folders and groups."""
+    """For each language, sixteen of the largest modules, spread over folders and groups."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("language").orderBy(F.col("loc").desc(), "node")
-    top = a.modules(t).withColumn("rank", F.row_number().over(w)).where("rank <= 100").select("language", "rank", "node", parent("path").alias("folder"), "grp")
+    top = a.modules(t).withColumn("rank", F.row_number().over(w)).select("language", "rank", "node", parent("path").alias("folder"), "grp")
     return windows.diversity_select(top, "language", 16)
 
 

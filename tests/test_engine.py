@@ -115,6 +115,21 @@ def test_questions(model):
     assert [r["path"] for r in scope["tests"].collect()] == ["tests/test_core.py"]
 
 
+def test_scope_past_two_hundred(spark, model):
+    """A module behind 300 better ones of one folder is primary with its rank, and keeps its lexical score among the related."""
+    f = [(n, f"a/parser_{n:03}.py", "core", "python", "source") for n in range(300)] + [(300, "b/parser.txt", "core", "python", "source")]
+    one = model[0]
+    modules = one.modules.limit(0).unionByName(spark.createDataFrame(f, "node long, path string, grp string, language string, kind string"), allowMissingColumns=True)
+    modules = modules.fillna("", [c for c, t in modules.dtypes if t == "string"])
+    eng = engine.Engine(modules, spark.createDataFrame([(0, 299, None, "imports", "resolved_internal", 1), (0, 298, None, "imports", "resolved_internal", 1)], one.edges.schema), one.changes, one.coverage, one.findings, one.groups)
+    scope = eng.scope("parser", primary=3)
+    got = scope["primary"].orderBy("place").collect()
+    ranked = [r["node"] for r in eng.rank_goal("parser").collect()]
+    assert len(ranked) == 301 and 300 in {r["node"] for r in got} and [r["rank"] for r in got] == [ranked.index(r["node"]) + 1 for r in got]
+    lexical = {r["node"]: r["score"] for r in scope["related"].collect()}
+    assert {298, 299} <= set(lexical)
+
+
 def test_findings(model):
     eng, f = model
     page = eng.findings_page(size=5)

@@ -231,6 +231,34 @@ def test_greedy_batches(spark):
     assert got == sorted(want)
 
 
+def greedy(rows, limit, per_folder, per_group):
+    """Nodes chosen from ``(node, folder, grp)`` in order."""
+    chosen = []
+    for r in rows:
+        if len(chosen) < limit and sum(c[1] == r[1] for c in chosen) < per_folder and sum(c[2] == r[2] for c in chosen) < per_group:
+            chosen.append(r)
+    return [r[0] for r in chosen + [r for r in rows if r not in chosen][: limit - len(chosen)]]
+
+
+def test_diversity_over_all_rows(spark):
+    """Rows of any rank are reached, as by walking all of them, also where folders and groups cross; and few stay for the walk."""
+    rng = random.Random(3)
+    kinds = {
+        "one folder first": lambda n: ("f0", "g0") if n < 600 else (f"f{n}", f"g{n % 9}"),
+        "one group first": lambda n: (f"f{n}", "g0" if n < 500 else f"g{n % 5}"),
+        "crossed": lambda n: (f"f{min(int(rng.expovariate(0.3)), 9)}", f"g{min(int(rng.expovariate(0.6)), 6)}"),
+        "few": lambda n: (f"f{n % 2}", None if n % 3 else "g"),
+        "folder across groups": lambda n: (f"f{n % 3}", f"g{n}") if n < 650 else (f"f{n}", f"g{n}"),
+    }
+    data = {k: [(n, *f(n)) for n in range(700)] for k, f in kinds.items()}
+    df = spark.createDataFrame([(k, n, n, f, g) for k, rows in data.items() for n, f, g in rows], "k string, rank long, node long, folder string, grp string")
+    for limit, per_folder, per_group in ((16, 2, 5), (9, 3, 2)):
+        got = windows.diversity_select(df, "k", limit, per_folder, per_group).orderBy("k", "place").collect()
+        for k, rows in data.items():
+            assert [r["node"] for r in got if r["k"] == k] == greedy(rows, limit, per_folder, per_group), (k, limit)
+    assert windows.diversity_bound(df, "k", ["rank"], 16).groupBy("k").count().agg(F.max("count")).first()[0] < 300
+
+
 def test_diversity(spark):
     rows = [("q", n, n, "f" if n < 5 else f"f{n}", "g" if n < 9 else f"g{n}") for n in range(12)]
     got = [r["node"] for r in windows.diversity_select(spark.createDataFrame(rows, "language string, rank long, node long, folder string, grp string"), "language", 9).orderBy("place").collect()]
