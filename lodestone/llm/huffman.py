@@ -26,7 +26,7 @@ from lodestone.llm.shared import drop_path, shared_path
 from lodestone.llm.tokens import byte_bpe
 
 STRIDE = 128
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 MAX_BITS = 18
 TEXTS = 256
 
@@ -107,40 +107,50 @@ def ids_crc32(ids: np.ndarray) -> int:
 
 
 def _tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """Runs of whole documents in ascending order of id, of about BLOCK_IDS ids each."""
+    """Runs of whole documents in ascending order of id, of about BLOCK_IDS ids each; the last row of a
+    partition has no run but ``seen``, how often each id came in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, part, before = byte_bpe(tokenizer), TaskContext.get().partitionId(), 0
-        names: list = []
-        held: list[np.ndarray] = []
-        end = np.empty(0, np.int32) if end_id is None else np.array([end_id], np.int32)
+        names, held, size, any_ = [], [], 0, False
+        end = [] if end_id is None else [np.array([end_id], np.int32)]
+        seen = np.zeros(bpe.tokenizer.get_vocab_size(), np.int64)
 
         def flush() -> pd.DataFrame:
-            nonlocal before
-            ids, lens = np.concatenate(held), [len(h) for h in held]
-            out = pd.DataFrame({"part": [part], "before": [before], "n": [len(ids)], "docs": [list(names)], "lens": [lens], "ids": [ids.astype("<u4").tobytes()]})
+            nonlocal before, seen
+            ids = np.concatenate([x for h in held for x in (h, *end)])
+            seen = _added(seen, np.bincount(ids))
+            lens = np.fromiter(map(len, held), np.int64, len(held)) + len(end)
+            out = pd.DataFrame({"part": [part], "before": [before], "n": [len(ids)], "docs": [pd.array(names, dtype="Int64")], "lens": [lens], "ids": [ids.astype("<u4").tobytes()], "seen": [None]})
             before += len(ids)
             names.clear()
             held.clear()
             return out
 
-        size = 0
         for b in batches:
+            any_ = any_ or len(b) > 0
             for a in range(0, len(b), TEXTS):
                 piece = b.iloc[a : a + TEXTS]
                 for name, ids in zip(piece["_id"].tolist(), bpe.encode(piece["_text"]), strict=True):
                     names.append(None if pd.isna(name) else int(name))
-                    held.append(np.concatenate((ids, end)))
-                    size += len(held[-1])
+                    held.append(ids)
+                    size += len(ids) + 1
                     if size >= BLOCK_IDS:
                         yield flush()
                         size = 0
         if held:
             yield flush()
+        if any_:
+            yield pd.DataFrame({"part": [part], "before": [before], "n": [0], "docs": [None], "lens": [None], "ids": [None], "seen": [seen.astype("<i8").tobytes()]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_by"))
     # The second key splits an id that very many rows share.
-    return rows.repartitionByRange("_id", "_by").sortWithinPartitions("_id", "_by").mapInPandas(run, "part int, before long, n long, docs array<long>, lens array<long>, ids binary")
+    return rows.repartitionByRange("_id", "_by").sortWithinPartitions("_id", "_by").mapInPandas(run, "part int, before long, n long, docs array<long>, lens array<long>, ids binary, seen binary")
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = max(len(a), len(b))
+    return np.pad(a, (0, n - len(a))) + np.pad(b, (0, n - len(b)))
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -152,25 +162,23 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
     spark = docs.sparkSession
     held = shared_path(spark, "ids")
     _tokenised(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(held)
-    runs = spark.read.parquet(held)
+    runs, ends = spark.read.parquet(held).where("seen is null").drop("seen"), spark.read.parquet(held).where("seen is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b["ids"]:
-                n = np.bincount(np.frombuffer(ids, dtype="<u4"))
-                total = np.pad(total, (0, max(0, len(n) - len(total))))
-                total[: len(n)] += n
+            for seen in b["seen"]:
+                total = _added(total, np.frombuffer(seen, dtype="<i8"))
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"id": seen, "n": total[seen]})
 
-    counts = runs.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = ends.select("seen").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     bits = code_lengths(counts["n"].to_numpy())
     codebook = pd.DataFrame({"id": counts["id"].astype("int64"), "bits": bits.astype("int64")})
     spark.createDataFrame(codebook, "id long, bits long").coalesce(1).write.parquet(f"{path}/codebook")
 
     # One number for each partition, by order of range.
-    sizes = sorted((r["part"], r["n"]) for r in runs.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    sizes = sorted((r["part"], r["before"]) for r in ends.select("part", "before").collect())
     before = dict(zip([p for p, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist(), strict=False))
     sent = spark.sparkContext.broadcast((codebook["id"].to_numpy(), bits, before))
 

@@ -18,10 +18,11 @@ import pandas as pd
 from lodestone.llm.textcore import mix64
 
 CHUNK_CHARS = 1 << 20
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 3 << 19
 JOINED = 500
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNKNOWN = 0, 1, 2, 3, 255
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = "\u0120"  # how the vocabulary writes a blank
 # Endings that the pre-tokenizer joins to an apostrophe.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -33,6 +34,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Memo:
+    """Numbers of 64-bit hashes: a table with open addressing, filled and read by whole arrays."""
+
+    def __init__(self, entries: int):
+        self.mask = (1 << (entries + entries // 2).bit_length()) - 1
+        self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
+        self.held = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        h = np.maximum(hashes, np.uint64(1))  # 0 marks free places
+        out, at, left = np.full(len(h), -1, np.int64), (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            there = self.keys[at[left]]
+            hit = there == h[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (there != 0)]
+            at[left] = (at[left] + 1) & self.mask
+        return out
+
+    def put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Adds distinct hashes that it lacks."""
+        h = np.maximum(hashes, np.uint64(1))
+        at, left = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
+        self.held += len(h)
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = h[free]
+            own = free[self.keys[at[free]] == h[free]]  # of several that want a place the last gets it
+            self.values[at[own]] = numbers[own]
+            left = left[self.keys[at[left]] != h[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+
+def _text(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> str:
+    """The words at ``starts`` in a row."""
+    if len(starts) == 1:
+        return points[starts[0] : starts[0] + sizes[0]].tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.cumsum(sizes)
+    return points[np.arange(int(sizes.sum())) - np.repeat(ends - sizes - starts, sizes)].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class ByteBpe:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,10 +84,12 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are text
         self.kind = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that start with a blank
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == _BLANK]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
+        self.memo = Memo(MEMO_ENTRIES)
         self.flat = np.empty(0, np.int32)
         self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -90,30 +135,32 @@ class ByteBpe:
                     break
         return np.flatnonzero(start)
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words in the order returned last, and how many each word has.  Words that start with a blank
-        stay apart in a joined text, where the library is faster; it says which id is whose."""
-        joins = np.array([len(w) > 1 and w[0] == " " and self.kind[ord(w[1])] != _SPACE for w in words])
+    def _encode_words(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words at ``starts`` in the order returned last, and how many each word has.  Words that start with
+        a blank stay apart in a joined text, where the library is faster; only their first ids start with it."""
+        joins = (points[starts] == 32) & (sizes > 1)
+        joins[joins] = self.kind[points[starts[joins] + 1]] != _SPACE
         order = np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins)))
         n = int(joins.sum())
-        groups = [[words[i] for i in order[a : min(a + JOINED, n)]] for a in range(0, n, JOINED)]
-        flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            flat.append(np.array(e.ids, np.int32))
-            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))
-        for e in self.tokenizer.encode_batch_fast([words[i] for i in order[n:]], add_special_tokens=False):
+        flat, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        text = _text(points, starts[order[:n]], sizes[order[:n]])
+        cuts = np.concatenate(([0], np.cumsum(sizes[order[:n]])))[[*range(0, n, JOINED), n]].tolist()
+        for e in self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False):
+            ids = np.array(e.ids, np.int32)
+            flat.append(ids)
+            counts.append(np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+        alone = [_text(points, starts[i : i + 1], sizes[i : i + 1]) for i in order[n:]]
+        for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False):
             flat.append(np.array(e.ids, np.int32))
-            sizes.append(np.array([len(e.ids)]))
-        return np.concatenate(flat), np.concatenate(sizes)[np.argsort(order)], order
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        flat, sizes, order = self._encode_words(words)
-        ends = np.cumsum(sizes[order])
-        first = np.empty(len(words), np.int64)
-        first[order] = len(self.flat) + ends - sizes[order]
-        n = len(self.first)
-        self.memo.update(zip(hashes.tolist(), range(n, n + len(words)), strict=True))
-        self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, sizes))
+            counts.append(np.array([len(e.ids)]))
+        return np.concatenate(flat), np.concatenate(counts), order
+
+    def _learn(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        flat, counts, order = self._encode_words(points, starts, sizes)
+        first, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        first[order], size[order] = len(self.flat) + np.cumsum(counts) - counts, counts
+        self.memo.put(hashes, len(self.first) + np.arange(len(hashes)))
+        self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
         self.flat = np.concatenate((self.flat, flat))
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
@@ -132,18 +179,17 @@ class ByteBpe:
         powers = np.multiply.accumulate(powers)
         hashes = mix64(np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * powers[place], starts) + sizes.astype(np.uint64))
         codes, distinct = pd.factorize(hashes)
-        look = self.memo.get
-        slots = [look(h) for h in distinct.tolist()]
-        missing = [i for i, s in enumerate(slots) if s is None]
-        if missing:
-            at = np.full(len(distinct), -1, np.int64)
-            at[codes[::-1]] = np.arange(len(codes))[::-1]  # a place where each stands
-            if len(self.memo) + len(missing) > MEMO_ENTRIES:  # it begins anew with what this chunk holds
+        slots = self.memo.find(distinct)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            at = np.empty(len(distinct), np.int64)
+            at[codes] = np.arange(len(codes))  # a place where each stands
+            if self.memo.held + len(missing) > MEMO_ENTRIES:  # it begins anew with what this chunk holds
                 self._forget()
-                missing, look = list(range(len(distinct))), self.memo.get
-            self._learn(distinct[missing], [joined[starts[at[i]] : starts[at[i]] + sizes[at[i]]] for i in missing])
-            slots = [look(h) for h in distinct.tolist()]
-        slot = np.array(slots, dtype=np.int64)[codes]
+                missing = np.arange(len(distinct))
+            slots[missing] = len(self.first) + np.arange(len(missing))
+            self._learn(distinct[missing], points, starts[at[missing]], sizes[at[missing]])
+        slot = slots[codes]
         size, first = self.size[slot], self.first[slot]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(int(ends[-1])) - np.repeat(ends - size - first, size)]
