@@ -1,15 +1,16 @@
 """Packing documents into sequences of a fixed number of tokens.
 
 Pieces are dealt at random to groups of a bounded number of sequences, so that each
-group can be packed by one task; the loss is below one sequence a group.  A group is
-packed best-fit decreasing, then improved by local search between sequences that aren't full: moving a piece,
-exchanging one for one, or two for one, always from the emptier to the fuller
-sequence, which increases the sum of squared fills; the emptiest sequences empty out.
-The search ends when the free space proves that no sequence can be saved, or no exchange helps.
+group can be packed by one task; the loss is below one sequence a group.  A group starts with its pieces
+put into sequences one after the other, longest first, and is packed by local search between
+sequences that aren't full: moving a piece, exchanging one for one, or two for one, always so that the sum of
+squared fills grows, until sequences empty.  The search ends when the free space proves that no
+sequence can be saved, or no exchange helps.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,91 +35,153 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *[(s, capacity) for s in range(first, n, capacity)]]
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indices: longest first, each to the fullest bin that still has room."""
+def next_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of indices: longest first, each to the last bin or else a new one."""
     bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0  # bit r is set while a bin has room r
+    room = -1
     for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
-        size = lengths[i]
-        fits = rooms >> size
-        if fits:
-            room = size + (fits & -fits).bit_length() - 1
-            at = by_room[room].pop()
-            if not by_room[room]:
-                rooms ^= 1 << room
-        else:
-            room, at = capacity, len(bins)
+        if lengths[i] > room:
             bins.append([])
-        bins[at].append(i)
-        by_room[room - size].append(at)
-        rooms |= 1 << (room - size)
+            room = capacity
+        bins[-1].append(i)
+        room -= lengths[i]
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Fewer bins of the same indices, where exchanges can empty some."""
-    fill = np.array([sum(lengths[i] for i in b) for b in bins], dtype=np.int64)
-    open_ = np.flatnonzero(fill < capacity)
-    room = capacity - fill
-    if not len(open_) or room[open_].sum() < capacity:
-        return bins
-    item = np.array([i for b in open_ for i in bins[b]], dtype=np.int64)
-    home = np.array([b for b in open_ for _ in bins[b]], dtype=np.int64)
-    size = np.array([lengths[i] for i in item], dtype=np.int64)
-    gone = np.zeros(len(bins), dtype=bool)
-
-    def put(k: int, to: int) -> None:
-        room[home[k]] += size[k]
-        room[to] -= size[k]
-        home[k] = to
-
-    def step(d: int) -> bool:
-        """One change that takes fill from bin d to another bin that isn't emptier."""
-        own = np.flatnonzero(home == d)
-        own = own[np.argsort(-size[own], kind="stable")]
-        others = open_[(open_ != d) & ~gone[open_] & (room[open_] <= room[d])]
-        for k in own.tolist():  # move
-            fits = others[room[others] >= size[k]]
-            if len(fits):
-                put(k, int(fits[np.argmin(room[fits])]))
-                return True
-        theirs = np.flatnonzero((home != d) & ~gone[home] & (room[home] <= room[d]))
-        pairs = [(a, b) for n, a in enumerate(own.tolist()) for b in own.tolist()[n + 1 :]]
-        for give in [*[(k,) for k in own.tolist()], *pairs]:  # exchange one for one, two for one
-            given = int(sum(size[k] for k in give))
-            gain = given - size[theirs]
-            ok = np.flatnonzero((gain > 0) & (gain <= room[home[theirs]]))
-            if len(ok):
-                k = int(theirs[ok[np.argmax(gain[ok])]])
-                to = int(home[k])
-                put(k, d)
-                for g in give:
-                    put(g, to)
-                return True
+class LocalSearch:
+    """Bins that exchange pieces.  Bins that aren't full offer their room to single pieces, and each of their
+    pieces as one that a larger piece (or two) may replace; both are looked up by size in a bit set."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, lengths, capacity
+        self.room = [capacity - sum(lengths[i] for i in b) for b in bins]
+        self.version = [0] * len(bins)  # offers of an older version don't count
+        self.by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.by_reach: list[list[tuple[int, int, int, int]]] = [[] for _ in range(capacity + 1)]  # the most that fits in a piece's place
+        self.rooms = self.reaches = 0  # bit n is set where there may be offers
+        self.done = {"move": 0, "one for one": 0, "two for one": 0}
+        for b in range(len(bins)):
+            self._offer(b)
+
+    def _offer(self, b: int) -> None:
+        self.version[b] += 1
+        room = self.room[b]
+        if 0 < room < self.capacity:
+            self.by_room[room].append((b, self.version[b]))
+            self.rooms |= 1 << room
+            for i in self.bins[b]:
+                heapq.heappush(self.by_reach[self.size[i] + room], (self.size[i], b, i, self.version[b]))
+                self.reaches |= 1 << self.size[i] + room
+
+    def _bin_for(self, size: int, exactly: bool) -> int | None:
+        """The bin of the least room that takes ``size``, or fills up with it."""
+        while True:
+            fits = self.rooms >> size
+            if not fits or (exactly and not fits & 1):
+                return None
+            room = size + (fits & -fits).bit_length() - 1
+            offers = self.by_room[room]
+            while offers and self.version[offers[-1][0]] != offers[-1][1]:
+                offers.pop()
+            if offers:
+                return offers[-1][0]
+            self.rooms ^= 1 << room
+
+    def _place_for(self, size: int, exactly: bool) -> tuple[int, int] | None:
+        """A bin and a smaller piece of it in whose place ``size`` fits closest, or fills it up."""
+        fits, reach = self.reaches >> size, size
+        while fits:
+            skip = (fits & -fits).bit_length() - 1
+            fits, reach = fits >> skip, reach + skip
+            if exactly and reach != size:
+                return None
+            offers = self.by_reach[reach]
+            while offers and self.version[offers[0][1]] != offers[0][3]:
+                heapq.heappop(offers)
+            if not offers:
+                self.reaches ^= 1 << reach
+            elif offers[0][0] < size:
+                return offers[0][1], offers[0][2]
+            fits, reach = fits >> 1, reach + 1
+        return None
+
+    def _give(self, d: int, given: list[int], b: int, back: int | None = None) -> bool:
+        """Moves pieces from bin d to b, and one back, where the sum of squared fills grows by it."""
+        gain = sum(self.size[i] for i in given) - (0 if back is None else self.size[back])
+        if self.room[d] + gain <= self.room[b]:
+            return False
+        for i in given:
+            self.bins[d].remove(i)
+        if back is not None:
+            self.bins[b].remove(back)
+            self.bins[d].append(back)
+        self.bins[b] += given
+        self.room[b] -= gain
+        self.room[d] += gain
+        self._offer(b)
+        self.done["move" if back is None else "one for one" if len(given) == 1 else "two for one"] += 1
+        return True
+
+    def _step(self, d: int) -> bool:
+        """One change that takes fill from bin d: better one that fills another bin up, then a move, then an exchange."""
+        by_size: dict[int, list[int]] = {}
+        for i in self.bins[d]:
+            by_size.setdefault(self.size[i], []).append(i)
+        sizes = sorted(by_size, reverse=True)
+        pairs: dict[int, list[int]] = {}
+        for n, x in enumerate(sizes):
+            for y in sizes[n:]:
+                if x != y or len(by_size[x]) > 1:
+                    pairs.setdefault(x + y, [by_size[x][0], by_size[y][-1]])
+        for exactly in (True, False):
+            for x in sizes:
+                b = self._bin_for(x, exactly)
+                if b is not None and self._give(d, by_size[x][:1], b):
+                    return True
+            for x in sizes:
+                place = self._place_for(x, exactly)
+                if place and self._give(d, by_size[x][:1], *place):
+                    return True
+            for x in sorted(pairs, reverse=True):
+                place = self._place_for(x, exactly)
+                if place and self._give(d, pairs[x], *place):
+                    return True
         return False
 
-    while True:
-        left = open_[~gone[open_]]
-        left = left[np.argsort(-room[left], kind="stable")]
-        if room[left].sum() < capacity:
-            break
-        emptied = False
-        for d in left.tolist():
-            if capacity - room[d] > room[left].sum() - room[d]:
-                break  # the others can't take this one, nor any that is fuller
-            while room[d] < capacity and step(d):
-                pass
-            if room[d] == capacity:
-                gone[d] = emptied = True
-                break
-        if not emptied:
-            break
-    out = [b for n, b in enumerate(bins) if fill[n] == capacity]
-    inside: dict[int, list[int]] = {}
-    for k, b in zip(item.tolist(), home.tolist(), strict=True):
-        inside.setdefault(b, []).append(k)
-    return out + list(inside.values())
+    def run(self) -> list[list[int]]:
+        """The bins that are left."""
+        for d in range(len(self.bins)):  # moves alone, from bins of long pieces to bins of short ones
+            if 0 < self.room[d] < self.capacity:
+                self.version[d] += 1
+                for i in sorted(self.bins[d], key=self.size.__getitem__, reverse=True):
+                    b = self._bin_for(self.size[i], False)
+                    if b is not None:
+                        self._give(d, [i], b)
+                self._offer(d)
+        least, better = -(-sum(self.size) // self.capacity), True
+        used = sum(r < self.capacity for r in self.room)
+        while better and used > least:
+            better = False
+            waiting = [(self.capacity - r, b) for b, r in enumerate(self.room) if 0 < r < self.capacity]
+            heapq.heapify(waiting)
+            while waiting and used > least:
+                fill, d = heapq.heappop(waiting)
+                if not 0 < self.room[d] < self.capacity:
+                    continue
+                if fill != self.capacity - self.room[d]:  # it has changed since
+                    heapq.heappush(waiting, (self.capacity - self.room[d], d))
+                    continue
+                self.version[d] += 1  # a bin offers nothing to itself
+                while self.room[d] < self.capacity and self._step(d):
+                    better = True
+                used -= self.room[d] == self.capacity
+                self._offer(d)
+        return [b for b in self.bins if b]
+
+
+def local_search(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of indices, as few as exchanges lead to."""
+    return LocalSearch(next_fit(lengths, capacity), lengths, capacity).run()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +211,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
 
     Only documents longer than a sequence are cut.  Null and empty texts hold the end id alone (with
     ``end_id=None`` they are pieces of length 0).  Repeated rows are packed as often as they come; a null id
-    stays null.  An empty table gives no rows.
+    stays null.  Columns other than id and text are not read.  An empty table gives no rows.
     """
     parts = materialise(pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
     n = parts.agg(F.sum("length").alias("tokens"), F.count("*").alias("pieces")).first()
@@ -157,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].tolist()
         sequence, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
-        for n, members in enumerate(local_search(best_fit(lengths, capacity), lengths, capacity)):
+        for n, members in enumerate(local_search(lengths, capacity)):
             at = 0
             for i in members:
                 sequence[i], offset[i] = (int(key[0]) << 32) + n, at

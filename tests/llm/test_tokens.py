@@ -131,10 +131,21 @@ def fewest(lengths, capacity):
     return best[0]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=9))
+def best_fit(lengths, capacity):
+    """Best-fit decreasing, the yardstick."""
+    rooms = []
+    for size in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= size]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - size)
+    return len(rooms)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 20), max_size=9))
 def test_local_search(lengths):
-    bins = packing.local_search(packing.best_fit(lengths, 20), lengths, 20)
+    bins = packing.local_search(lengths, 20)
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
     assert all(sum(lengths[i] for i in b) <= 20 for b in bins)
     assert len(bins) <= fewest(lengths, 20) + 1
@@ -142,5 +153,34 @@ def test_local_search(lengths):
 
 def test_exchanges_empty_bins():
     lengths = [10, 10, 9, 9, 8, 8, 8, 6, 6, 3, 3]
-    wasteful = [[0, 1], [2, 3], [4, 5], [6, 7], [8, 9], [10]]
-    assert len(packing.local_search(wasteful, lengths, 20)) < len(wasteful)
+    search = packing.LocalSearch([[0, 1], [2, 3], [4, 5], [6, 7], [8, 9], [10]], lengths, 20)
+    assert len(search.run()) == 5  # of 90 in all
+
+
+def test_each_exchange_grows_squared_fill(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(300, 900, 400).tolist()
+    give, grown = packing.LocalSearch._give, []
+
+    def watched(self, *args):
+        before = sum((self.capacity - r) ** 2 for r in self.room)
+        done = give(self, *args)
+        grown.append(sum((self.capacity - r) ** 2 for r in self.room) > before or not done)
+        return done
+
+    monkeypatch.setattr(packing.LocalSearch, "_give", watched)
+    search = packing.LocalSearch(packing.next_fit(lengths, 2048), lengths, 2048)
+    assert len(search.run()) < best_fit(lengths, 2048)
+    assert all(grown) and all(search.done.values())
+
+
+def test_documents_are_packed_by_exchanges(spark):
+    """On the given documents the search does the packing, and is no worse than best-fit decreasing."""
+    bpe = byte_bpe(default_tokenizer())
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    lengths = [n for ids in bpe.encode(texts) for _, n in packing.cut(len(ids) + 1, 2048)]
+    search = packing.LocalSearch(packing.next_fit(lengths, 2048), lengths, 2048)
+    start = len(search.bins)
+    bins = search.run()
+    assert sum(search.done.values()) > 100 and len(bins) < start
+    assert len(bins) <= best_fit(lengths, 2048)
