@@ -12,6 +12,7 @@ Profiles come from the n-gram counts of all learning documents, summed by Spark;
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 TOP = 300
 CHUNK_CHARS = 1 << 19
 UNDETERMINED = "und"
+_NO_LETTER = re.compile(r"\W")
 _letter = np.full(0x110000, 2, dtype=np.uint8)  # 2: not looked up yet
 
 
@@ -56,8 +58,16 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(text: str) -> Iterator[str]:
-    for a in range(0, len(text), CHUNK_CHARS):
-        yield text[a : a + CHUNK_CHARS + 2]  # counts at a seam may differ by an n-gram or two
+    """A text, lower-cased, in parts of about CHUNK_CHARS that end where a word does, so that their n-grams together are the
+    whole text's."""
+    text, at = text.lower(), 0
+    while len(text) - at > CHUNK_CHARS:
+        m = _NO_LETTER.search(text, at + CHUNK_CHARS)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def ranked(text: str, top: int = TOP) -> np.ndarray:
@@ -77,7 +87,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> DataFrame:
     """``lang, rank, gram``: the ``top`` most frequent n-grams of each language, over all rows
-    with a text and a language."""
+    with a text and a language; other columns are not read."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
