@@ -1,8 +1,9 @@
 """Text quality by a factorisation machine.
 
 Features of a text: its words, hashed to ``WORD_SLOTS`` slots (log counts, scaled to unit
-length), and structure statistics (length, line and word shapes, shares of character classes,
-repetition), each cut into ``LEVELS`` levels.  Score: a logistic of bias, weights, and pairwise
+length), structure statistics (length, line and word shapes, shares of character classes,
+repetition), each cut into ``LEVELS`` levels, and metadata columns of numbers, by levels of their logarithm
+with one more for nulls.  Score: a logistic of bias, weights, and pairwise
 interactions with factors of rank ``RANK``, by the identity
 ``sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``.
 
@@ -12,14 +13,14 @@ rows (taken by hash of the id, a documented bound) and scores every row in its p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textcore import mix64, word_hashes
+from lodestone.llm.textcore import word_hashes
 
 WORD_SLOTS = 1 << 12
 LEVELS = 16
@@ -49,9 +50,16 @@ def statistics(text: str, words: np.ndarray) -> np.ndarray:
     ])
 
 
-def features(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(slots, values)`` of each text."""
+def slots(metadata: int) -> int:
+    return SLOTS + metadata * (LEVELS + 1)
+
+
+def features(texts, metadata=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(slots, values)`` of each text and its metadata (a row of numbers each)."""
     texts = ["" if t is None else t for t in texts]
+    numbers = np.array([list(m) for m in metadata], dtype=float).reshape(len(texts), -1) if metadata is not None else np.empty((len(texts), 0))
+    known = np.log1p(np.maximum(np.nan_to_num(numbers), 0)) * LEVELS / 14
+    steps = np.where(np.isnan(numbers), LEVELS, np.minimum(known, LEVELS - 1).astype(np.int64)) + SLOTS + np.arange(numbers.shape[1]) * (LEVELS + 1)
     for first, last, hashes, offsets in word_hashes(texts):
         slots = (hashes >> np.uint64(20)).astype(np.int64) % WORD_SLOTS
         for i in range(first, last):
@@ -61,12 +69,13 @@ def features(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             value = np.log1p(n[own])
             value /= max(np.sqrt((value**2).sum()), 1e-12)
             level = np.minimum((statistics(texts[i], hashes[a:b]) * LEVELS).astype(np.int64), LEVELS - 1)
-            yield np.concatenate((own, WORD_SLOTS + np.arange(len(level)) * LEVELS + level)), np.concatenate((value, np.full(len(level), 0.3)))
+            rest = np.concatenate((WORD_SLOTS + np.arange(len(level)) * LEVELS + level, steps[i]))
+            yield np.concatenate((own, rest)), np.concatenate((value, np.full(len(rest), 0.3)))
 
 
 class FactorisationMachine:
-    def __init__(self, bias: float, weight: np.ndarray, factor: np.ndarray):
-        self.bias, self.weight, self.factor = bias, weight, factor
+    def __init__(self, bias: float, weight: np.ndarray, factor: np.ndarray, metadata: Sequence[str] = ()):
+        self.bias, self.weight, self.factor, self.metadata = bias, weight, factor, tuple(metadata)
 
     def margin(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """In linear time: sums over each row's own slots."""
@@ -81,16 +90,17 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(rows), -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, step: float = 0.05, decay: float = 1e-5, seed: int = 7) -> FactorisationMachine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, metadata: Sequence[str] = (), epochs: int = 12, step: float = 0.05, decay: float = 1e-5, seed: int = 7) -> FactorisationMachine:
     """Adagrad on logistic loss in batches of 64.  Without rows, or with one class only, every
     score is that class's share (a half without rows)."""
+    size = slots(len(metadata))
     if not len(rows) or labels.min() == labels.max():
         p = float(labels.mean()) if len(rows) else 0.5
-        return FactorisationMachine(float(np.log((p + 1e-3) / (1 - p + 1e-3))), np.zeros(SLOTS), np.zeros((SLOTS, RANK)))
+        return FactorisationMachine(float(np.log((p + 1e-3) / (1 - p + 1e-3))), np.zeros(size), np.zeros((size, RANK)), metadata)
     rng = np.random.default_rng(seed)
     p = labels.mean()
-    m = FactorisationMachine(float(np.log(p / (1 - p))), np.zeros(SLOTS), rng.normal(0, 0.01, (SLOTS, RANK)))
-    g_bias, g_weight, g_factor = 1e-6, np.full(SLOTS, 1e-6), np.full((SLOTS, RANK), 1e-6)
+    m = FactorisationMachine(float(np.log(p / (1 - p))), np.zeros(size), rng.normal(0, 0.01, (size, RANK)), metadata)
+    g_bias, g_weight, g_factor = 1e-6, np.full(size, 1e-6), np.full((size, RANK), 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), 64):
@@ -113,37 +123,43 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return m
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = FIT_ROWS) -> FactorisationMachine:
-    """Fits on at most ``max_rows`` rows with a label, those of the smallest hash of the id."""
+def _numbers(metadata: Sequence[str]):
+    return F.array(*[F.col(c).cast("double") for c in metadata]).cast("array<double>")
+
+
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: Sequence[str] = (), max_rows: int = FIT_ROWS) -> FactorisationMachine:
+    """Fits on at most ``max_rows`` rows with a label: those first by the hash of the id (then id, hash of the text, label and
+    metadata), and in that order, so the machine doesn't depend on how the rows are dealt.  Repeated rows count once."""
+    key = ["_by", "_id", "_hash", "_label", "_numbers"]
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = list(features(b["_text"]))
-            yield pd.DataFrame({"slots": [s.astype("<i4").tobytes() for s, _ in rows], "values": [v.astype("<f4").tobytes() for _, v in rows], "label": b["_label"].to_numpy(float)})
+            rows = list(features(b["_text"], b["_numbers"]))
+            yield pd.DataFrame({"by": b["_by"], "id": b["_id"], "hash": b["_hash"], "slots": [s.astype("<i4").tobytes() for s, _ in rows], "values": [v.astype("<f4").tobytes() for _, v in rows], "label": b["_label"].to_numpy(float)})
 
     known = labelled.where(F.col(label_col).isNotNull())
-    picked = known.select(F.xxhash64(F.col(id_col)).alias("_by"), F.col(text_col).alias("_text"), F.col(label_col).cast("double").alias("_label"))
-    n = known.count()
-    if n > max_rows:  # an even share by hash, then at most max_rows of it
-        picked = picked.where(F.pmod("_by", F.lit(1_000_003)) < int(1_000_003 * max_rows / n))
-    table = picked.select("_text", "_label").mapInPandas(featured, "slots binary, values binary, label double").limit(max_rows).toPandas()
+    known = known.select(F.xxhash64(F.col(id_col)).alias("_by"), F.col(id_col).cast("string").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(label_col).cast("double").alias("_label"), _numbers(metadata).alias("_numbers"), F.col(text_col).alias("_text"))
+    # The keys alone tell the last row that is taken; only then are texts gathered.
+    cut = known.select(*key).distinct().orderBy(*key).limit(max_rows).agg(F.max(F.struct(*key)).alias("last"))
+    picked = known.join(F.broadcast(cut), F.struct(*key) <= F.col("last")).drop("last").dropDuplicates(key)
+    table = picked.mapInPandas(featured, "by long, id string, hash long, slots binary, values binary, label double").toPandas()
+    table = table.sort_values(["by", "id", "hash", "label", "slots"], na_position="first", ignore_index=True)
     rows = [(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for s, v in zip(table["slots"], table["values"], strict=True)]
-    order = np.argsort(mix64(np.array([len(s) for s, _ in rows], np.uint64)), kind="stable") if rows else []
-    return fit([rows[i] for i in order], table["label"].to_numpy()[order] if rows else np.empty(0))
+    return fit(rows, table["label"].to_numpy(float), metadata)
 
 
 def score_quality(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` and a double ``quality_score`` from 0 to 1 (an input column
-    of that name is replaced).  Null and empty texts are scored alike, from their statistics.
-    Rows are treated one by one; an empty table stays empty."""
+    of that name is replaced).  Null and empty texts are scored alike, from their statistics and metadata; null
+    metadata are a level of their own.  Rows are treated one by one; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weight, machine.factor))
 
     @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = FactorisationMachine(*sent.value)
-        for texts in batches:
+        for texts, numbers in batches:
             out, held = [], []
-            for row in features(texts):
+            for row in features(texts, numbers):
                 held.append(row)
                 if len(held) == 256:
                     out.append(m.score(held))
@@ -152,4 +168,4 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, text_col: str
                 out.append(m.score(held))
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    return docs.drop("quality_score").withColumn("quality_score", scored(F.col(text_col)))
+    return docs.drop("quality_score").withColumn("quality_score", scored(F.col(text_col), _numbers(machine.metadata)))

@@ -24,8 +24,8 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 3, 1))
-    machine = quality.learn(docs.where(~F.col("held_out")).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").withColumn("held_out", langid.held_out("doc_id", 3, 1))
+    machine = quality.learn(docs.where(~F.col("held_out")).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"), metadata=["n_chars"])
     scored = quality.score_quality(docs, machine)
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import chatformat, decontam, langid, licenses, linededup, quality, topk
 from lodestone.llm.tokens import default_tokenizer
@@ -194,6 +196,18 @@ def test_ranks(text):
     assert langid.ranked(text, 20).tolist() == brute_profile([text], 20)
 
 
+def test_long_texts_are_counted_as_a_whole(spark, monkeypatch):
+    texts = ["abcdefg hij " * 40, "a" * 700, "ab1cd_ef, ΑΣ.Α ΑΣ " * 30, "wörter und längere Wörter " * 25, "x" * 90 + " " + "y" * 200]
+    want = [langid.ranked(t, 50).tolist() for t in texts]
+    assert want[0] == brute_profile([texts[0]], 50)
+    whole = langid.learn_profiles(spark.createDataFrame([(t, "l") for t in texts], "text string, lang string"), top=50).orderBy("rank").collect()
+    for size in (1, 7, 64):
+        monkeypatch.setattr(langid, "CHUNK_CHARS", size)
+        assert ["".join(langid._parts(t)) for t in texts] == [t.lower() for t in texts]
+        assert [langid.ranked(t, 50).tolist() for t in texts] == want
+    assert [r["gram"] for r in whole] == brute_profile(texts, 50)
+
+
 def test_profiles_and_answers(spark, odd, nothing, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     learned = langid.learn_profiles(docs, top=50)
@@ -238,6 +252,47 @@ def test_quality_of_held_out(spark, odd, nothing, data):
     assert quality.score_quality(odd, few).count() == len(ODD)
 
 
+def brute_quality(rows, labels):
+    """Features, fit order, scores and answers of the whole query, row by row."""
+    crc = lambda i: zlib.crc32(str(i).encode())
+    learned = [(i, t, n, labels[i]) for i, t, n in rows if crc(i) % 3 != 1 and labels.get(i) is not None]
+    return learned, {i: crc(i) % 3 == 1 for i, _, _ in rows}
+
+
+def test_quality_query_by_hand(spark, data, monkeypatch):
+    """The query against the machine fitted and scored here, over other partitions and a tighter bound."""
+    from lodestone.llm import queries
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "n_chars")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    learned, held = brute_quality([tuple(r) for r in docs.collect()], labels)
+    by = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    learned.sort(key=lambda r: by[r[0]])
+    rows = [next(quality.features([t], [[n]])) for _, t, n, _ in learned]
+    machine = quality.fit([(s, v.astype(np.float32).astype(float)) for s, v in rows], np.array([float(q) for *_, q in learned]), ["n_chars"])
+    want = {r["doc_id"]: float(machine.score([next(quality.features([r["text"]], [[r["n_chars"]]]))])[0]) for r in docs.collect()}
+    got = {r["doc_id"]: r for r in queries.op3_quality(spark, data).collect()}
+    assert got.keys() == want.keys() and len(learned) > 50
+    for i, r in got.items():
+        assert r["held_out"] == held[i] and r["score"] == pytest.approx(want[i], abs=1e-9) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_quality_does_not_depend_on_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "n_chars")
+    both = docs.join(spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    machines = [quality.learn(both.repartition(n).unionByName(both.limit(5)), metadata=["n_chars"], max_rows=60) for n in (1, 3, 7)]
+    for m in machines[1:]:
+        assert m.bias == machines[0].bias and (m.weight == machines[0].weight).all() and (m.factor == machines[0].factor).all()
+
+
+def test_quality_reads_metadata(spark):
+    rows = [(n, "the same words", float(10 ** (n % 2 * 3)) if n % 7 else None, n % 2) for n in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size double, quality int")
+    scored = quality.score_quality(df, quality.learn(df, metadata=["size"])).collect()
+    assert all((r["quality_score"] >= 0.5) == (r["quality"] == 1) for r in scored if r["size"] is not None)
+    assert all(0 <= r["quality_score"] <= 1 for r in scored)
+
+
 # ---- decontamination
 
 
