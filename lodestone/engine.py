@@ -25,6 +25,7 @@ from lodestone.functions.exprs import content_digest, effective, half_even, modu
 from lodestone.operators import extract, graph, paging, search, temporal, windows
 from lodestone.operators import relational as rel
 from lodestone.sources import files
+from lodestone.storage import checkpointed
 
 FACTS = ("raw_hash", "structural_hash", "language", "artifact_type", "loc", "complexity", "grp")
 
@@ -158,14 +159,14 @@ class Engine:
 
     def scope(self, goal: str, primary: int = 8, limit: int = 50, depth: int = 2) -> dict[str, DataFrame]:
         """What to read for a goal: primary modules spread over folders, related ones by proximity, tests."""
-        ranked = graph.checkpointed(self.rank_goal(goal).select("node", "path", "grp", "score"))
+        ranked = checkpointed(self.rank_goal(goal).select("node", "path", "grp", "score"))
         rows = ranked.select(F.lit("goal").alias("key"), "node", parent("path").alias("folder"), effective("grp", default="ungrouped").alias("grp"), "path", "score")
         top = windows.diversity_bound(rows, "key", [F.col("score").desc(), F.col("path")], primary).drop("_fill").distinct()
         chosen = windows.diversity_select(top.withColumn("rank", F.row_number().over(_by_score()).cast("long")), "key", primary).drop("rank")
         before = ranked.select(F.col("score").alias("_score"), F.col("path").alias("_path"))
         ahead = F.count_if((F.col("_score") > F.col("score")) | ((F.col("_score") == F.col("score")) & (F.col("_path") < F.col("path"))))
         ranks = before.join(F.broadcast(chosen.select("node", "score", "path"))).groupBy("node").agg((ahead + 1).alias("rank"))
-        chosen = graph.checkpointed(chosen.join(ranks, "node").select("key", "rank", "node", "folder", "grp", "path", "score", "place"))
+        chosen = checkpointed(chosen.join(ranks, "node").select("key", "rank", "node", "folder", "grp", "path", "score", "place"))
         seeds = chosen.select("node")
         nodes = self.modules.select("node", parent("path").alias("folder"), "grp", "path").join(ranked.select("node", F.col("score").alias("lexical")), "node", "left")
         related = graph.related(self.edges, seeds, nodes, depth, limit)
@@ -184,7 +185,7 @@ class Engine:
         """Who depends on a module, directly and through others, and how risky a change is."""
         target = self.modules.where(F.col("path") == path).select("node")
         found = graph.dependants(self.edges, target).join(self.modules.select("node", "path", "kind"), "node")
-        found = graph.checkpointed(found)
+        found = checkpointed(found)
         d = graph.degree_distinct(self.edges).join(target, "node", "left_semi").select((F.col("fan_in") + F.col("fan_out")).alias("d")).first()
         n = found.agg(F.count_if(F.col("distance") == 1).alias("direct"), F.count_if(F.col("distance") > 1).alias("transitive"), F.count_if(F.contains(F.lower("path"), F.lit("migration"))).alias("migrations")).first()
         row = found.sparkSession.range(1).select(scores.impact_risk(F.lit(path in protected), F.lit(conflicts), F.lit(n["transitive"]), F.lit(d["d"] if d else 0), F.lit(n["direct"]), F.lit(n["migrations"])).alias("risk")).first()

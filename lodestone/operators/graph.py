@@ -7,21 +7,16 @@ lineage and survives lost executors; only counts reach the driver.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scores import proximity
+from lodestone.storage import checkpointed, release
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialises in spark.checkpoint.dir; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint(eager=True)
+HOPS = 4  # a round's
+COMPACT = 8  # rounds whose rings stand apart before they are put together
 
 
 # ---- degrees: three definitions, three functions
@@ -56,20 +51,45 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataF
     """``node, distance`` of all nodes that a path leads to from ``start`` (a ``node`` column),
     which are at distance 0."""
     hops = checkpointed(edges.where("target is not null").select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
-    seen, at = checkpointed(start.select("node").distinct().withColumn("distance", F.lit(0))), 0
-    while depth is None or at < depth:
-        at += 1
-        seen = _step(seen, hops, at)
-        if seen.where(F.col("distance") == at).isEmpty():
-            break
-    return seen
-
-
-def _step(seen: DataFrame, hops: DataFrame, at: int) -> DataFrame:
-    """``seen`` and what one hop from its last ring adds.  The least distance per node is an aggregate over both, so the
-    number of partitions stays as it is, however many hops there are."""
-    fresh = seen.where(F.col("distance") == at - 1).join(hops, "node").select(F.col("next").alias("node"), F.lit(at).alias("distance"))
-    return checkpointed(seen.unionByName(fresh).groupBy("node").agg(F.min("distance").alias("distance")))
+    seen = _Rings(start.select("node").distinct())
+    while (depth is None or seen.at < depth) and seen.grow(hops, HOPS if depth is None else min(HOPS, depth - seen.at)):
+        pass
+    release(hops)
+    return seen.all()
+
+
+class _Rings:
+    """Nodes by distance.  A round takes a few hops from the last ring and writes only the nodes that are new; every COMPACT
+    rounds the parts are put together in one table, so neither the rows written nor the number of partitions grows with
+    rounds times nodes."""
+
+    def __init__(self, start: DataFrame):
+        self.at, self.parts = 0, [checkpointed(start.withColumn("distance", F.lit(0)))]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def grow(self, hops: DataFrame, n: int = 1) -> bool:
+        """Adds the next n rings; false where the last of them is empty."""
+        ring, rings = self.parts[-1].where(F.col("distance") == self.at).select("node"), []
+        for at in range(self.at + 1, self.at + n + 1):
+            ring = ring.join(hops, "node").select(F.col("next").alias("node")).distinct()
+            rings.append(ring.withColumn("distance", F.lit(at)))
+        found = rings[0]
+        for r in rings[1:]:
+            found = found.unionByName(r)
+        found = found.groupBy("node").agg(F.min("distance").alias("distance")) if n > 1 else found
+        fresh = checkpointed(found.join(self.all().select("node"), "node", "left_anti"))
+        if len(self.parts) >= COMPACT:
+            whole = checkpointed(self.all())
+            release(*self.parts)
+            self.parts = [whole]
+        self.parts.append(fresh)
+        self.at += n
+        return not fresh.where(F.col("distance") == self.at).isEmpty()
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -97,12 +117,12 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, hub: int = 80) ->
     ``hub`` distinct neighbours (in and out) aren't passed through."""
     both = undirected(edges)
     passable = degree_distinct(edges).where(F.col("fan_in") + F.col("fan_out") <= hub).select(F.col("node").alias("source"))
-    near = reach(both, seeds, depth=1)
-    calm = checkpointed(both.join(passable, "source", "left_semi").select(F.col("source").alias("node"), F.col("target").alias("next"))) if depth > 1 else None
-    seen = near
-    for at in range(2, depth + 1):
-        seen = _step(seen, calm, at)
-    return seen
+    seen = _Rings(seeds.select("node").distinct())
+    if depth > 0 and seen.grow(both.select(F.col("source").alias("node"), F.col("target").alias("next"))) and depth > 1:
+        calm = checkpointed(both.join(passable, "source", "left_semi").select(F.col("source").alias("node"), F.col("target").alias("next")))
+        while seen.at < depth and seen.grow(calm):
+            pass
+    return seen.all()
 
 
 def related(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
@@ -162,11 +182,12 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 def _least_ancestor(edges: DataFrame) -> DataFrame:
     """``node, color``: the least node among a node and all that reach it."""
     nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
-    color = checkpointed(nodes.withColumn("color", F.col("node")))
+    color = held = checkpointed(nodes.withColumn("color", F.col("node")))
     while True:
         sent = edges.join(color.select(F.col("node").alias("source"), F.col("color").alias("c")), "source").groupBy(F.col("target").alias("node")).agg(F.min("c").alias("c"))
         fresh = checkpointed(color.join(sent, "node", "left").select("node", F.least("color", "c").alias("color"), (F.coalesce(F.col("c"), F.col("color")) < F.col("color")).alias("changed")))
-        color = fresh.select("node", "color")
+        release(held)
+        color, held = fresh.select("node", "color"), fresh
         if not fresh.agg(F.bool_or("changed")).first()[0]:
             return color
 
