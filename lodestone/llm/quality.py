@@ -128,22 +128,25 @@ def _numbers(metadata: Sequence[str]):
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: Sequence[str] = (), max_rows: int = FIT_ROWS) -> FactorisationMachine:
-    """Fits on at most ``max_rows`` rows with a label: those first by the hash of the id (then id, hash of the text, label and
-    metadata), and in that order, so the machine doesn't depend on how the rows are dealt.  Repeated rows count once."""
-    key = ["_by", "_id", "_hash", "_label", "_numbers"]
+    """Fits on at most ``max_rows`` rows with a label: those first by the hash of the id (then id and label), and in that order,
+    so the machine doesn't depend on how the rows are dealt.  Of rows that share id and label the one of the least metadata
+    and text counts."""
+    by = F.xxhash64(F.col(id_col))
+    key = ["_by", "_id", "_label"]
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = list(features(b["_text"], b["_numbers"]))
-            yield pd.DataFrame({"by": b["_by"], "id": b["_id"], "hash": b["_hash"], "slots": [s.astype("<i4").tobytes() for s, _ in rows], "values": [v.astype("<f4").tobytes() for _, v in rows], "label": b["_label"].to_numpy(float)})
+            yield pd.DataFrame({"by": b["_by"], "id": b["_id"], "label": b["_label"], "slots": [s.astype("<i4").tobytes() for s, _ in rows], "values": [v.astype("<f4").tobytes() for _, v in rows]})
 
     known = labelled.where(F.col(label_col).isNotNull())
-    known = known.select(F.xxhash64(F.col(id_col)).alias("_by"), F.col(id_col).cast("string").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(label_col).cast("double").alias("_label"), _numbers(metadata).alias("_numbers"), F.col(text_col).alias("_text"))
-    # The keys alone tell the last row that is taken; only then are texts gathered.
-    cut = known.select(*key).distinct().orderBy(*key).limit(max_rows).agg(F.max(F.struct(*key)).alias("last"))
-    picked = known.join(F.broadcast(cut), F.struct(*key) <= F.col("last")).drop("last").dropDuplicates(key)
-    table = picked.mapInPandas(featured, "by long, id string, hash long, slots binary, values binary, label double").toPandas()
-    table = table.sort_values(["by", "id", "hash", "label", "slots"], na_position="first", ignore_index=True)
+    keys = [by.alias("_by"), F.col(id_col).cast("string").alias("_id"), F.col(label_col).cast("double").alias("_label")]
+    # The keys alone tell the last row that is taken; texts are read for the rows up to it only.
+    last = known.select(*keys).distinct().orderBy(*key).limit(max_rows).agg(F.max("_by")).first()[0]
+    picked = known.where(by <= F.lit(last)).select(*keys, F.struct(_numbers(metadata).alias("_numbers"), F.col(text_col).alias("_text")).alias("_row"))
+    picked = picked.groupBy(*key).agg(F.min("_row").alias("_row")).select(*key, "_row.*")
+    table = picked.mapInPandas(featured, "by long, id string, label double, slots binary, values binary").toPandas()
+    table = table.sort_values(["by", "id", "label"], na_position="first", ignore_index=True).head(max_rows)
     rows = [(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for s, v in zip(table["slots"], table["values"], strict=True)]
     return fit(rows, table["label"].to_numpy(float), metadata)
 
