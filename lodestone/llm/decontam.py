@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.bitmaps import Bitmap, bitmap_of
 from lodestone.llm.shared import materialise
 from lodestone.llm.textcore import shingle_hashes, word_hashes
 
 SEED = 5
-BITMAP_BITS = 1 << 24
 
 
-def runs(table: DataFrame, names: list[str], text_col: str, length: int, bitmap: np.ndarray | None = None) -> DataFrame:
+def runs(table: DataFrame, names: list[str], text_col: str, length: int, bitmap: Bitmap | None = None) -> DataFrame:
     """``names``, ``_words`` (how many the text has), and a row ``_run, _at`` for each run of
     words (by hash) that the bitmap has; texts with fewer words have no runs."""
     sent = None if bitmap is None else table.sparkSession.sparkContext.broadcast(bitmap)
@@ -43,8 +43,7 @@ def runs(table: DataFrame, names: list[str], text_col: str, length: int, bitmap:
                     if len(words) < length:
                         continue
                     h = shingle_hashes(words, length)
-                    bit = h & np.uint64(BITMAP_BITS - 1)
-                    own = np.arange(len(h)) if seen is None else np.flatnonzero(seen[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+                    own = np.arange(len(h)) if seen is None else np.flatnonzero(seen.has(h))
                     rows.append(np.full(len(own), first + i))
                     at.append(own)
                     run.append(h[own])
@@ -57,28 +56,23 @@ def runs(table: DataFrame, names: list[str], text_col: str, length: int, bitmap:
     return table.select(*names, F.col(text_col).alias("_text")).mapInPandas(explode, f"{kinds}, _words int, _run long, _at int")
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """The set of the last bits of a long column as BITMAP_BITS bits; 2 MB whatever the rows."""
-    bit = F.col(keys.columns[0]).bitwiseAND(BITMAP_BITS - 1)
-    words = keys.select((bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def tile(doc_at: np.ndarray, item_at: np.ndarray, seed: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles ``(document word, item word, words)`` from the places of shared seeds.
-
-    All matches are runs of seeds on a diagonal.  Longest first: a match that still has
-    ``seed`` unmarked words in a row is cut to them and marked when it is the longest left;
-    ties go to the first place in the item, then in the document."""
+    """Tiles ``(document word, item word, words)`` from the places of shared seeds."""
     order = np.lexsort((doc_at, doc_at - item_at))
     d, i = doc_at[order], item_at[order]
     new = np.concatenate(([True], (np.diff(d) != 1) | (np.diff(d - i) != 0)))
     starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, len(d))) + seed - 1
+    return tile_matches(d[starts], i[starts], np.diff(np.append(starts, len(d))) + seed - 1, seed)
+
+
+def tile_matches(doc_at: np.ndarray, item_at: np.ndarray, words: np.ndarray, seed: int = SEED) -> list[tuple[int, int, int]]:
+    """The tiles of whole matches, each the longest on its place of a diagonal.
+
+    Longest first: a match that still has
+    ``seed`` unmarked words in a row is cut to them and marked when it is the longest left;
+    ties go to the first place in the item, then in the document."""
     waiting: dict[int, list[tuple[int, int]]] = {}
-    for a, b, n in zip(i[starts].tolist(), d[starts].tolist(), sizes.tolist(), strict=True):
+    for a, b, n in zip(item_at.tolist(), doc_at.tolist(), words.tolist(), strict=True):
         waiting.setdefault(n, []).append((a, b))
     used_i, used_d, tiles = set(), set(), []
     while waiting:
@@ -116,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are lower-cased runs of letters and digits.  Items of fewer than ``seed`` words leak nowhere, as
     do null texts and ids.  Rows that share an id and a text count once; of rows that share an id, each text is
-    tiled alone and the best coverage stays.  An empty table on either side gives no rows.
+    tiled alone and the best coverage stays.  Columns other than id and text are not read.  An empty table on either side gives no rows.
     """
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_it")).where("_item is not null").dropDuplicates()
     grams = runs(items.withColumn("_item_text", F.xxhash64("_it")), ["_item", "_item_text"], "_it", seed).select("_item", "_item_text", F.col("_words").alias("_item_words"), "_run", F.col("_at").alias("_item_at"))
@@ -129,23 +123,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     proposed = hits.join(grams.where("not _common"), "_run").select(*pair, "_at", "_item_at")
     common = grams.where("_common").select("_item", "_item_text", "_run", "_item_at")
     looked_up = proposed.select(*pair).distinct().join(common, ["_item", "_item_text"]).join(hits, ["_doc", "_doc_text", "_run"]).select(*pair, "_at", "_item_at")
-    # The most that tiles can cover is known from the distinct places: few pairs pass.
-    places = proposed.unionByName(looked_up).groupBy(*pair).agg(F.collect_set(F.struct("_at", "_item_at")).alias("_places"))
+    # Places are joined to whole matches along their diagonals first, of which a pair has no more than the words of both.
+    along = Window.partitionBy(*pair, F.col("_at") - F.col("_item_at")).orderBy("_at")
+    matches = proposed.unionByName(looked_up).withColumn("_run_of", F.col("_at") - F.dense_rank().over(along)).groupBy(*pair, (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_run_of")
+    matches = matches.agg(F.min("_at").alias("_at"), F.min("_item_at").alias("_item_at"), (F.max("_at") - F.min("_at") + seed).alias("_n"))
+    matches = matches.groupBy(*pair).agg(F.collect_list(F.struct("_item_at", "_at", "_n")).alias("_matches"))
+    # The most that tiles can cover is what matches cover together: few pairs pass.
     reach = F.aggregate(
-        F.array_sort(F.array_distinct(F.transform("_places", lambda p: p["_item_at"]))), F.struct(F.lit(0).alias("n"), F.lit(-1_000_000).alias("last")),
-        lambda s, p: F.struct((s["n"] + F.least(F.lit(seed), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"],
+        F.array_sort("_matches"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+        lambda s, m: F.struct((s["n"] + F.greatest(m["_item_at"] + m["_n"] - F.greatest(m["_item_at"], s["to"]), F.lit(0))).alias("n"), F.greatest(m["_item_at"] + m["_n"], s["to"]).alias("to")), lambda s: s["n"],
     )
-    likely = places.where(reach >= F.col("_item_words") * F.lit(min_coverage))
+    likely = matches.where(reach >= F.col("_item_words") * F.lit(min_coverage))
 
     @F.pandas_udf("array<struct<doc_word: int, item_word: int, words: int>>")
     def tiled(column: pd.Series) -> pd.Series:
         out = []
-        for places in column:
-            at = np.array([(p["_at"], p["_item_at"]) for p in places], dtype=np.int64)
-            out.append([{"doc_word": d, "item_word": i, "words": n} for d, i, n in sorted(tile(at[:, 0], at[:, 1], seed))])
+        for found in column:
+            m = np.array([(x["_at"], x["_item_at"], x["_n"]) for x in found], dtype=np.int64)
+            out.append([{"doc_word": d, "item_word": i, "words": n} for d, i, n in sorted(tile_matches(m[:, 0], m[:, 1], m[:, 2], seed))])
         return pd.Series(out)
 
-    found = likely.withColumn("tiles", tiled("_places")).withColumn("covered_words", F.aggregate("tiles", F.lit(0), lambda s, t: s + t["words"]))
+    found = likely.withColumn("tiles", tiled("_matches")).withColumn("covered_words", F.aggregate("tiles", F.lit(0), lambda s, t: s + t["words"]))
     found = found.withColumn("coverage", F.col("covered_words") / F.col("_item_words")).where(F.col("coverage") >= min_coverage)
     best = found.groupBy("_doc", "_item").agg(F.max(F.struct("coverage", "covered_words", F.col("_item_words").alias("item_words"), "tiles")).alias("b"))
     return best.select(F.col("_doc").alias("doc_id"), F.col("_item").alias("item_id"), "b.item_words", "b.covered_words", "b.coverage", "b.tiles")

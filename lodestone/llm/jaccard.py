@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.decontam import BITMAP_BITS, bitmap_of
-from lodestone.llm.shared import materialise
+from lodestone.llm.bitmaps import Bitmap, bitmap_of
+from lodestone.llm.shared import materialise, release
 from lodestone.llm.textcore import mix64, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -128,32 +128,31 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, HASHES)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``id, fp, sig`` of each row, or with a bitmap of ids ``id, fp, shingles`` of those it has;
-    fp is null where the text has no words."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, shingles: bool = False, bitmap: Bitmap | None = None) -> DataFrame:
+    """``id, fp, data`` of each row, or of those whose id a bitmap has: data is the signature, or the shingles; fp is null
+    where the text has no words."""
     sent = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if sent is not None:
-                bit = b["_bit"].to_numpy(np.int64)
-                b = b[(sent.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+                b = b[sent.value.has(b["_hash"].to_numpy(np.int64))]
             ids = b["_id"].to_numpy(np.int64)
             for first, last, hashes, offsets in word_hashes(b["_text"]):
                 rows = []
                 for i in range(last - first):
                     s = shingle_set(hashes[offsets[i] : offsets[i + 1]], k)
                     fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                    rows.append((fp, (signature(s) if sent is None else s).tobytes() if len(s) else None))
+                    rows.append((fp, (s if shingles else signature(s)).tobytes() if len(s) else None))
                 yield pd.DataFrame({"id": ids[first:last], "fp": [r[0] for r in rows], "data": [r[1] for r in rows]})
 
-    bit = F.xxhash64(id_col).bitwiseAND(BITMAP_BITS - 1)
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), bit.alias("_bit")).mapInPandas(run, "id long, fp binary, data binary")
+    own = F.col(id_col).cast("long")
+    return docs.where(F.col(id_col).isNotNull()).select(own.alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(own).alias("_hash")).mapInPandas(run, "id long, fp binary, data binary")
 
 
-def _candidates(small: DataFrame) -> DataFrame:
+def _candidates(small: DataFrame, threshold: float) -> DataFrame:
     """``a, b, a_copies, b_copies`` of pairs in small buckets that pass all steps."""
-    least = least_agreements()
+    least = least_agreements(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, starts in groups(batches, ["key"]):
@@ -194,7 +193,7 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
 def _blocks(large: DataFrame, threshold: float) -> DataFrame:
     """``u, v, w`` for sets with links inside pairs of blocks of large buckets: w is the copies of
     all partners, v the least set that u is connected to there."""
-    least = least_agreements()
+    least = least_agreements(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, starts in groups(batches, ["key", "i", "j"]):
@@ -250,6 +249,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
+        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -257,6 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u <> v").distinct())
+        release(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -268,14 +269,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``class_id`` is the least id that a chain of links leads to; ``n_links`` counts the other
     documents whose set of ``words``-word n-grams is at least ``threshold`` similar, copies
-    among them.  A text of fewer words is one n-gram.
+    among them.  A text of fewer words is one n-gram.  The bands find pairs from THRESHOLD on, so a lower
+    threshold is refused.
 
-    Null and empty texts and texts without words are linked to nothing.  Null ids are left out.  Of rows that
-    share an id the one of the largest set digest counts, so repeated rows count once.  An empty table gives no rows.
+    Null and empty texts and texts without words are linked to nothing.  Null ids are left out.  Rows that
+    share an id and a set of n-grams count once; of rows that share an id with different sets each is joined, all are in one
+    class, and ``n_links`` is the sum over them.  Columns other than id and text are not read.  An empty table gives no rows.
     """
-    rows = _sets(docs, id_col, text_col, words).groupBy("id").agg(F.max(F.struct("fp", "data")).alias("s"))
-    own = materialise(rows.select("id", "s.fp", F.col("s.data").alias("sig")))
-    sets = materialise(own.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    if threshold < THRESHOLD:
+        raise ValueError(f"threshold below {THRESHOLD}")
+    rows = _sets(docs, id_col, text_col, words).groupBy("id", "fp").agg(F.first("data").alias("sig"))
+    own = materialise(rows)
+    # A set is named by a number: an id may stand for several sets.
+    sets = own.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    sets = materialise(sets.withColumn("rep", F.monotonically_increasing_id()))
+    several = materialise(own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    repeated = not several.isEmpty()
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -291,23 +300,31 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     masks = members.where(F.col("n") > SMALL_BUCKET).groupBy("rep").agg(F.bit_or(bit).alias("large"))
     about = sets.select("rep", "copies", "sig").join(masks, "rep", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
     known = members.join(about, "rep")
-    pairs = materialise(_candidates(known.where(F.col("n") <= SMALL_BUCKET)))
+    pairs = materialise(_candidates(known.where(F.col("n") <= SMALL_BUCKET), threshold))
 
     needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(members.where(F.col("n") > SMALL_BUCKET).select("rep")).distinct()
-    picked = _sets(docs, id_col, text_col, words, bitmap_of(needed.select(F.xxhash64("rep"))))
-    shingles = materialise(picked.join(needed, F.col("id") == F.col("rep"), "left_semi").groupBy(F.col("id").alias("rep")).agg(F.max(F.struct("fp", "data")).alias("s")).select("rep", F.col("s.data").alias("shingles")))
+    needed = materialise(sets.select("rep", "fp", F.col("first_id").alias("id")).join(needed, "rep", "left_semi"))
+    picked = _sets(docs, id_col, text_col, words, True, bitmap_of(needed.select(F.xxhash64("id"))))
+    shingles = materialise(picked.join(needed, ["id", "fp"]).groupBy("rep").agg(F.first("data").alias("shingles")))
 
     number = F.ceil(F.col("n") / BLOCK).cast("int")
     block = known.where(F.col("n") > SMALL_BUCKET).withColumn("block", F.pmod(F.xxhash64("rep"), number).cast("int"))
     block = block.withColumn("other", F.explode(F.sequence(F.lit(0), number - 1))).select("key", "rep", "copies", "sig", "large", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = materialise(_verified(pairs, shingles, threshold).unionByName(_blocks(block.join(shingles, "rep"), threshold)))
 
-    root = components(links.select("u", "v"))
+    edges = links.select("u", "v")
+    if repeated:  # the sets of one id belong together
+        same = own.join(several, "id", "left_semi").join(sets.select("fp", "rep"), "fp").select("id", "rep")
+        edges = edges.unionByName(same.join(same.groupBy("id").agg(F.min("rep").alias("v")), "id").select(F.col("rep").alias("u"), "v"))
+    root = materialise(components(edges).withColumnRenamed("node", "rep"))
+    least = root.join(sets.select("rep", "first_id"), "rep").groupBy("root").agg(F.min("first_id").alias("class_id"))
     count = links.groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("partners"))
-    result = sets.select("fp", "rep", "copies").join(root.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left")
-    result = result.select("fp", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = own.select("id", "fp").join(materialise(result), "fp", "left")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    result = sets.select("fp", "rep", "first_id", "copies").join(root.join(least, "root"), "rep", "left").join(count, "rep", "left")
+    result = materialise(result.select("fp", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    release(shared, members, pairs, needed, shingles, links, root, sets)
+    out = own.select("id", "fp").join(result, "fp", "left")
+    out = out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out if not repeated else out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

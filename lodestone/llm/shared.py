@@ -1,33 +1,6 @@
 """Materialising intermediate results where every executor can read them."""
 
-from __future__ import annotations
+from lodestone.storage import checkpointed as materialise
+from lodestone.storage import drop_path, release, shared_path
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> None:
-    """Makes sure that checkpoint() has a folder: the cluster's own, or one of ours where
-    none is set (tests on one machine)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once; later reads come from the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    shared_folder(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["drop_path", "materialise", "release", "shared_path"]

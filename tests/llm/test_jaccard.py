@@ -69,6 +69,36 @@ def test_odd_rows(spark, odd, nothing):
     assert jaccard.jaccard_join(nothing).count() == 0 and jaccard.dedup_near(nothing).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Each text of an id is joined, and its texts are in one class."""
+    a, b, c = (" ".join(f"{x}{n}" for n in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (3, b), (4, b), (2, b + " more"), (5, c), (2, None), (2, a + " more"), (6, None), (6, "x")]
+    for kind in ("int", "long"):
+        got = sorted(map(tuple, jaccard.jaccard_join(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()))
+        assert got == [(1, 1, 1), (2, 1, 3), (3, 1, 2), (4, 1, 2), (5, 5, 0), (6, 6, 0)]
+
+
+def test_other_thresholds(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_join(df, threshold=0.9).collect())) == brute(rows, threshold=0.9)
+    with pytest.raises(ValueError):
+        jaccard.jaccard_join(df, threshold=0.5)
+
+
+def test_bitmaps(spark, monkeypatch):
+    from lodestone.llm import bitmaps
+
+    keys = spark.range(1000).selectExpr("xxhash64(id) AS k")
+    own = np.array([r["k"] for r in keys.collect()], np.int64)
+    bitmap = bitmaps.bitmap_of(keys)
+    assert bitmap.has(own).all() and bitmap.has(own + 12345).mean() < 0.1
+    monkeypatch.setattr(bitmaps, "MOST_BITS", 1 << 11)
+    assert bitmaps.bitmap_of(keys) is None and bitmaps.bitmap_of(keys.where("false")).has(own).sum() == 0
+    rows = corpus(5)
+    assert sorted(map(tuple, jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_pruning_is_the_posterior():
     rng = np.random.default_rng(0)
     least = jaccard.least_agreements(0.8, 1e-3, 32)
