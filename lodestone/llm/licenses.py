@@ -41,20 +41,20 @@ TEMPLATES = (
 
 
 def _words(text: Column) -> Column:
-    # lower() also folds the Kelvin sign to k, a letter of no phrase; it changes no word's bounds.
+    # lower() makes an ASCII letter of one other sign only, the Kelvin sign, so that is hidden from it; it changes no word's bounds.
     # Splitting at single blanks is far cheaper than matching the words by pattern.
-    blank = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BETWEEN, " "))
+    blank = F.trim(F.regexp_replace(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e9"))), BETWEEN, " "))
     return F.filter(F.split(blank, " "), lambda w: w != "")
 
 
 def _with_grams(table: DataFrame, words: Column, *keep: Column | str) -> DataFrame:
-    """``keep`` and ``_grams``, the hashes of all runs of GRAM words."""
+    """``keep``, ``_n_words``, and ``_grams``, the hashes of all runs of GRAM words."""
     # Exploding an array of one makes the hashes a column, which the lambda below reads by place;
     # as an expression they would be computed anew for each element.
     hashed = table.select(*keep, F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("_hashed"))
     runs = F.slice("_hashed", 1, F.greatest(F.size("_hashed") - (GRAM - 1), F.lit(0)))
     grams = F.transform(runs, lambda h, i: F.xxhash64(h, *[F.get("_hashed", i + j) for j in range(1, GRAM)]))
-    return hashed.select("*", grams.alias("_grams")).drop("_hashed")
+    return hashed.select("*", F.size("_hashed").alias("_n_words"), grams.alias("_grams")).drop("_hashed")
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
@@ -70,15 +70,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words, share of the template held).
 
     Null and empty texts have no words, no places and score 0.  Texts under GRAM words match
-    nothing.  Rows with the same id and text are scanned once and each returned.  A null id is kept as is.
+    nothing.  Rows with the same id and text are scanned once and each returned.  A null id is kept as is.  Columns other than
+    id and text are not read.
     """
     key = [F.col(id_col).alias("_lic_id"), F.xxhash64(F.col(text_col)).alias("_lic_text")]
-    grams = _with_grams(docs, _words(F.col(text_col)), *key).select("_lic_id", "_lic_text", F.posexplode("_grams").alias("_at", "gram"))
-    votes = grams.join(F.broadcast(template_grams(docs.sparkSession)), "gram").withColumn("diagonal", F.col("_at") - F.col("place"))
+    # Besides its grams each text sends a row without one, which counts its words, so that texts are read once.
+    grams = _with_grams(docs, _words(F.col(text_col)), *key).select("_lic_id", "_lic_text", "_n_words", F.posexplode(F.concat("_grams", F.array(F.lit(None).cast("long")))).alias("_at", "gram"))
+    votes = grams.join(F.broadcast(template_grams(docs.sparkSession)), "gram", "left").where("template IS NOT NULL OR gram IS NULL").withColumn("diagonal", F.when(F.col("gram").isNotNull(), F.col("_at") - F.col("place")))
     own = ["_lic_id", "_lic_text", "template", "label", "phrase", "grams"]
-    diagonals = votes.groupBy(*own, "diagonal").agg(F.collect_set("place").alias("places"), F.min("_at").alias("from"), F.max("_at").alias("to"))
+    found = votes.groupBy(*own, "diagonal").agg(F.collect_set("place").alias("places"), F.min("_at").alias("from"), F.max("_at").alias("to"), F.max("_n_words").cast("long").alias("n_words"), F.count_if(F.col("gram").isNull()).alias("rows"))
 
-    diagonals = materialise(diagonals)  # few rows, read twice below; else all texts would be hashed twice
+    found = materialise(found)  # few rows, read several times below; else all texts would be hashed each time
+    diagonals = found.where("template IS NOT NULL").drop("n_words", "rows")
     exact = diagonals.where(F.col("phrase") & (F.size("places") == F.col("grams")))
     base = exact.groupBy("_lic_id", "_lic_text").agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base"))
 
@@ -93,9 +96,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_sort(F.collect_list(F.struct("label", "from", (F.col("to") - F.col("from") + GRAM).alias("words"), "share"))).alias("spans")
     )
 
+    texts = found.where("template IS NULL").select("_lic_id", "_lic_text", "n_words", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_copy"))
     found = base.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).unionByName(spans, allowMissingColumns=True)
     found = found.groupBy("_lic_id", "_lic_text").agg(*[F.max(c).alias(c) for c in ("n_base", "first_word", "last_word", "base", "spans")])
-    texts = docs.select(*key, F.size(_words(F.col(text_col))).cast("long").alias("n_words"))
     out = texts.alias("t").join(found.alias("f"), F.expr("t._lic_id <=> f._lic_id and t._lic_text = f._lic_text"), "left")
     labels = F.array_union(F.coalesce("base", F.array().cast("array<string>")), F.coalesce(F.transform("spans", lambda s: s["label"]), F.array().cast("array<string>")))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)))

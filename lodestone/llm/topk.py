@@ -45,6 +45,16 @@ def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.rint(x @ q).astype(np.int64)
 
 
+def padded(vectors: list, width: int) -> np.ndarray:
+    """Vectors as rows of ``width``; what a vector lacks is 0, and what a query lacks adds nothing."""
+    if all(len(v) == width for v in vectors):
+        return np.stack(vectors).astype(np.float64) if len(vectors) else np.empty((0, width))
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors, strict=True):
+        row[: min(len(v), width)] = v[:width]
+    return out
+
+
 class BlockSearch:
     """The best k candidates so far for each query of a block."""
 
@@ -58,7 +68,7 @@ class BlockSearch:
         x = vectors.astype(np.float64)
         slack = 1e-9 * (1 + np.abs(x).max() * np.abs(self.q).max() * x.shape[1])
         rows, cols = np.arange(len(self.ids)), np.arange(len(ids))
-        alive = self.ids[:, None] != ids[None, :]
+        alive = np.ones((len(self.ids), len(ids)), dtype=bool)
         for fq, segments in zip(self.levels, LEVELS, strict=True):
             # A level works on the queries and candidates of which any pair is left.
             rows, cols = rows[alive[rows].any(1)], cols[alive[:, cols].any(0)]
@@ -78,15 +88,16 @@ class BlockSearch:
     def result(self) -> pd.DataFrame:
         n = [len(b) for b in self.best]
         flat = np.concatenate(self.best) if n else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"query_id": np.repeat(self.ids, n), "vec_id": flat[:, 1], "score": flat[:, 0]})
+        own = np.array([int(_products(q[None], q)[0]) for q in self.q], np.int64)
+        return pd.DataFrame({"query_id": np.repeat(self.ids, n), "vec_id": flat[:, 1], "score": flat[:, 0], "own": np.repeat(own, n)})
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """``(_id, _v array<double>)``: floor(scale * component), as doubles (held to 64 bits).  Rows with a
-    null id, a null or empty vector, or null or non-finite components are left out."""
+    null id, a null vector, or null or non-finite components are left out."""
     x = F.col(vector_col).cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select(F.col(id_col).cast("long").alias("_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("_v"))
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("_v"))
 
 
 def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block: int = 4096) -> DataFrame:
@@ -94,8 +105,9 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     k other rows of the largest inner product of quantised vectors, ties to smaller ids.
 
     Rows that ``quantised`` leaves out take no part.  Of rows that share a query's id the
-    smallest vector asks, and none of them answers; other repeated rows each may answer.  Only vectors
-    of equal length are compared.  Scores beyond 64 bits are cut to the largest there is.  At most ``block`` queries are broadcast at a time.
+    smallest vector asks; the others answer as all other rows do, each by itself.  A shorter vector goes on with
+    zeros, so an empty one scores 0.  Scores beyond 64 bits are cut to the largest there is.  At most ``block`` queries are broadcast at a time.
+    Columns other than id and vector are not read.
     """
     rows = quantised(vectors, id_col, vector_col, scale)
     spark = vectors.sparkSession
@@ -106,24 +118,19 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     asks = asks if blocks == 1 else materialise(asks)
     for at in range(blocks):
         own = asks.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == at).toPandas()
-        by_length = {}
-        for length, g in own.groupby(own["_v"].map(len)):
-            by_length[length] = (g["_id"].to_numpy(np.int64), np.stack(g["_v"].to_numpy()))
-        sent = spark.sparkContext.broadcast(by_length)
+        width = max([1, *map(len, own["_v"])])
+        sent = spark.sparkContext.broadcast((own["_id"].to_numpy(np.int64), padded(own["_v"].tolist(), width)))
 
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            found = {n: BlockSearch(ids, q, k) for n, (ids, q) in sent.value.items()}
+        def search(batches: Iterator[pd.DataFrame], sent=sent, width=width) -> Iterator[pd.DataFrame]:
+            ids, queries = sent.value
+            found = BlockSearch(ids, queries, k + 1)  # a query may find itself
             for b in batches:
-                lengths = b["_v"].map(len).to_numpy()
-                for n in set(lengths.tolist()) & found.keys():
-                    own = np.flatnonzero(lengths == n)
-                    for a in range(0, len(own), ROWS):
-                        part = b.iloc[own[a : a + ROWS]]
-                        found[n].add(part["_id"].to_numpy(np.int64), np.stack(part["_v"].to_numpy()))
-            for f in found.values():
-                yield f.result()
-
-        best = rows.mapInPandas(search, "query_id long, vec_id long, score long")
+                for a in range(0, len(b) if len(ids) else 0, ROWS):
+                    part = b.iloc[a : a + ROWS]
+                    found.add(part["_id"].to_numpy(np.int64), padded(part["_v"].tolist(), width))
+            yield found.result()
+
+        best = rows.mapInPandas(search, "query_id long, vec_id long, score long, own long")
         parts.append(best if blocks == 1 else materialise(_ranked(best, k)))
     out = parts[0]
     for p in parts[1:]:
@@ -133,4 +140,9 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    # The query's own row, where it is among them, is one of those with its id and its own score.
+    itself = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    gone = F.min(F.when(itself, F.col("place"))).over(Window.partitionBy("query_id"))
+    found = found.withColumn("gone", gone).where("gone IS NULL OR place <> gone")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

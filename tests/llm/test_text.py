@@ -60,6 +60,7 @@ def test_licenses(spark, odd, nothing):
     rows = [
         *ODD, (20, head + "Released Under the MIT License, under the mit license."), (21, "apache\nlicense version 2 cc-by-nc 4.0"), (22, "under the mit licenses"), (23, "CC BY NC"),
         (24, "Permission is hereby granted, free of any charge, to any person obtaining one copy of this software and associated documentation files"), (25, "permission is granted to nobody"),
+        (26, "This wor\u212a is licensed under cc by nc 4.0"), (27, "THIS WORK IS licensed under CC by"),
     ]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
@@ -91,15 +92,18 @@ def test_top_k_against_all_pairs(spark):
     vectors[50:150] = vectors[0]  # many ties
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     rows += [(400, None), (500, [None] * 24), (600, [float("nan")] * 24), (700, [float("inf")] * 24), (800, []), (None, vectors[1].tolist()), (900, [1.0, 2.0]), (901, [3.0, 1.0]), (41, vectors[7].tolist())]
+    rows += [(40, (vectors[40] * 2).tolist()), (60, vectors[60].tolist()), (60, vectors[60].tolist()), (902, vectors[3].tolist() + [5.0, 6.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     whole = {}
     for i, v in rows:
-        if i is not None and v and all(c is not None and np.isfinite(c) for c in v):
+        if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v):
             whole.setdefault(i, []).append(np.floor(1024 * np.array(v, dtype=np.float32).astype(float)).astype(int).tolist())
     want = []
     for q in [i for i in whole if i % 20 == 0]:
         own = min(whole[q])
-        scored = sorted((-int(np.dot(own, x)), i) for i, xs in whole.items() if i != q for x in xs if len(x) == len(own))[:10]
+        others = [(i, x) for i, xs in whole.items() for x in xs]
+        others.remove((q, own))
+        scored = sorted((-sum(a * b for a, b in zip(own, x, strict=False)), i) for i, x in others)[:10]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     for block in (4096, 7):
         assert sorted(map(tuple, topk.exact_top_k(df, k=10, every=20, block=block).collect())) == sorted(want)
