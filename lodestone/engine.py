@@ -15,13 +15,14 @@ Model columns:
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scores
-from lodestone.functions.exprs import content_digest, effective, half_even, module_aliases, parent, ratio, saturated
+from lodestone.functions.exprs import WORD, content_digest, effective, first_group, half_even, module_aliases, parent, ratio, saturated, stem
 from lodestone.operators import extract, graph, paging, search, temporal, windows
 from lodestone.operators import relational as rel
 from lodestone.sources import files
@@ -170,16 +171,20 @@ class Engine:
         seeds = chosen.select("node")
         nodes = self.modules.select("node", parent("path").alias("folder"), "grp", "path").join(ranked.select("node", F.col("score").alias("lexical")), "node", "left")
         related = graph.related(self.edges, seeds, nodes, depth, limit)
-        return {"primary": chosen, "related": related, "tests": self.related_tests(seeds, related.select("node"))}
+        return {"primary": chosen, "related": related, "tests": self.related_tests(seeds, related.select("node"), goal)}
 
-    def related_tests(self, primary: DataFrame, related: DataFrame, limit: int = 12) -> DataFrame:
+    def related_tests(self, primary: DataFrame, related: DataFrame, goal: str = "", limit: int = 12) -> DataFrame:
+        """Tests by their neighbours among the primary modules (a choice of bounded size) and the related ones, the primary modules'
+        names in their paths, and the goal's words there."""
         near = graph.undirected(self.edges)
         hits = lambda of, name: near.join(of.select(F.col("node").alias("target")).distinct(), "target", "left_semi").groupBy(F.col("source").alias("node")).agg(F.count("*").alias(name))
-        stems = self.modules.join(primary, "node", "left_semi").select(F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace("path", "^.*/", ""), r"\.[^.]*$", "")), "^test_|_test$", "").alias("s")).distinct()
+        chosen = self.modules.join(primary, "node", "left_semi").select(F.regexp_replace(F.lower(stem("path")), "^test_|_test$", "").alias("s")).where("s <> ''").distinct()
+        words = {w.lower() for w in re.findall(WORD, goal) if len(w) > 3}
+        held = lambda some: sum((F.contains(F.lower("path"), F.lit(x)).cast("int") for x in sorted(some)), F.lit(0))
+        names, goals = held({r["s"] for r in chosen.collect()}), held(words)
         tests = self.modules.where("kind = 'test'").select("node", "path")
-        named = tests.join(F.broadcast(stems.limit(200)), F.contains(F.lower("path"), F.col("s"))).groupBy("node").agg(F.count("*").alias("names"))
-        t = tests.join(hits(primary, "p"), "node", "left").join(hits(related, "r"), "node", "left").join(named, "node", "left").fillna(0)
-        return t.withColumn("score", scores.related_test(F.col("p"), F.col("r"), F.col("names"), F.lit(0))).where("score > 0").orderBy(F.col("score").desc(), "path").limit(limit).select("node", "path", "score")
+        t = tests.join(hits(primary, "p"), "node", "left").join(hits(related, "r"), "node", "left").fillna(0)
+        return t.withColumn("score", scores.related_test(F.col("p"), F.col("r"), names, goals)).where("score > 0").orderBy(F.col("score").desc(), "path").limit(limit).select("node", "path", "score")
 
     def impact(self, path: str, protected: tuple[str, ...] = (), conflicts: int = 0) -> dict:
         """Who depends on a module, directly and through others, and how risky a change is."""
@@ -226,29 +231,27 @@ def scan(spark: SparkSession, root: str, policy: dict, previous: DataFrame | Non
     ``facts`` has path, FACTS, summary, symbols and an analysis status; ``edges`` resolved imports by path."""
     tree = files.tree(spark, root, policy["include"], policy["ignore"]).persist()
     lang = extract.language("path")
-    base = extract.line_facts(tree.withColumn("language", lang)).withColumn("artifact_type", extract.artifact_type("path", F.col("language")))
+    base = extract.line_facts(tree.withColumn("language", lang), lang="language").withColumn("artifact_type", extract.artifact_type("path", F.col("language")))
     parsed = extract.parse_python(tree.where(lang == "python"), "path")
-    grp = _grouped(policy)
-    facts = base.join(parsed, "path", "left").select(
-        "path", "raw_hash", F.coalesce("structural_hash", content_digest("text")).alias("structural_hash"), "language", "artifact_type", F.col("lines_of_code").alias("loc"),
-        F.coalesce(F.col("complexity"), F.col("branches") + 1).cast("double").alias("complexity"), grp.alias("grp"), "summary",
-        F.array_join(F.transform("symbols", lambda s: s["name"]), " ").alias("symbols"), F.lit("1").alias("analyzer"),
+    scripts = extract.parse_scripts(tree.where(lang.isin(*extract.SCRIPTS)), "path")
+    names = F.transform("symbols", lambda s: s["name"]).alias("names")
+    read = parsed.select("path", "structural_hash", F.lit(None).cast("int").alias("own_loc"), "complexity", "summary", names)
+    read = read.unionByName(scripts.select("path", "structural_hash", F.col("lines_of_code").alias("own_loc"), "complexity", F.lit(None).cast("string").alias("summary"), names))
+    declared, inferred = first_group("path", [(g["name"], g.get("paths", [])) for g in policy["groups"]]), extract.inferred_group("path", F.col("language"))
+    facts = base.join(read, "path", "left").select(
+        "path", "raw_hash", F.coalesce("structural_hash", content_digest("text")).alias("structural_hash"), "language", "artifact_type", F.coalesce("own_loc", "lines_of_code").alias("loc"),
+        F.coalesce(F.col("complexity"), F.col("branches") + 1).cast("double").alias("complexity"), F.coalesce(declared, inferred).alias("grp"), extract.group_source(declared).alias("group_source"),
+        extract.runtime("path", F.col("language")).alias("runtime"), "summary", F.array_join("names", " ").alias("symbols"), F.lit("1").alias("analyzer"),
     )
     facts = temporal.reuse_status(facts, previous, "path") if previous is not None else facts.withColumn("analysis_status", F.lit("new"))
     facts = facts.withColumn("node", F.xxhash64("path"))
-    edges = python_edges(tree.select("path"), parsed).unionByName(script_edges(tree.where(lang.isin("javascript", "typescript")), policy["aliases"]))
+    edges = python_edges(tree.select("path"), parsed).unionByName(script_edges(tree.where(lang.isin(*extract.SCRIPTS)), policy["aliases"]))
     frame = facts.select("path", *FACTS)
     empty = frame.where("false")
     deltas = temporal.delta_encode(empty if previous is None else previous.select("path", *FACTS), frame, ["path"], FACTS, sequence)
     return {"facts": facts, "edges": edges, "deltas": deltas}
 
 
-def _grouped(policy: dict) -> Column:
-    from lodestone.functions.exprs import first_group
-
-    return F.coalesce(first_group("path", [(g["name"], g.get("paths", [])) for g in policy["groups"]]), extract.runtime_group("path"))
-
-
 def python_edges(paths: DataFrame, parsed: DataFrame) -> DataFrame:
     """Imports resolved through module aliases: ``source, target, external, status, weight`` by path."""
     module = F.replace(F.regexp_replace(F.regexp_replace("path", r"\.pyi?$", ""), "/__init__$", ""), F.lit("/"), F.lit("."))

@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that say nothing about a goal.
-STOP_WORDS = ("a", "an", "and", "as", "for", "from", "in", "into", "of", "on", "the", "to", "with", "new")
+# What is a word of a goal, and words that say nothing about a goal.
+WORD = "[A-Za-z][A-Za-z0-9_-]+"
+STOP_WORDS = ("add", "and", "change", "create", "for", "from", "implement", "in", "of", "on", "the", "to", "update", "with")
 
 
 def col(c: str | Column) -> Column:
@@ -113,7 +114,7 @@ def split_camel(text: str | Column) -> Column:
 
 def goal_terms(text: str | Column) -> Column:
     """Distinct lower-case words of a goal without stop words, plurals also in singular."""
-    words = F.regexp_extract_all(split_camel(text), F.lit("[A-Za-z][A-Za-z0-9_-]+"), F.lit(0))
+    words = F.regexp_extract_all(split_camel(text), F.lit(WORD), F.lit(0))
     words = F.transform(words, lambda w: F.replace(F.lower(w), F.lit("-"), F.lit("_")))
     words = F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & (F.char_length(w) > 1))
     singular = F.transform(F.filter(words, lambda w: w.endswith("s") & (F.char_length(w) > 4)), lambda w: F.substring(w, F.lit(1), F.char_length(w) - 1))

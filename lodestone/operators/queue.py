@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.exprs import backoff_seconds
+from lodestone.storage import checkpointed
 
 
 def spent(jobs: DataFrame, today: str) -> DataFrame:
@@ -91,15 +92,15 @@ def readiness(modules: DataFrame, scopes: DataFrame) -> DataFrame:
 def reduce_tree(items: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
     """Levels of a reduction by ``width``: ``level, part, n, total`` for each key, up to one part.
 
-    Levels are computed from one another; their number is the logarithm of the longest key."""
+    Levels are computed from one another, each once; their number is the logarithm of the longest key."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(order)
     level = items.select(key, ((F.row_number().over(w) - 1) / width).cast("long").alias("part"), F.col(value).cast("double").alias("total"))
-    level = level.groupBy(key, "part").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+    level = checkpointed(level.groupBy(key, "part").agg(F.count("*").alias("n"), F.sum("total").alias("total")))
     out, at = level.withColumn("level", F.lit(0)), 0
     while (level.agg(F.max("part")).first()[0] or 0) > 0:
         at += 1
-        level = level.groupBy(key, F.floor(F.col("part") / width).alias("part")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        level = checkpointed(level.groupBy(key, F.floor(F.col("part") / width).alias("part")).agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
         out = out.unionByName(level.withColumn("level", F.lit(at)))
     return out

@@ -217,13 +217,20 @@ def facets(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(pairs.alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
 
 
-def diagnostic_groups(df: DataFrame, key: str, item: str, severity: Column, sample: int = 3) -> DataFrame:
-    """Groups of two and more: size, largest severity rank, first few items by name."""
-    counted = df.groupBy(key).agg(F.count("*").alias("n"), F.max(severity).alias("top"))
-    items = df.select(key, item).where(F.col(item).isNotNull()).distinct()
-    first = items.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(item))).where(F.col("_n") <= sample)
-    parts = counted.unionByName(first.select(key, F.col(item).alias("_item")), allowMissingColumns=True)
-    return parts.groupBy(key).agg(F.max("n").alias("n"), F.max("top").alias("top"), F.array_join(F.array_sort(F.collect_list("_item")), ",").alias("sample")).where("n >= 2")
+def diagnostic_groups(df: DataFrame, key: str | Sequence[str], item: str, severity: Column, sample: int = 3, histogram: str | None = None) -> DataFrame:
+    """Groups of two and more, by one key or several: size, largest severity rank, first few items by name, and where a column is
+    named for it ``histogram``: how many rows have each of its values, as an array of ``value, n`` by value."""
+    keys = [key] if isinstance(key, str) else list(key)
+    counted = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(severity).alias("top"))
+    items = df.select(*keys, item).where(F.col(item).isNotNull()).distinct()
+    first = items.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(item))).where(F.col("_n") <= sample)
+    parts = counted.unionByName(first.select(*keys, F.col(item).alias("_item")), allowMissingColumns=True)
+    out = [F.max("n").alias("n"), F.max("top").alias("top"), F.array_join(F.array_sort(F.collect_list("_item")), ",").alias("sample")]
+    if histogram is not None:
+        by = df.groupBy(*keys, F.col(histogram).alias("_value")).agg(F.count("*").alias("_k"))
+        parts = parts.unionByName(by.select(*keys, F.struct(F.col("_value").alias("value"), F.col("_k").alias("n")).alias("_h")), allowMissingColumns=True)
+        out.append(F.array_sort(F.collect_list("_h")).alias("histogram"))
+    return parts.groupBy(*keys).agg(*out).where("n >= 2")
 
 
 def pivot_metrics(metrics: DataFrame, key: str, name: str, value: str, names: Sequence[str]) -> DataFrame:
@@ -240,15 +247,14 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def table_digest(df: DataFrame, key: Sequence[str], buckets: int = 64) -> DataFrame:
-    """One SHA-256 of all rows, whatever their order.
+def table_digest(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One SHA-256 of all rows, whatever their order: of their number and of the sums of the four parts of the rows' own SHA-256.
 
-    Row hashes are sorted and hashed within buckets of the hash, and the buckets' hashes once more, so no
-    task sorts the whole table."""
+    Sums combine before the shuffle, so no array of rows is made, however many there are."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in key]), 256)
-    hashed = df.select(row.alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    by = hashed.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return by.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")).alias(f"s{i}") for i in range(4)]
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("n_rows"), *parts)
+    return sums.select("n_rows", F.sha2(F.concat_ws("|", "n_rows", *[F.coalesce(f"s{i}", F.lit(0)).cast("string") for i in range(4)]), 256).alias("digest"))
 
 
 def ordered_digest(df: DataFrame, key: str, item: str) -> DataFrame:

@@ -18,7 +18,7 @@ DEFAULTS = {
     "max_symbol_complexity": {"max": 10, "severity": "warning"},
     "max_fan_out": {"max": 12, "severity": "warning"},
     "max_fan_in": {"max": 30, "severity": "warning"},
-    "no_cycles": {"severity": "error"},
+    "no_cycles": {"severity": "warning"},
     "declared_group_drift": {"severity": "warning"},
     "minimum_line_coverage": {"min": 0.8, "severity": "warning"},
     "dead_code": {"minimum_age_days": 90, "minimum_resolution_rate": 0.95, "severity": "info"},
@@ -55,7 +55,7 @@ def fan_findings(edges: DataFrame, max_out: int = 12, max_in: int = 30) -> DataF
 def cycle_findings(edges: DataFrame) -> DataFrame:
     """One finding per strongly connected component; its key is the sorted members joined by a pipe."""
     members = strongly_connected(edges).groupBy("component").agg(F.array_join(F.array_sort(F.collect_list(F.col("node").cast("string"))), "|").alias("members"), F.count("*").alias("n"))
-    return finding(members, "no_cycles", "dependency_cycle", "error", "members", F.col("n"))
+    return finding(members, "no_cycles", "dependency_cycle", "warning", "members", F.col("n"))
 
 
 def drift(df: DataFrame, declared: str, inferred: str) -> Column:

@@ -49,6 +49,20 @@ def as_of_each(deltas: DataFrame, frames: DataFrame, keys: Sequence[str]) -> Dat
     return frames.select(F.col("seq").alias("frame")).join(held, (F.col("frame") >= F.col("seq")) & (F.col("until").isNull() | (F.col("frame") < F.col("until"))))
 
 
+def frame_sizes(deltas: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``frame, nodes``: how many keys each frame holds, where any.
+
+    A state adds one where it starts and takes one where the key's next delta ends it, so only sums per frame are put in
+    order, not the frames' rows."""
+    w = Window.partitionBy(*keys).orderBy("seq")
+    held = deltas.select(*keys, "seq", "kind").withColumn("until", F.lead("seq").over(w)).where(F.col("kind") != "delete")
+    steps = held.select("seq", F.lit(1).alias("d")).unionByName(held.where("until IS NOT NULL").select(F.col("until").alias("seq"), F.lit(-1).alias("d")))
+    steps = steps.groupBy("seq").agg(F.sum("d").alias("d"), F.lit(False).alias("asked")).unionByName(frames.select("seq").distinct().select("seq", F.lit(0).cast("long").alias("d"), F.lit(True).alias("asked")))
+    by = steps.groupBy("seq").agg(F.sum("d").alias("d"), F.bool_or("asked").alias("asked"))
+    running = F.sum("d").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))  # a row per frame
+    return by.withColumn("nodes", running).where("asked AND nodes > 0").select(F.col("seq").alias("frame"), "nodes")
+
+
 def lineage_faults(snapshots: DataFrame) -> DataFrame:
     """``id, fault`` of snapshots ``(id, base, seq, repository)``: missing or foreign base, or a sequence that doesn't
     follow its base.  A cycle has a snapshot whose number doesn't follow, so it is found too."""

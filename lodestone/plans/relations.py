@@ -147,7 +147,7 @@ def as_of_snapshot(t: Tables) -> DataFrame:
 @query(f"WITH {a.DELTAS}, k AS (SELECT *, lead(seq) OVER (PARTITION BY node ORDER BY seq) AS till FROM d) SELECT s.seq AS frame, count(*) AS nodes FROM (SELECT DISTINCT seq FROM d) s JOIN k ON s.seq >= k.seq AND (till IS NULL OR s.seq < till) AND kind <> 'delete' GROUP BY s.seq")
 def frame_sizes(t: Tables) -> DataFrame:
     d = a.deltas(t)
-    return temporal.as_of_each(d, d.select("seq").distinct(), ["node"]).groupBy("frame").agg(F.count("*").alias("nodes"))
+    return temporal.frame_sizes(d, d.select("seq").distinct(), ["node"])
 
 
 @query("SELECT true AS equal")

@@ -11,6 +11,7 @@ from lodestone.operators import extract, paging, queue, rules, search, windows
 from lodestone.plans import analogs as a
 from lodestone.plans.registry import query
 from lodestone.sources.tables import Tables
+from lodestone.storage import shared_path
 from lodestone.streaming import streams
 
 
@@ -182,13 +183,5 @@ def session_windows(t: Tables) -> DataFrame:
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def streamed_windows(t: Tables) -> DataFrame:
     """The tumbling windows of a stream over the same file, run to its end."""
-    import uuid
-
-    spark = t.spark
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    name = f"windows_{uuid.uuid4().hex}"
-    out = streams.run_once(streams.tumbling(streams.event_stream(spark, t.folder)), name, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}")
+    out = streams.run_once(streams.tumbling(streams.event_stream(t.spark, t.folder)), "result", shared_path(t.spark, "windows"))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

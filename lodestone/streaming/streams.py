@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.storage import path_exists
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -47,22 +49,33 @@ def matched(events: DataFrame, before: str, after: str, within: str = "1 hour",
 
 
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, into a table of the session."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """The result of all that is there now, which the executors write to a table beside the checkpoint."""
+    spark, folder = df.sparkSession, f"{checkpoint}-{name}"
+
+    def write(batch: DataFrame, n: int) -> None:  # a batch that is run again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{folder}/{'whole' if mode == 'complete' else f'batch-{n}'}")
+
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/*") if path_exists(spark, folder) else spark.createDataFrame([], df.schema)
 
 
 def refresh(df: DataFrame, checkpoint: str, digest: Callable[[DataFrame], str], apply: Callable[[DataFrame, int], Any], seconds: float | None = None) -> StreamingQuery:
-    """Micro-batches whose content digest is that of the last one are skipped."""
-    last: dict[str, str] = {}
+    """Micro-batches whose content digest is that of the last one are skipped.  The last digest is kept beside the stream's own
+    checkpoint, so a restart doesn't apply an unchanged batch again."""
+    spark, kept = df.sparkSession, f"{checkpoint}-digests"
+
+    def last() -> str | None:
+        if not path_exists(spark, kept):
+            return None
+        row = spark.read.schema("n long, digest string").json(kept).orderBy(F.col("n").desc()).first()
+        return row["digest"] if row else None
 
     def each(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
         d = digest(batch)
-        if d != last.get("d"):
+        if d != last():
             apply(batch, n)
-            last["d"] = d
+            spark.createDataFrame([(n, d)], "n long, digest string").coalesce(1).write.mode("append").json(kept)
         batch.unpersist()
 
     writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
