@@ -45,12 +45,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     sequences = chatformat.format_conversations(_table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe), default_tokenizer())
-    read = chatformat.read_conversations(sequences, default_tokenizer())
-    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
-        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
-    )
+    return chatformat.digests(chatformat.read_conversations(sequences, default_tokenizer()))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,28 @@ def test_chat_trees(spark, nothing):
     assert chatformat.format_conversations(df.where("false"), default_tokenizer()).count() == 0
 
 
+def test_long_conversations(spark, monkeypatch):
+    """Conversations past the bounds come in parts and are read back whole, in order, repeated turns and null ids among them."""
+    monkeypatch.setattr(chatformat, "MAX_TURNS", 7)
+    monkeypatch.setattr(chatformat, "MAX_CHARS", 400)
+    rows = [(1, n, ("user", "assistant")[n % 2], f"turn {n} <|x|> " * (n % 5)) for n in range(60)]
+    rows += [(2, n, "user", "short") for n in range(3)] + [(None, n % 4, "assistant", "null id") for n in range(30)] + [(3, None, "assistant", "word " * 300), (3, 1, None, None)]
+    rows += [(4, 1, "user", "the same")] * 25
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    trees = chatformat.format_conversations(df, default_tokenizer())
+    parts = chatformat.read_conversations(trees, default_tokenizer()).collect()
+    assert max(len(r["turns"]) for r in parts) <= 7 and sum(r["conv_id"] == 1 for r in parts) >= 9 and [r["part"] for r in parts if r["conv_id"] == 2] == [None]
+    for tree in trees.collect():
+        check_tree(tree)
+    want = {}
+    for c in {r[0] for r in rows}:
+        own = sorted(((t is not None, t or 0, r or "", x or "") for i, t, r, x in rows if i == c))
+        said, loss = "".join(f"{r}\n{x}\n" for *_, r, x in own), "".join(x for *_, r, x in own if r == "assistant")
+        want[c] = (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chatformat.digests(chatformat.read_conversations(trees, default_tokenizer())).collect()}
+    assert got == want
+
+
 def check_tree(tree):
     at = 0
     for n, s in enumerate(tree["segments"]):
