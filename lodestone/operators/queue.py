@@ -50,7 +50,8 @@ def expire_leases(jobs: DataFrame, now: str) -> DataFrame:
     """Running jobs whose lease ran out are tried again, or fail after the last attempt."""
     at = F.lit(now).cast(jobs.schema["lease_expires_at"].dataType)
     lost = (F.col("status") == "running") & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") < at))
-    return jobs.withColumn("status", F.when(lost & (F.col("attempts") >= F.col("max_attempts")), "failed").when(lost, "retry").otherwise(F.col("status"))).withColumn("lease_expires_at", F.when(lost, None).otherwise(F.col("lease_expires_at")))
+    status = F.when(lost & (F.col("attempts") >= F.col("max_attempts")), "failed").when(lost, "retry").otherwise(F.col("status"))
+    return jobs.withColumns({"status": status, "lease_expires_at": F.when(lost, None).otherwise(F.col("lease_expires_at"))})  # both from the old row
 
 
 def fail(jobs: DataFrame, failed: DataFrame, now: str) -> DataFrame:
