@@ -57,7 +57,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as one document and are each rewritten.  Rows with a null id don't count and keep
     their lines.  Null and empty texts are one empty line, kept.  An empty table stays empty.
     """
-    lines = line_table(docs, id_col, text_col, min_chars)
+    lines = materialise(line_table(docs, id_col, text_col, min_chars))  # read twice below; else all lines would be hashed twice
     hot = lines.groupBy("_line_hash").agg(F.count_distinct("_line_doc").alias("_line_n"), F.max("_line_doc").alias("_line_keep")).where(F.col("_line_n") >= min_docs).drop("_line_n")
     hot = materialise(hot)  # its own exchange then: a join of a very common line can be split, a small table broadcast
     drops = lines.join(hot, "_line_hash").where("_line_doc <> _line_keep").groupBy("_line_doc").agg(F.collect_set("_line_hash").alias("_line_drops"))
