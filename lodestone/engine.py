@@ -229,7 +229,12 @@ def scan(spark: SparkSession, root: str, policy: dict, previous: DataFrame | Non
     """The next frame of a source tree: facts, edges, and deltas against the frame before.
 
     ``facts`` has path, FACTS, summary, symbols and an analysis status; ``edges`` resolved imports by path."""
-    tree = files.tree(spark, root, policy["include"], policy["ignore"]).persist()
+    return scan_tree(spark, files.tree(spark, root, policy["include"], policy["ignore"]), policy, previous, sequence)
+
+
+def scan_tree(spark: SparkSession, tree: DataFrame, policy: dict, previous: DataFrame | None = None, sequence: int = 0) -> dict[str, DataFrame]:
+    """``scan`` of files that were read already (``path, text, raw_hash``), of a folder or of a revision."""
+    tree = tree.persist()
     lang = extract.language("path")
     base = extract.line_facts(tree.withColumn("language", lang), lang="language").withColumn("artifact_type", extract.artifact_type("path", F.col("language")))
     parsed = extract.parse_python(tree.where(lang == "python"), "path")
