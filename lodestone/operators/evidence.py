@@ -48,7 +48,8 @@ def overlaid(modules: DataFrame, claims: DataFrame, key: str = "node") -> DataFr
 
 
 def finding_context(finding: DataFrame, scope: DataFrame, impact: DataFrame) -> DataFrame:
-    """``stable_key, paths``: a finding's own paths, then the scope's, then the impact's, each once."""
+    """``stable_key, paths``: a finding's own paths, then the scope's, then the impact's, each once.  Scope and impact are answers of
+    bounded size (``eng.scope``: 50, ``graph.dependants``: 500), so the one row made of them is, too."""
     extra = scope.select(F.lit(1).alias("p"), "path").unionByName(impact.select(F.lit(2).alias("p"), "path")).agg(F.array_sort(F.collect_set(F.struct("p", "path"))).alias("x"))
     return finding.select("stable_key", "affected").join(F.broadcast(extra)).select("stable_key", F.array_distinct(F.concat("affected", F.transform("x", lambda s: s["path"]))).alias("paths"))
 

@@ -16,6 +16,7 @@ from lodestone.functions.scores import proximity
 from lodestone.storage import checkpointed, release
 
 HOPS = 4  # a round's
+PEELS = 2  # layers that one job trims
 COMPACT = 8  # rounds whose rings stand apart before they are put together
 
 
@@ -169,23 +170,33 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges of nodes that none leads to or from, again and again; ``edges`` itself goes."""
     n = edges.count()
     while True:
-        ends = edges.select(F.col("source").alias("node")).intersect(edges.select(F.col("target").alias("node")))
-        edges = checkpointed(edges.join(ends.select(F.col("node").alias("source")), "source", "left_semi").join(ends.select(F.col("node").alias("target")), "target", "left_semi"))
-        m = edges.count()
+        fresh = edges
+        for _ in range(PEELS):
+            ends = fresh.select(F.col("source").alias("node")).intersect(fresh.select(F.col("target").alias("node")))
+            fresh = fresh.join(ends.select(F.col("node").alias("source")), "source", "left_semi").join(ends.select(F.col("node").alias("target")), "target", "left_semi")
+        fresh = checkpointed(fresh)
+        release(edges)
+        edges, m = fresh, fresh.count()
         if m == n:
             return edges
         n = m
 
 
 def _least_ancestor(edges: DataFrame) -> DataFrame:
-    """``node, color``: the least node among a node and all that reach it."""
+    """``node, color``: the least node among a node and all that reach it.
+
+    What reaches a node's color reaches the node, so each round takes the color's own color, too, and the rounds
+    are as the logarithm of the longest path, not as its length."""
     nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
     color = held = checkpointed(nodes.withColumn("color", F.col("node")))
     while True:
         sent = edges.join(color.select(F.col("node").alias("source"), F.col("color").alias("c")), "source").groupBy(F.col("target").alias("node")).agg(F.min("c").alias("c"))
-        fresh = checkpointed(color.join(sent, "node", "left").select("node", F.least("color", "c").alias("color"), (F.coalesce(F.col("c"), F.col("color")) < F.col("color")).alias("changed")))
+        near = color.join(sent, "node", "left").select("node", F.col("color").alias("was"), F.least("color", "c").alias("color"))
+        far = near.select(F.col("node").alias("color"), F.col("color").alias("beyond"))
+        fresh = checkpointed(near.join(far, "color", "left").select("node", F.least("color", "beyond").alias("color"), (F.least("color", "beyond") < F.col("was")).alias("changed")))
         release(held)
         color, held = fresh.select("node", "color"), fresh
         if not fresh.agg(F.bool_or("changed")).first()[0]:
