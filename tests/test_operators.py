@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import extract, graph, paging, queue, rules, temporal, windows
+from lodestone.operators import extract, graph, paging, queue, rules, temporal, windows, scripts
 from lodestone.operators import relational as rel
 from lodestone.sources import files
 from lodestone.sources.versioned import VersionedTable
@@ -388,14 +388,15 @@ app.post("/items", (req) => { for (;;) {} });
 
 
 def test_script_symbols(spark):
-    facts = extract.parse_scripts(spark.createDataFrame([(1, SCRIPT), (2, None), (3, "'" + "\\\\x" * 200_000), (4, "/*" * 300_000)], "k long, text string"), "k")
+    facts = extract.parse_scripts(spark.createDataFrame([(1, SCRIPT), (2, None), (3, "'" + "\\\\x" * 200_000), (4, "/*" + "x\n" * 300_000), (5, "/*" * 300_000), (6, "\n" * 300_000), (7, "import" + " " * 300_000 + "x"), (8, "const a=(\n" * 30_000), (9, "class A {\n" * 30_000)], "k long, text string"), "k")
     by = {r["k"]: r for r in facts.collect()}
     assert by[1]["imports"] == ["react", "./all", "./lazy"]
     got = [(s["kind"], s["name"], s["start_line"], s["end_line"], s["complexity"]) for s in by[1]["symbols"]]
     assert got == [("class", "Widget", 6, 8, 3), ("react_component", "Panel", 9, 9, 1), ("function", "one", 12, 13, 1), ("function", "load", 13, 13, 1), ("api_endpoint", "GET /items", 14, 15, 2), ("api_endpoint", "POST /items", 15, 15, 2)]
     assert by[1]["symbols"][1]["signature"] == "const Panel = ({x, y}) =>" and by[1]["lines_of_code"] == 13 and by[1]["comment_lines"] == 3
-    assert by[2]["symbols"] == [] and by[3]["complexity"] == 1 and by[4]["lines_of_code"] == 0
-    again = extract.script_facts(SCRIPT.replace("/* head", "/* other head").replace("  return", "\treturn"))
+    assert by[2]["symbols"] == [] and by[3]["complexity"] == 1 and (by[4]["lines_of_code"], by[4]["comment_lines"]) == (0, 300_001) and by[5]["lines_of_code"] == 1
+    assert len(by[9]["symbols"]) == 30_000 and by[7]["imports"] == by[8]["symbols"] == []
+    again = scripts.script_facts(SCRIPT.replace("/* head", "/* other head").replace("  return", "\treturn"))
     assert again["structural_hash"] == by[1]["structural_hash"] != by[2]["structural_hash"]
 
 
