@@ -115,7 +115,8 @@ def format_conversations(turns: DataFrame, tokenizer: str, conv_col: str = "conv
     MAX_CHARS characters it has several leaves, whose ``part`` gives their order (else null); positions begin anew in each.
 
     Null roles and texts are empty.  Turns are taken in order of (turn, role, text), so repeated rows are turns of
-    their own; a null turn number comes first and a null conversation id is one conversation.  An empty table gives no rows.
+    their own; a null turn number comes first and a null conversation id is one conversation.  Columns other than those named are
+    not read.  An empty table gives no rows.
     """
     by_turn = turns.select(
         F.col(conv_col).cast("long").alias("conv"),
@@ -222,13 +223,15 @@ def read_conversations(sequences: DataFrame, tokenizer: str) -> DataFrame:
     return sequences.select("ids", "segments", "leaves").mapInPandas(read, "conv_id long, part long, formatted string, loss_text string, turns array<struct<role: string, text: string>>")
 
 
-def digests(conversations: DataFrame) -> DataFrame:
-    """Per conversation of ``read_conversations``: ``conv_id, n_turns, turns_sha256`` (role, line feed, text and line feed of each turn),
-    ``loss_chars, loss_sha256, formatted_chars``.  Parts are taken in order by one running hash, never put together."""
+def digests(sequences: DataFrame, tokenizer: str) -> DataFrame:
+    """Per conversation read back from ``sequences``: ``conv_id, n_turns, turns_sha256`` (role, line feed, text and line feed of each
+    turn), ``loss_chars, loss_sha256, formatted_chars``.  Parts are taken in order by one running hash, never put together."""
+    sequences = materialise(sequences)
+    with_parts = sequences.where(F.exists("leaves", lambda leaf: leaf["part"].isNotNull()))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     count = [F.size("turns").cast("long").alias("n_turns"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.char_length("formatted").cast("long").alias("formatted_chars")]
-    whole = conversations.where("part IS NULL").select("conv_id", *count, F.sha2(said, 256).alias("turns_sha256"), F.sha2("loss_text", 256).alias("loss_sha256"))
-    parts = conversations.where("part IS NOT NULL").select("conv_id", "part", *count, said.alias("said"), F.col("loss_text").alias("loss"))
+    whole = read_conversations(sequences, tokenizer).where("part IS NULL").select("conv_id", *count, F.sha2(said, 256).alias("turns_sha256"), F.sha2("loss_text", 256).alias("loss_sha256"))
+    parts = read_conversations(with_parts, tokenizer).where("part IS NOT NULL").select("conv_id", "part", *count, said.alias("said"), F.col("loss_text").alias("loss"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, conv = None, None

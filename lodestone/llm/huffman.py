@@ -157,7 +157,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
     """Writes the token file of ``docs`` to ``path`` (a folder every executor reaches).
 
     Null texts are empty: they have the end id alone (no ids where ``end_id`` is None).  Repeated ids are
-    written one after the other, by a hash of the text; a null id comes first.  An empty table makes an empty file.
+    written one after the other, by a hash of the text; a null id comes first.  Columns other than id and text are not read.
+    An empty table makes an empty file.
     """
     spark = docs.sparkSession
     held = shared_path(spark, "ids")

@@ -45,7 +45,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     sequences = chatformat.format_conversations(_table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe), default_tokenizer())
-    return chatformat.digests(chatformat.read_conversations(sequences, default_tokenizer()))
+    return chatformat.digests(sequences, default_tokenizer())
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

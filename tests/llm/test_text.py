@@ -181,7 +181,7 @@ def test_long_conversations(spark, monkeypatch):
         own = sorted(((t is not None, t or 0, r or "", x or "") for i, t, r, x in rows if i == c))
         said, loss = "".join(f"{r}\n{x}\n" for *_, r, x in own), "".join(x for *_, r, x in own if r == "assistant")
         want[c] = (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chatformat.digests(chatformat.read_conversations(trees, default_tokenizer())).collect()}
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chatformat.digests(trees, default_tokenizer()).collect()}
     assert got == want
 
 
