@@ -22,21 +22,21 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bitmaps import Bitmap, bitmap_of
 from lodestone.llm.shared import materialise
-from lodestone.llm.textcore import shingle_hashes, word_hashes
+from lodestone.llm.textcore import job_seed, shingle_hashes, word_hashes
 
 SEED = 5
 
 
-def runs(table: DataFrame, names: list[str], text_col: str, length: int, bitmap: Bitmap | None = None) -> DataFrame:
+def runs(table: DataFrame, names: list[str], text_col: str, length: int, salt: int, bitmap: Bitmap | None = None) -> DataFrame:
     """``names``, ``_words`` (how many the text has), and a row ``_run, _at`` for each run of
-    words (by hash) that the bitmap has; texts with fewer words have no runs."""
+    words (by hash under ``salt``) that the bitmap has; texts with fewer words have no runs."""
     sent = None if bitmap is None else table.sparkSession.sparkContext.broadcast(bitmap)
     kinds = ", ".join(f"{n} {table.schema[n].dataType.simpleString()}" for n in names)
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = None if sent is None else sent.value
         for b in batches:
-            for first, last, hashes, offsets in word_hashes(b["_text"]):
+            for first, last, hashes, offsets in word_hashes(b["_text"], salt):
                 rows, at, run = [], [], []
                 for i in range(last - first):
                     words = hashes[offsets[i] : offsets[i + 1]]
@@ -112,11 +112,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     do null texts and ids.  Rows that share an id and a text count once; of rows that share an id, each text is
     tiled alone and the best coverage stays.  Columns other than id and text are not read.  An empty table on either side gives no rows.
     """
+    salt = job_seed()
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_it")).where("_item is not null").dropDuplicates()
-    grams = runs(items.withColumn("_item_text", F.xxhash64("_it")), ["_item", "_item_text"], "_it", seed).select("_item", "_item_text", F.col("_words").alias("_item_words"), "_run", F.col("_at").alias("_item_at"))
+    grams = runs(items.withColumn("_item_text", F.xxhash64("_it")), ["_item", "_item_text"], "_it", seed, salt).select("_item", "_item_text", F.col("_words").alias("_item_words"), "_run", F.col("_at").alias("_item_at"))
     grams = materialise(ranked_places(grams, min_coverage, seed))
     own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_dt")).where("_doc is not null").withColumn("_doc_text", F.xxhash64("_dt"))
-    hits = runs(own, ["_doc", "_doc_text"], "_dt", seed, bitmap_of(grams.select("_run"))).drop("_words")
+    hits = runs(own, ["_doc", "_doc_text"], "_dt", seed, salt, bitmap_of(grams.select("_run"))).drop("_words")
     hits = materialise(hits.join(grams.select("_run").distinct(), "_run", "left_semi"))
 
     pair = ["_doc", "_doc_text", "_item", "_item_text", "_item_words"]

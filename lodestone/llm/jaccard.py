@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bitmaps import Bitmap, bitmap_of
 from lodestone.llm.shared import materialise, release
-from lodestone.llm.textcore import mix64, shingle_hashes, word_hashes
+from lodestone.llm.textcore import job_seed, mix64, shingle_hashes, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -128,7 +128,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, HASHES)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, shingles: bool = False, bitmap: Bitmap | None = None) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, shingles: bool = False, bitmap: Bitmap | None = None) -> DataFrame:
     """``id, fp, data`` of each row, or of those whose id a bitmap has: data is the signature, or the shingles; fp is null
     where the text has no words."""
     sent = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -138,7 +138,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, shingles: bool =
             if sent is not None:
                 b = b[sent.value.has(b["_hash"].to_numpy(np.int64))]
             ids = b["_id"].to_numpy(np.int64)
-            for first, last, hashes, offsets in word_hashes(b["_text"]):
+            for first, last, hashes, offsets in word_hashes(b["_text"], seed):
                 rows = []
                 for i in range(last - first):
                     s = shingle_set(hashes[offsets[i] : offsets[i + 1]], k)
@@ -278,7 +278,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if threshold < THRESHOLD:
         raise ValueError(f"threshold below {THRESHOLD}")
-    rows = _sets(docs, id_col, text_col, words).groupBy("id", "fp").agg(F.first("data").alias("sig"))
+    seed = job_seed()
+    rows = _sets(docs, id_col, text_col, words, seed).groupBy("id", "fp").agg(F.first("data").alias("sig"))
     own = materialise(rows)
     # A set is named by a number: an id may stand for several sets.
     sets = own.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
@@ -304,7 +305,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(members.where(F.col("n") > SMALL_BUCKET).select("rep")).distinct()
     needed = materialise(sets.select("rep", "fp", F.col("first_id").alias("id")).join(needed, "rep", "left_semi"))
-    picked = _sets(docs, id_col, text_col, words, True, bitmap_of(needed.select(F.xxhash64("id"))))
+    picked = _sets(docs, id_col, text_col, words, seed, True, bitmap_of(needed.select(F.xxhash64("id"))))
     shingles = materialise(picked.join(needed, ["id", "fp"]).groupBy("rep").agg(F.first("data").alias("shingles")))
 
     number = F.ceil(F.col("n") / BLOCK).cast("int")

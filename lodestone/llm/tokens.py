@@ -4,24 +4,25 @@ The library is asked for each distinct pre-token once: byte-level BPE encodes
 pre-tokens independently, so a text's ids are those of its pre-tokens in a row.
 Pre-token bounds come from numpy over code points, with character classes taken
 from the library's own pre-tokenizer.  The memo is bounded and lives as long as
-the Python worker.
+the Python worker; it is looked up by hash, and what it finds is compared character by
+character.  Long texts are cut where a pre-token surely starts.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 
-from lodestone.llm.textcore import mix64
+from lodestone.llm.textcore import hash_runs, job_seed
 
 CHUNK_CHARS = 1 << 20
 MEMO_ENTRIES = 3 << 19
 JOINED = 500
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNKNOWN = 0, 1, 2, 3, 255
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = "\u0120"  # how the vocabulary writes a blank
 # Endings that the pre-tokenizer joins to an apostrophe.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -68,12 +69,22 @@ class Memo:
             at[left] = (at[left] + 1) & self.mask
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
+
+
+def _same(a: np.ndarray, a_starts: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_sizes: np.ndarray) -> bool:
+    """Whether all runs of ``a`` are those of ``b``."""
+    return np.array_equal(a_sizes, b_sizes) and np.array_equal(a[_ranges(a_starts, a_sizes)], b[_ranges(b_starts, b_sizes)])
+
+
 def _text(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> str:
     """The words at ``starts`` in a row."""
     if len(starts) == 1:
         return points[starts[0] : starts[0] + sizes[0]].tobytes().decode("utf-32-le", "surrogatepass")
-    ends = np.cumsum(sizes)
-    return points[np.arange(int(sizes.sum())) - np.repeat(ends - sizes - starts, sizes)].tobytes().decode("utf-32-le", "surrogatepass")
+    return points[_ranges(starts, sizes)].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 class ByteBpe:
@@ -86,12 +97,14 @@ class ByteBpe:
         self.kind = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that start with a blank
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == _BLANK]] = True
+        self.seed = job_seed()
         self._forget()
 
     def _forget(self) -> None:
         self.memo = Memo(MEMO_ENTRIES)
         self.flat = np.empty(0, np.int32)
         self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.chars, self.char_at = np.empty(0, np.uint32), np.zeros(1, np.int64)  # what the entries stand for
 
     def _classify(self, points: np.ndarray) -> np.ndarray:
         kinds = self.kind[points]
@@ -162,6 +175,12 @@ class ByteBpe:
         self.memo.put(hashes, len(self.first) + np.arange(len(hashes)))
         self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
         self.flat = np.concatenate((self.flat, flat))
+        self.char_at = np.concatenate((self.char_at, len(self.chars) + np.cumsum(sizes)))
+        self.chars = np.concatenate((self.chars, points[_ranges(starts, sizes)]))
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """By the library alone: for texts in which different words have one hash."""
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -172,27 +191,31 @@ class ByteBpe:
         from_ = np.cumsum(lens) - lens
         starts = self._starts(points, from_[lens > 0])
         sizes = np.diff(np.append(starts, len(points)))
-        place = np.arange(len(points)) - np.repeat(starts, sizes)
-        top = int(sizes.max())
-        powers = np.full(top, _BASE, dtype=np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        hashes = mix64(np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * powers[place], starts) + sizes.astype(np.uint64))
+        # The fewer bytes a character takes, the fewer are hashed; a word that comes in two widths has two entries.
+        narrow = points.astype(next(kind for kind, most in ((np.uint8, 0xFF), (np.uint16, 0xFFFF), (np.uint32, 0x10FFFF)) if points.max() <= most))
+        width = narrow.itemsize
+        hashes = hash_runs(narrow.view(np.uint8), starts * width, sizes * width, self.seed + width)
         codes, distinct = pd.factorize(hashes)
+        at = np.empty(len(distinct), np.int64)
+        at[codes] = np.arange(len(codes))  # a place where each stands
+        own, many = starts[at], sizes[at]
+        if not np.array_equal(sizes, many[codes]) or not np.array_equal(narrow, narrow[_ranges(own[codes], sizes)]):
+            return self._plain(texts)
         slots = self.memo.find(distinct)
         missing = np.flatnonzero(slots < 0)
+        if self.memo.held + len(missing) > MEMO_ENTRIES:  # it begins anew with what this chunk holds
+            self._forget()
+            missing, slots = np.arange(len(distinct)), np.full(len(distinct), -1, np.int64)
+        known = np.flatnonzero(slots >= 0)
+        if not _same(points, own[known], many[known], self.chars, self.char_at[slots[known]], self.char_at[slots[known] + 1] - self.char_at[slots[known]]):
+            return self._plain(texts)
         if len(missing):
-            at = np.empty(len(distinct), np.int64)
-            at[codes] = np.arange(len(codes))  # a place where each stands
-            if self.memo.held + len(missing) > MEMO_ENTRIES:  # it begins anew with what this chunk holds
-                self._forget()
-                missing = np.arange(len(distinct))
             slots[missing] = len(self.first) + np.arange(len(missing))
-            self._learn(distinct[missing], points, starts[at[missing]], sizes[at[missing]])
+            self._learn(distinct[missing], points, own[missing], many[missing])
         slot = slots[codes]
         size, first = self.size[slot], self.first[slot]
         ends = np.cumsum(size)
-        ids = self.flat[np.arange(int(ends[-1])) - np.repeat(ends - size - first, size)]
+        ids = self.flat[_ranges(first, size)]
         cut = np.concatenate(([0], ends))[np.searchsorted(starts, np.append(from_, len(points)))]
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -202,14 +225,36 @@ class ByteBpe:
         texts = [t or "" for t in texts]
         at = 0
         while at < len(texts):
+            if len(texts[at]) > CHUNK_CHARS:
+                out.append(np.concatenate([ids for piece in self._pieces(texts[at]) for ids in self._chunk([piece])]))
+                at += 1
+                continue
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_CHARS):
+            while end < len(texts) and size + len(texts[end]) <= CHUNK_CHARS:
                 size += len(texts[end])
                 end += 1
             out += self._chunk(texts[at:end])
             at = end
         return out
 
+    def _pieces(self, text: str) -> Iterator[str]:
+        """``text`` cut into pieces of about CHUNK_CHARS where a pre-token surely starts: behind a character that isn't white
+        space, and far enough from the end of what is looked at that the rest can't matter."""
+        at = 0
+        while len(text) - at > CHUNK_CHARS:
+            size, cut = CHUNK_CHARS, 0
+            while not cut and at + size < len(text):
+                points = np.frombuffer(text[at : at + size].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                starts = self._starts(points, np.zeros(1, np.int64))
+                starts = starts[(starts > 0) & (starts < size - 4)]
+                starts = starts[self.kind[points[starts - 1]] != _SPACE]
+                cut, size = int(starts[-1]) if len(starts) else 0, 2 * size  # a longer window where one pre-token fills it
+            if not cut:
+                break
+            yield text[at : at + cut]
+            at += cut
+        yield text[at:]
+
 
 @functools.lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:

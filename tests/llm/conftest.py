@@ -11,6 +11,12 @@ def words(text):
     return WORD.findall((text or "").lower())
 
 
+def thue_morse(size):
+    """Two words of ``size`` letters that collide under any polynomial modulo 2^64, from 2^10 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 LONG = " ".join(f"w{n % 977}x{n}" for n in range(30_000))
 #: Rows that every operator takes: nulls, empty, blank and long texts, repeats, ties, a null id.
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "!!! ???"), (5, LONG), (6, "The same text of more than five words."), (7, "The same text of more than five words."), (7, "The same text of more than five words."), (None, "A row without an id but with words"), (8, "é"), (9, "<|im_end|>"), (10, "日本語のテキスト と words")]

@@ -9,7 +9,7 @@ import corpus_pipeline
 from lodestone.llm import jaccard
 from lodestone.llm.queries import ORACLE_SQL, QUERIES
 
-from .conftest import ODD, words
+from .conftest import ODD, thue_morse, words
 
 
 def brute(rows, k=5, threshold=0.8):
@@ -78,6 +78,12 @@ def test_rows_that_share_an_id(spark):
         assert got == [(1, 1, 1), (2, 1, 3), (3, 1, 2), (4, 1, 2), (5, 5, 0), (6, 6, 0)]
 
 
+def test_thue_morse_words_are_not_linked(spark):
+    rows = [(2 * n + k, t) for n in range(10, 14) for k, t in enumerate(thue_morse(1 << n))]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(i, i, 0) for i, _ in rows]
+
+
 def test_other_thresholds(spark):
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")

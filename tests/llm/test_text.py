@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import chatformat, decontam, langid, licenses, linededup, quality, topk
 from lodestone.llm.tokens import default_tokenizer
 
-from .conftest import ODD, words
+from .conftest import ODD, thue_morse, words
 
 KEYS = ["doc_id", "text", "piece", "n", "class_id", "score"]
 
@@ -163,6 +163,17 @@ def test_chat_trees(spark, nothing):
     assert chatformat.format_conversations(df.where("false"), default_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("size", [10, 13])
+def test_thue_morse_words_are_told_apart(spark, size):
+    s, t = thue_morse(1 << size)
+    talk = spark.createDataFrame([(1, 0, "user", s), (1, 1, "assistant", t)], "conv_id long, turn long, role string, text string")
+    back = chatformat.read_conversations(chatformat.format_conversations(talk, default_tokenizer()), default_tokenizer()).first()
+    assert [x["text"] for x in back["turns"]] == [s, t] and back["loss_text"] == t
+    item = spark.createDataFrame([(1, " ".join([s] * 9))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([s] * 9)), (2, " ".join([t] * 9))], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.contaminated(docs, item).collect()] == [1]
+
+
 def test_long_conversations(spark, monkeypatch):
     """Conversations past the bounds come in parts and are read back whole, in order, repeated turns and null ids among them."""
     monkeypatch.setattr(chatformat, "MAX_TURNS", 7)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from lodestone.llm import huffman, packing, textcore
 from lodestone.llm.tokens import byte_bpe, default_tokenizer
 
-from .conftest import ODD, words
+from .conftest import ODD, thue_morse, words
 
 PIECES = ["a", "B", "é", "1", "٣", "½", "'", "'s", "'re", "'ll", " ", "  ", "\n", "　", "!", "_", "😀", "中", "́", "​", "\x00", "<|endoftext|>", "I'm", "\u0085"]
 
@@ -33,6 +33,39 @@ def test_memo_is_bounded(monkeypatch):
         assert bpe.encode([text])[0].tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_one_hash(monkeypatch):
+    """Where different words get one hash, in a chunk or in the memo, the ids are still the library's."""
+    from lodestone.llm import tokens
+
+    monkeypatch.setattr(tokens, "hash_runs", lambda raw, starts, lens, seed: lens.astype(np.uint64))
+    bpe = tokens.ByteBpe(default_tokenizer())
+    for texts in (["abcd"], ["wxyz"], ["ab cd ef", "cd ab", ""], ["abcd", "efgh"]):
+        assert [x.tolist() for x in bpe.encode(texts)] == [e.ids for e in bpe.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_of_thue_morse_words():
+    bpe = byte_bpe(default_tokenizer())
+    texts = [t for size in (1 << 10, 1 << 13) for t in thue_morse(size)]
+    assert [x.tolist() for x in bpe.encode(texts)] == [bpe.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in range(10, 14):
+        (_, _, h, _), = textcore.word_hashes([" ".join(thue_morse(1 << size))])
+        assert h[0] != h[1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "word ", " word", "aaaa", "    ", "it's ", "12 "]), min_size=20, max_size=120).map("".join))
+def test_long_texts_are_cut_between_pre_tokens(text):
+    from lodestone.llm import tokens
+
+    bpe, before = byte_bpe(default_tokenizer()), tokens.CHUNK_CHARS
+    tokens.CHUNK_CHARS = 16
+    try:
+        assert "".join(bpe._pieces(text)) == text
+        assert bpe.encode([text])[0].tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids
+    finally:
+        tokens.CHUNK_CHARS = before
+
+
 def test_word_hashes(monkeypatch):
     texts = [t for _, t in ODD]
     monkeypatch.setattr(textcore, "CHUNK_CHARS", 1000)
