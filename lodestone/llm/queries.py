@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chatformat, decontam, huffman, jaccard, langid, licenses, linededup, packing, quality, topk
+from lodestone.llm import chatformat, decontam, fingerprints, huffman, jaccard, langid, licenses, linededup, packing, quality, topk
 from lodestone.llm.shared import shared_path
 from lodestone.llm.tokens import default_tokenizer
 
@@ -66,6 +66,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -77,8 +81,10 @@ QUERIES = {
     "op8_token_file": op8_token_file,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_fingerprints": op13_fingerprints,
 }
 
+
 def _licenses_sql() -> str:
     """The licence scan over word triples instead of hashes."""
     rows = ", ".join(f"({i}, '{words}', '{label}', {str(i < len(licenses.PHRASES)).lower()})" for i, (words, label) in enumerate((*licenses.PHRASES, *licenses.TEMPLATES)))
