@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chatformat, decontam, fingerprints, huffman, jaccard, langid, licenses, linededup, negatives, packing, quality, topk
+from lodestone.llm import chatformat, decontam, fingerprints, huffman, jaccard, langid, licenses, linededup, negatives, packing, quality, repair, topk
 from lodestone.llm.shared import shared_path
 from lodestone.llm.tokens import default_tokenizer
 
@@ -71,6 +71,25 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label=label)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults, by a checksum of their ids and turn numbers."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn"))) % 20
+    text = F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(one("text"), "[.!?]", "")).otherwise(one("text"))
+    rows = turns.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, F.lit("user")).otherwise(one("role")).alias("role"), text.alias("text"), F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("copies"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode("copies").alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    about, repaired = repair.repair(damaged(turns))
+    ids = turns.select(F.col("conv_id").cast("long").alias("own")).distinct()
+    about = about.join(repair.digests(repaired).withColumnRenamed("conv_id", "same"), F.col("conv_id").eqNullSafe(F.col("same")))
+    out = ids.join(about, F.col("own").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("own").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +106,7 @@ QUERIES = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_fingerprints": op13_fingerprints,
 }
 
@@ -172,5 +192,55 @@ n AS (
     row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
   FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""",
+    # Not by spans: turn by turn, from each state of the roles to the next.
+    "op12_conversation_repair": """
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes FROM conversations),
+d AS (
+  SELECT *, xor(list_reduce([CAST(4294967295 AS BIGINT)] || bytes, lambda c, b:
+    list_reduce([xor(c, b)] || [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM k),
+e AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM d WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i FROM e),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+    left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS before FROM n),
+t AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(said, 1) IN ('.', '!', '?') THEN 'sound' ELSE 'truncated' END AS fault FROM f),
+step(p, role, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+more(p, r, n) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)),
+o AS (
+  SELECT conv_id, i, more.p, q, 5 * n + c AS cost, repeat('I', n) || edit AS audit FROM (
+    SELECT conv_id, i, s.p, s.p AS q, 2 AS c, 'D' AS edit FROM t, (SELECT DISTINCT p FROM step) s
+    UNION ALL SELECT conv_id, i, p, q, CASE WHEN initial = step.role THEN 0 ELSE 1 END + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, CASE WHEN initial = step.role THEN 'K' ELSE 'R' END
+    FROM t, step WHERE fault NOT IN ('blank', 'duplicate') AND (initial = step.role OR step.role <> 's')) x JOIN more ON more.r = x.p),
+g(conv_id, i, q, cost, audit) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, 0, '' FROM t
+  UNION ALL SELECT conv_id, i, q, cost, audit FROM (
+    SELECT g.conv_id, o.i, o.q, g.cost + o.cost AS cost, g.audit || o.audit AS audit, row_number() OVER (PARTITION BY g.conv_id, o.i, o.q ORDER BY g.cost + o.cost, g.audit || o.audit) AS place
+    FROM g JOIN o ON g.conv_id IS NOT DISTINCT FROM o.conv_id AND o.i = g.i + 1 AND o.p = g.q) WHERE place = 1),
+z AS (SELECT conv_id, max(i) AS last FROM t GROUP BY conv_id),
+b AS (
+  SELECT conv_id, cost, audit FROM (
+    SELECT g.conv_id, cost + 5 * n AS cost, audit || repeat('I', n) AS audit, row_number() OVER (PARTITION BY g.conv_id ORDER BY cost + 5 * n, audit || repeat('I', n)) AS place
+    FROM g JOIN z ON g.conv_id IS NOT DISTINCT FROM z.conv_id AND g.i = z.last JOIN more ON more.p = g.q WHERE more.r IN (0, 3)) WHERE place = 1),
+l AS (
+  SELECT conv_id, edit, place, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER w AS line, kept
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS place, len(replace(audit, 'D', '')) AS kept FROM b WHERE audit <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+r AS (
+  SELECT l.conv_id, string_agg(CASE WHEN edit = 'K' THEN t.role WHEN (line - 1 - kept % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY place) AS lines
+  FROM l LEFT JOIN t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.i = t.i WHERE edit <> 'D' GROUP BY l.conv_id),
+a AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
 """,
 }
