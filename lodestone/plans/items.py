@@ -9,7 +9,7 @@ from lodestone.engine import Engine
 from lodestone.functions import exprs as x
 from lodestone.functions import scores
 from lodestone.operators import evidence as ev
-from lodestone.operators import extract, graph, paging, queue, rules, temporal, windows
+from lodestone.operators import extract, graph, lineage, paging, queue, rules, temporal, windows
 from lodestone.operators import relational as rel
 from lodestone.plans import analogs as a
 from lodestone.plans.registry import query
@@ -226,6 +226,41 @@ def lineage_checks(t: Tables) -> DataFrame:
     return temporal.lineage_faults(t("orders", "o_orderkey").select(k.alias("id"), base.alias("base"), F.when(k % 89 == 0, 7).otherwise(k % 10).alias("seq"), F.when(k % 83 == 0, "other").otherwise("own").alias("repository")))
 
 
+_BRANCHES = """s AS (SELECT c_custkey AS id, CASE WHEN c_custkey - 1 - c_custkey % 3 > 0 THEN c_custkey - 1 - c_custkey % 3 END AS base, c_nationkey AS branch FROM customer),
+d AS (SELECT snapshot, k, kind, value FROM (SELECT o_custkey AS snapshot, o_orderkey % 50 AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'delete' ELSE 'change' END AS kind, round(o_totalprice, 2) AS value,
+  row_number() OVER (PARTITION BY o_custkey, o_orderkey % 50 ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1),
+h AS (SELECT max(id) AS id FROM s GROUP BY branch)"""
+
+
+def _branches(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as snapshots, each on the base of one to three before it, so that three go on from one; their orders as deltas of
+    fifty keys; the last customer of each nation as the head of a branch."""
+    id_ = F.col("c_custkey")
+    base = id_ - 1 - id_ % 3
+    snapshots = t("customer", "c_custkey", "c_nationkey").select(id_.alias("id"), F.when(base > 0, base).alias("base"), F.col("c_nationkey").alias("branch"))
+    kind = F.when(F.col("o_orderkey") % 5 == 0, "delete").otherwise("change")
+    orders = t("orders", "o_custkey", "o_orderkey", "o_totalprice").select(F.col("o_custkey").alias("snapshot"), (F.col("o_orderkey") % 50).alias("k"), F.struct("o_orderkey", kind.alias("kind"), F.round("o_totalprice", 2).alias("value")).alias("o"))
+    deltas = orders.groupBy("snapshot", "k").agg(F.max("o").alias("o")).select("snapshot", "k", "o.kind", "o.value")
+    return snapshots.select("id", "base"), deltas, snapshots.groupBy("branch").agg(F.max("id").alias("id")).select("id")
+
+
+@query(f"""WITH RECURSIVE {_BRANCHES}, c AS (SELECT id, id AS ancestor, 0 AS distance FROM h UNION ALL SELECT c.id, s.base, distance + 1 FROM c JOIN s ON s.id = c.ancestor WHERE s.base IS NOT NULL)
+SELECT id, k, value FROM (SELECT c.id, k, kind, value, row_number() OVER (PARTITION BY c.id, k ORDER BY distance) AS n FROM c JOIN d ON d.snapshot = c.ancestor) WHERE n = 1 AND kind <> 'delete'""")
+def as_of_snapshot_id(t: Tables) -> DataFrame:
+    """The states at the heads of all branches."""
+    snapshots, deltas, heads = _branches(t)
+    return lineage.as_of_snapshots(deltas, snapshots, heads, ["k"])
+
+
+@query(f"""WITH RECURSIVE {_BRANCHES}, r AS (SELECT o_custkey AS id FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > (SELECT 0.9 * max(total) FROM (SELECT sum(o_totalprice) AS total FROM orders GROUP BY o_custkey))),
+b AS (SELECT id FROM r UNION SELECT s.id FROM b JOIN s ON s.base = b.id) SELECT id FROM b""")
+def invalidated_checkpoints(t: Tables) -> DataFrame:
+    """Whose states go when the customers of the largest sums are rewritten: they and all that go on from them."""
+    totals = t("orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    rewritten = totals.join(F.broadcast(totals.agg(F.max("total").alias("most")))).where("total > 0.9 * most").select(F.col("o_custkey").alias("id"))
+    return lineage.descendants(_branches(t)[0], rewritten)
+
+
 @query("SELECT user_id, min(ts) AS placed_at, max(ts) AS ts, max(struct_pack(a := ts, b := event_id)).b AS event_id FROM events GROUP BY user_id")
 def merged_timeline(t: Tables) -> DataFrame:
     return temporal.timeline_merge(t("events", "user_id", "ts", "event_id"), "user_id", "ts")
