@@ -15,14 +15,17 @@ Model columns:
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.factstore import KEY, FactStore
 from lodestone.functions import scores
-from lodestone.functions.exprs import WORD, content_digest, effective, first_group, half_even, module_aliases, parent, ratio, saturated, stem
+from lodestone.functions.exprs import WORD, effective, first_group, half_even, module_aliases, parent, ratio, relative_import, saturated, stem
 from lodestone.operators import extract, graph, paging, search, temporal, windows
 from lodestone.operators import relational as rel
 from lodestone.sources import files
@@ -225,71 +228,128 @@ def _by_score():
 # ---- scanning
 
 
-def scan(spark: SparkSession, root: str, policy: dict, previous: DataFrame | None = None, sequence: int = 0) -> dict[str, DataFrame]:
+def scan(spark: SparkSession, root: str, policy: dict, previous: DataFrame | None = None, sequence: int = 0, store: FactStore | None = None, edges: DataFrame | None = None) -> dict[str, DataFrame]:
     """The next frame of a source tree: facts, edges, and deltas against the frame before.
 
-    ``facts`` has path, FACTS, summary, symbols and an analysis status; ``edges`` resolved imports by path."""
-    return scan_tree(spark, files.tree(spark, root, policy["include"], policy["ignore"]), policy, previous, sequence)
-
-
-def scan_tree(spark: SparkSession, tree: DataFrame, policy: dict, previous: DataFrame | None = None, sequence: int = 0) -> dict[str, DataFrame]:
-    """``scan`` of files that were read already (``path, text, raw_hash``), of a folder or of a revision."""
-    tree = tree.persist()
-    lang = extract.language("path")
-    base = extract.line_facts(tree.withColumn("language", lang), lang="language").withColumn("artifact_type", extract.artifact_type("path", F.col("language")))
-    parsed = extract.parse_python(tree.where(lang == "python"), "path")
-    scripts = extract.parse_scripts(tree.where(lang.isin(*extract.SCRIPTS)), "path")
-    names = F.transform("symbols", lambda s: s["name"]).alias("names")
-    read = parsed.select("path", "structural_hash", F.lit(None).cast("int").alias("own_loc"), "complexity", "summary", names)
-    read = read.unionByName(scripts.select("path", "structural_hash", F.col("lines_of_code").alias("own_loc"), "complexity", F.lit(None).cast("string").alias("summary"), names))
-    declared, inferred = first_group("path", [(g["name"], g.get("paths", [])) for g in policy["groups"]]), extract.inferred_group("path", F.col("language"))
-    facts = base.join(read, "path", "left").select(
-        "path", "raw_hash", F.coalesce("structural_hash", content_digest("text")).alias("structural_hash"), "language", "artifact_type", F.coalesce("own_loc", "lines_of_code").alias("loc"),
-        F.coalesce(F.col("complexity"), F.col("branches") + 1).cast("double").alias("complexity"), F.coalesce(declared, inferred).alias("grp"), extract.group_source(declared).alias("group_source"),
-        extract.runtime("path", F.col("language")).alias("runtime"), "summary", F.array_join("names", " ").alias("symbols"), F.lit("1").alias("analyzer"),
+    ``facts`` has path, FACTS, summary, symbols and an analysis status; ``edges`` resolved imports by path; ``plan`` why each
+    file's edges were resolved or carried."""
+    return scan_tree(spark, files.tree(spark, root, policy["include"], policy["ignore"]), policy, previous, sequence, store, edges)
+
+
+def scan_tree(spark: SparkSession, tree: DataFrame, policy: dict, previous: DataFrame | None = None, sequence: int = 0, store: FactStore | None = None, edges: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``scan`` of files that were read already (``path, text, raw_hash``), of a folder or of a revision.
+
+    Only contents that ``store`` doesn't know are parsed.  With the facts and edges of the frame before, edges of sources that
+    the invalidation plan leaves alone are carried forward; the result is the same as without."""
+    store = store or FactStore(spark)
+    n_parsed = store.learn(tree)
+    found = checkpointed(store.of(tree))
+    lang = F.nullif(F.col("language"), F.lit(""))
+    declared, inferred = first_group("path", [(g["name"], g.get("paths", [])) for g in policy["groups"]]), extract.inferred_group("path", lang)
+    facts = found.select(
+        "path", "raw_hash", "structural_hash", lang.alias("language"), extract.artifact_type("path", lang).alias("artifact_type"), F.col("lines_of_code").alias("loc"), "complexity", F.coalesce(declared, inferred).alias("grp"),
+        extract.group_source(declared).alias("group_source"), extract.runtime("path", lang).alias("runtime"), "summary", F.array_join("symbols", " ").alias("symbols"), "analyzer", F.lit(policy_digest(policy)).alias("policy"),
     )
     facts = temporal.reuse_status(facts, previous, "path") if previous is not None else facts.withColumn("analysis_status", F.lit("new"))
-    facts = facts.withColumn("node", F.xxhash64("path"))
-    edges = python_edges(tree.select("path"), parsed).unionByName(script_edges(tree.where(lang.isin(*extract.SCRIPTS)), policy["aliases"]))
+    facts = checkpointed(facts.withColumn("node", F.xxhash64("path")))
+    if previous is None or edges is None:
+        plan = facts.select("path", F.lit("content_changed").alias("reason"), F.lit(True).alias("recompute"))
+        resolved = resolve_edges(found, found, policy["aliases"])
+    else:
+        plan = checkpointed(_plan(store, facts, found, previous, policy))
+        again = plan.where("recompute").select(F.col("path").alias("source"))
+        fresh = resolve_edges(found, found.join(again.withColumnRenamed("source", "path"), "path", "left_semi"), policy["aliases"])
+        old = edges.join(found.select(F.col("path").alias("source")), "source", "left_semi").select(*fresh.columns)
+        resolved = temporal.carry_forward(old, fresh, again)
     frame = facts.select("path", *FACTS)
     empty = frame.where("false")
     deltas = temporal.delta_encode(empty if previous is None else previous.select("path", *FACTS), frame, ["path"], FACTS, sequence)
-    return {"facts": facts, "edges": edges, "deltas": deltas}
+    return {"facts": facts, "edges": resolved, "deltas": deltas, "plan": plan, "n_parsed": n_parsed}
+
+
+def policy_digest(policy: dict) -> str:
+    return hashlib.sha256(json.dumps(policy, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def _module(path: str = "path") -> Column:
+    return F.replace(F.regexp_replace(F.regexp_replace(path, r"\.pyi?$", ""), "/__init__$", ""), F.lit("/"), F.lit("."))
+
+
+def _package(path: str = "path") -> Column:
+    """The package that one leading dot of a module's imports means; of a package, its own directory."""
+    return F.when(F.col(path).rlike(r"/__init__\.pyi?$"), _module(path)).otherwise(F.regexp_replace(_module(path), r"\.?[^.]*$", ""))
+
+
+def views(found: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """``path, namespace, interface, refs`` of files with their facts: the dotted names that a file is known by, offers and refers to."""
+    bare = F.regexp_replace("path", r"\.[^./]*$", "")
+    dotted = F.replace(bare, F.lit("/"), F.lit("."))
+    parts = F.split(dotted, r"\.")
+    short = F.array(bare, dotted, F.element_at(parts, -1), F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, F.size(parts)), ".")), F.regexp_replace(dotted, r"\.index$", ""))
+    namespace = F.array_compact(F.concat(short, F.when(F.col("language") == "python", module_aliases(_module())).otherwise(F.array().cast("array<string>"))))
+    base = lambda i: F.when(i["module"].startswith("."), relative_import(F.col("_package"), i["module"])).otherwise(i["module"])
+    imported = F.flatten(F.transform("imports", lambda i: F.array_compact(F.array(base(i), i["name"], F.concat_ws(".", base(i), i["name"])))))
+    wanted = F.transform("scripts", lambda s: F.replace(F.regexp_replace(_wanted(s, aliases), r"\.[jt]sx?$", ""), F.lit("/"), F.lit(".")))
+    return found.withColumn("_package", _package()).select("path", namespace.alias("namespace"), F.col("symbols").alias("interface"), F.concat(imported, wanted).alias("refs"))
+
+
+def _plan(store: FactStore, facts: DataFrame, found: DataFrame, previous: DataFrame, policy: dict) -> DataFrame:
+    """The invalidation plan of a frame.  Besides, whether an import is one of the repository's or external depends on the first parts of all
+    module names, so where one of those comes or goes, all that refer to it are resolved again."""
+    before = previous.select("path", "raw_hash", F.coalesce("language", F.lit("")).alias("language"), "analyzer").join(store.facts(), KEY)
+    now, was = views(found, policy["aliases"]), views(before, policy["aliases"])
+    old = previous.select("path", F.col("analyzer").alias("_analyzer"), F.col("policy").alias("_policy"))
+    about = facts.join(old, "path", "left").select(
+        "path", (F.col("analysis_status") != "raw_unchanged").alias("changed"), F.when(F.col("analyzer") != F.col("_analyzer"), "analyzer_upgraded").when(F.col("policy") != F.col("_policy"), "policy_changed").alias("cause"))
+    plan = temporal.invalidation_plan(now.join(about, "path"), was, "path")
+    first = lambda rows, names: rows.select(F.explode(names).alias("n")).select(F.split_part("n", F.lit("."), F.lit(1)).alias("root")).distinct()
+    roots = [first(x.where(F.col("path").rlike(r"\.pyi?$")), module_aliases(_module())) for x in (found, before)]
+    moved = roots[0].join(roots[1], "root", "left_anti").unionByName(roots[1].join(roots[0], "root", "left_anti"))
+    refers = now.select("path", F.explode("refs").alias("n")).select("path", F.split_part("n", F.lit("."), F.lit(1)).alias("root")).join(moved, "root", "left_semi").select("path", F.lit(True).alias("_root")).distinct()
+    reason = F.when((F.col("reason") == "carried_forward") & F.col("_root"), "resolver_context_changed").otherwise(F.col("reason"))
+    return plan.join(refers, "path", "left").select("path", reason.alias("reason"), (reason != "carried_forward").alias("recompute"))
+
+
+def resolve_edges(found: DataFrame, sources: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """The edges of ``sources`` (files with facts) among all files ``found``."""
+    return python_edges(found.select("path"), sources.where(F.col("language") == "python")).unionByName(script_edges(found.where(F.col("language").isin(*extract.SCRIPTS)).select("path"), sources.where(F.col("language").isin(*extract.SCRIPTS)), aliases))
 
 
 def python_edges(paths: DataFrame, parsed: DataFrame) -> DataFrame:
     """Imports resolved through module aliases: ``source, target, external, status, weight`` by path."""
-    module = F.replace(F.regexp_replace(F.regexp_replace("path", r"\.pyi?$", ""), "/__init__$", ""), F.lit("/"), F.lit("."))
-    known = paths.where(F.col("path").rlike(r"\.pyi?$")).select(F.col("path").alias("target"), F.explode(module_aliases(module)).alias("name"))
-    own = F.when(F.col("path").rlike(r"/__init__\.pyi?$"), module).otherwise(F.regexp_replace(module, r"\.?[^.]*$", ""))
-    i = parsed.select(F.col("path").alias("source"), own.alias("pkg"), F.posexplode("imports").alias("at", "i"))
-    from lodestone.functions.exprs import relative_import
-
-    # A package's own directory is what one leading dot means.
+    known = paths.where(F.col("path").rlike(r"\.pyi?$")).select(F.col("path").alias("target"), F.explode(module_aliases(_module())).alias("name"))
+    i = parsed.select(F.col("path").alias("source"), _package().alias("pkg"), F.posexplode("imports").alias("at", "i"))
     base = F.when(F.col("i.module").startswith("."), relative_import("pkg", "i.module")).otherwise(F.col("i.module"))
     tried = i.select("source", "at", F.col("i.module").startswith(".").alias("relative"), base.alias("m"), F.explode(F.array_compact(F.array(F.concat_ws(".", base, "i.name"), base))).alias("name"), F.col("i.name").alias("member"))
     hit = tried.join(known, "name").where("target <> source").groupBy("source", "at").agg(F.max(F.struct(F.length("name"), "name")).alias("best"))
-    best = tried.join(hit, ["source", "at"], "left").where("best IS NULL OR name = best.name").join(known, "name", "left").groupBy("source", "at").agg(F.array_sort(F.collect_set("target")).alias("targets"), F.first("m").alias("external"), F.first("relative").alias("relative"))
+    named = tried.join(hit, ["source", "at"], "left").where("best IS NULL OR name = best.name").join(known, "name", "left")
+    # One target is all that an edge names, so of several only their number is kept.
+    best = named.groupBy("source", "at").agg(F.countDistinct("target").alias("n"), F.min("target").alias("only"), F.first("m").alias("external"), F.first("relative").alias("relative"))
     roots = known.select(F.split_part("name", F.lit("."), F.lit(1)).alias("root")).distinct().withColumn("_known", F.lit(True))
-    n = F.size("targets")
-    status = F.when(n == 1, "resolved_internal").when(n > 1, "ambiguous_internal").when(F.col("relative") | F.coalesce("_known", F.lit(False)), "unresolved_internal").otherwise("external")
+    status = F.when(F.col("n") == 1, "resolved_internal").when(F.col("n") > 1, "ambiguous_internal").when(F.col("relative") | F.coalesce("_known", F.lit(False)), "unresolved_internal").otherwise("external")
     rated = best.join(roots, F.split_part("external", F.lit("."), F.lit(1)) == F.col("root"), "left").withColumn("status", status)
-    rows = rated.select("source", F.when(n == 1, F.col("targets")[0]).alias("target"), F.when(n != 1, F.col("external")).alias("external"), "status")
+    rows = rated.select("source", F.when(F.col("n") == 1, F.col("only")).alias("target"), F.when(F.col("n") != 1, F.col("external")).alias("external"), "status")
     return rows.groupBy("source", "target", "external", "status").agg(F.count("*").alias("weight"))
 
 
-def script_edges(scripts: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """Path imports of scripts: aliases replaced, then suffixes tried in order."""
-    target = F.col("target")
+def _wanted(target: Column, aliases: dict[str, str], path: str = "path") -> Column:
+    """The path that a script's import means, as far as it is written out."""
+    named = target
     for alias, place in sorted(aliases.items(), key=lambda a: -len(a[0])):
-        target = F.when(target.startswith(alias), F.concat(F.lit(place), F.substring(target, F.lit(len(alias) + 1), F.length(target)))).otherwise(target)
+        named = F.when(target.startswith(alias), F.concat(F.lit(place), F.substring(target, F.lit(len(alias) + 1), F.length(target)))).otherwise(named)
+    return F.when(target.startswith("."), _joined(parent(path), named)).otherwise(named)
+
+
+def script_edges(paths: DataFrame, scripts: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Path imports of scripts: aliases replaced, then suffixes tried in order."""
     inside = F.col("target").startswith(".") | F.lit(False)
     for alias in aliases:
         inside = inside | F.col("target").startswith(alias)
-    own = extract.script_imports(scripts, "path").select(F.col("path").alias("source"), F.col("target").alias("external"), inside.alias("inside"), F.when(F.col("target").startswith("."), _joined(parent("path"), target)).otherwise(target).alias("wanted"))
+    own = scripts.select("path", F.explode("scripts").alias("target"))
+    own = own.select(F.col("path").alias("source"), F.col("target").alias("external"), inside.alias("inside"), _wanted(F.col("target"), aliases).alias("wanted"))
     own = own.withColumn("id", F.concat_ws("\n", "source", "external"))
     ends = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-    found = rel.first_candidate(own, F.array(*[F.concat("wanted", F.lit(e)) for e in ends]), scripts.select("path"), "id")
+    found = rel.first_candidate(own, F.array(*[F.concat("wanted", F.lit(e)) for e in ends]), paths, "id")
     status = F.when(F.col("resolved").isNotNull(), "resolved_internal").when(F.col("inside"), "unresolved_internal").otherwise("external")
     rows = found.select("source", F.col("resolved").alias("target"), F.when(F.col("resolved").isNull(), F.col("external")).alias("external"), status.alias("status"))
     return rows.groupBy("source", "target", "external", "status").agg(F.count("*").alias("weight"))

@@ -1,7 +1,7 @@
 """Import of a history: one frame a revision, as deltas, resumable between frames.
 
-A job's folder holds ``deltas/seq=N`` and ``facts/seq=N`` (the last frame and every checkpoint), and a versioned table of its
-state: queued, enumerating, importing, finalizing, then completed, cancelled or failed.  A frame counts once the
+A job's folder holds ``deltas/seq=N``, ``facts/seq=N`` and ``edges/seq=N`` (the last frame and every checkpoint), ``contents``, the facts
+of all contents met so far, each parsed once, and a versioned table of its state: queued, enumerating, importing, finalizing, then completed, cancelled or failed.  A frame counts once the
 state names it, and is written over where it doesn't, so a job that broke off goes on with the first frame that
 isn't there."""
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone import engine
+from lodestone.factstore import FactStore
 from lodestone.operators.temporal import EVERY
 from lodestone.sources.versioned import VersionedTable
 from lodestone.storage import drop_path
@@ -34,6 +36,7 @@ class HistoryImport:
     def _set(self, **changes: object) -> dict:
         now = self.state() | changes
         self.table.write(self.spark.createDataFrame([tuple(now[k] for k in ("status", "done", "total", "error"))], STATE))
+        self.table.prune(2)
         return now
 
     def deltas(self) -> DataFrame:
@@ -58,12 +61,23 @@ class HistoryImport:
             self._set(done=seq + 1)
             if seq > 0 and (seq - 1) % EVERY != EVERY - 1:  # checkpoints stay
                 drop_path(self.spark, f"{self.folder}/facts/seq={seq - 1}")
+                drop_path(self.spark, f"{self.folder}/edges/seq={seq - 1}")
         self._set(status="finalizing")
         return self._set(status="completed")
 
     def _frame(self, seq: int, revision: str) -> None:
+        """Contents that no earlier frame had are parsed; edges of sources that nothing touches are carried forward."""
         before = self.facts(seq - 1).drop("analysis_status", "node") if seq else None
-        made = engine.scan_tree(self.spark, self.tree(revision), self.policy, before, seq)
+        edges = self.edges(seq - 1) if seq else None
+        made = engine.scan_tree(self.spark, self.tree(revision), self.policy, before, seq, FactStore(self.spark, f"{self.folder}/contents"), edges)
         made["facts"].write.mode("overwrite").parquet(f"{self.folder}/facts/seq={seq}")
         made["deltas"].drop("seq").write.mode("overwrite").parquet(f"{self.folder}/deltas/seq={seq}")
         made["edges"].write.mode("overwrite").parquet(f"{self.folder}/edges/seq={seq}")
+        made["plan"].groupBy("reason").agg(F.count("*").alias("files")).withColumn("n_parsed", F.lit(made["n_parsed"])).write.mode("overwrite").parquet(f"{self.folder}/work/seq={seq}")
+
+    def edges(self, sequence: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/edges/seq={sequence}")
+
+    def work(self) -> DataFrame:
+        """``seq, reason, files, n_parsed`` of all frames: how many files were resolved again or carried, and contents parsed."""
+        return self.spark.read.parquet(f"{self.folder}/work").where(f"seq < {self.state()['done']}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.relational import diff_frames, table_digest
@@ -40,15 +40,6 @@ def as_of(deltas: DataFrame, keys: Sequence[str], sequence: int, checkpoint: Dat
     return latest_state(part, keys, "seq")
 
 
-def as_of_each(deltas: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All frames at once: the state that each delta starts holds until the key's next delta.
-
-    An interval per delta instead of a scan per frame; frames are joined by range of sequence numbers."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    held = deltas.withColumn("until", F.lead("seq").over(w)).where(F.col("kind") != "delete")
-    return frames.select(F.col("seq").alias("frame")).join(held, (F.col("frame") >= F.col("seq")) & (F.col("until").isNull() | (F.col("frame") < F.col("until"))))
-
-
 def frame_sizes(deltas: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``frame, nodes``: how many keys each frame holds, where any.
 
@@ -104,8 +95,42 @@ def carry_forward(edges: DataFrame, recomputed: DataFrame, affected: DataFrame,
     return edges.join(affected.select(source), source, "left_anti").unionByName(recomputed.join(affected.select(source), source, "left_semi"))
 
 
-def invalidated(tokens: DataFrame, changed: DataFrame, key: str, token: str) -> DataFrame:
-    """Keys that refer to a token of the changed set, or to a longer name that ends in it."""
+def _suffixes(token: str) -> Column:
+    """A dotted name and all that it ends in."""
     parts = F.split(F.col(token), r"\.")
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
-    return tokens.select(key, suffix.alias(token)).join(changed.select(token).distinct(), token, "left_semi").select(key).distinct()
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def invalidated(tokens: DataFrame, changed: DataFrame, key: str, token: str) -> DataFrame:
+    """Keys that refer to a token of the changed set, to a longer name that ends in it, or to what it ends in itself.
+
+    Either side is exploded to its suffixes, so both are joins by equality."""
+    named = tokens.where(F.col(token) != "")
+    hit = changed.where(F.col(token) != "").select(token).distinct()
+    longer = named.select(key, F.explode(_suffixes(token)).alias(token)).join(hit, token, "left_semi")
+    shorter = named.join(hit.select(F.explode(_suffixes(token)).alias(token)).distinct(), token, "left_semi")
+    return longer.select(key).unionByName(shorter.select(key)).distinct()
+
+
+def invalidation_plan(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+    """``key, reason, recompute`` for each row of ``current``: why its references have to be resolved again, or that they may be
+    carried forward.
+
+    ``current`` has ``namespace`` (names the row is known by), ``interface`` (what it offers), ``refs`` (names it
+    refers to; all arrays of dotted names), ``changed`` (its content was read anew) and ``cause`` (analyzer_upgraded, policy_changed or null);
+    ``previous`` the three arrays.  Names of rows that came, went, or have another namespace or interface are affected; a row that
+    refers to one of them, or to a name that ends in one or that one ends in, is resolved again though its content is the same."""
+    as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    sets = ("namespace", "interface", "refs")
+    was = previous.select(key, *[as_set(F.col(c)).alias(f"_{c}") for c in sets], F.lit(True).alias("_was"))
+    now = current.select(key, *[as_set(F.col(c)).alias(c) for c in sets], "changed", "cause", F.lit(True).alias("_is"))
+    both = now.join(was, key, "full_outer")
+    differ = lambda c: ~as_set(F.col(c)).eqNullSafe(as_set(F.col(f"_{c}")))
+    names = F.flatten(F.array(*[as_set(F.col(c)) for c in ("namespace", "interface", "_namespace", "_interface")]))
+    affected = both.where(differ("namespace") | differ("interface")).select(F.explode(names).alias("token")).distinct()
+    kept = both.where("_is AND NOT changed").select(key, F.explode("refs").alias("token"))
+    hit = invalidated(kept, affected, key, "token").withColumn("_hit", F.lit(True))
+    direct = F.coalesce("cause", F.when(differ("namespace"), "namespace_changed").when(differ("interface"), "interface_changed").when(differ("refs"), "resolver_context_changed").otherwise("content_changed"))
+    reason = F.when(F.col("changed"), direct).when(F.col("cause").isNotNull(), F.col("cause")).when(F.col("_hit"), "resolver_context_changed").otherwise("carried_forward")
+    out = both.where("_is").join(hit, key, "left").select(key, reason.alias("reason"))
+    return out.withColumn("recompute", F.col("reason") != "carried_forward")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone import factstore
 from lodestone.engine import Engine
 from lodestone.functions import exprs as x
 from lodestone.functions import scores
@@ -183,10 +184,49 @@ def finding_contexts(t: Tables) -> DataFrame:
     return got.select("stable_key", F.size("paths").alias("n"), F.get("paths", F.lit(0)).alias("first"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS key, lower(p_type) || '.' || replace(p_name, ' ', '.') AS token FROM part) SELECT key FROM w WHERE token IN ('ring', 'small.bolt') OR ends_with(token, '.ring') OR ends_with(token, '.small.bolt')""")
+_TOKENS = """w AS (SELECT p_partkey AS key, lower(p_type) || '.' || replace(p_name, ' ', '.') AS token FROM part)"""
+
+
+@query(f"""WITH {_TOKENS}, c AS (SELECT unnest(['ring', 'small.bolt']) AS t UNION SELECT 'pkg.' || token FROM w WHERE key = (SELECT min(key) FROM w))
+SELECT DISTINCT key FROM w JOIN c ON token = t OR ends_with(token, '.' || t) OR ends_with(t, '.' || token)""")
 def invalidated_keys(t: Tables) -> DataFrame:
+    """Parts whose dotted names end in a changed one, or are the end of one."""
     w = t("part", "p_partkey", "p_type", "p_name").select(F.col("p_partkey").alias("key"), F.concat(F.lower("p_type"), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("."))).alias("token"))
-    return temporal.invalidated(w, t.spark.createDataFrame([("ring",), ("small.bolt",)], "token string"), "key", "token")
+    longer = w.agg(F.concat(F.lit("pkg."), F.min_by("token", "key")).alias("token"))
+    return temporal.invalidated(w, t.spark.createDataFrame([("ring",), ("small.bolt",)], "token string").unionByName(longer), "key", "token")
+
+
+@query("""WITH n AS (SELECT p_partkey AS key, lower(p_brand) || '.' || replace(lower(p_type), ' ', '.') || '.m' || p_partkey AS name, replace(p_name, ' ', '.') || CASE WHEN p_size = 7 THEN '.v2' ELSE '' END AS offers, 'm' || (p_partkey * 7 % 2000) AS ref, p_size IN (7, 9) AS changed FROM part WHERE p_size <> 11),
+b AS (SELECT p_partkey AS key, lower(p_brand) || '.' || replace(lower(p_type), ' ', '.') || '.m' || p_partkey AS name, replace(p_name, ' ', '.') AS offers FROM part WHERE p_size <> 13),
+a AS (SELECT n.name AS x, b.name AS y, n.offers AS u, b.offers AS v FROM n FULL JOIN b ON n.key = b.key WHERE n.name IS DISTINCT FROM b.name OR n.offers IS DISTINCT FROM b.offers),
+k AS (SELECT unnest([x, y, u, v]) AS token FROM a), h AS (SELECT DISTINCT n.key FROM n JOIN (SELECT DISTINCT token FROM k WHERE token IS NOT NULL) k ON token = ref OR ends_with(ref, '.' || token) OR ends_with(token, '.' || ref))
+SELECT n.key, CASE WHEN changed AND b.name IS NULL THEN 'namespace_changed' WHEN changed AND n.offers <> b.offers THEN 'interface_changed' WHEN changed THEN 'content_changed' WHEN h.key IS NOT NULL THEN 'resolver_context_changed' ELSE 'carried_forward' END AS reason
+FROM n LEFT JOIN b ON n.key = b.key LEFT JOIN h ON n.key = h.key""")
+def invalidation_plan(t: Tables) -> DataFrame:
+    """Parts as modules that refer to one another: those of size 7 offer another name than before, those of size 9 have another content,
+    those of size 13 are new and those of size 11 gone."""
+    key = F.col("p_partkey")
+    p = t("part", "p_partkey", "p_brand", "p_type", "p_name", "p_size")
+    name = F.concat_ws(".", F.lower("p_brand"), F.replace(F.lower("p_type"), F.lit(" "), F.lit(".")), F.concat(F.lit("m"), key.cast("string")))
+    offers, refs = F.replace("p_name", F.lit(" "), F.lit(".")), F.array(F.concat(F.lit("m"), (key * 7 % 2000).cast("string")))
+    own = [key.alias("key"), F.array(name).alias("namespace")]
+    now = p.where("p_size <> 11").select(*own, F.array(F.when(F.col("p_size") == 7, F.concat(offers, F.lit(".v2"))).otherwise(offers)).alias("interface"), refs.alias("refs"), F.col("p_size").isin(7, 9).alias("changed"), F.lit(None).cast("string").alias("cause"))
+    was = p.where("p_size <> 13").select(*own, F.array(offers).alias("interface"), refs.alias("refs"))
+    return temporal.invalidation_plan(now, was, "key").select("key", "reason")
+
+
+@query("""WITH b AS (SELECT DISTINCT sha256(text || CASE WHEN doc_id % 5 = 0 THEN ' edited' ELSE '' END) AS h, lang FROM documents JOIN labels USING (doc_id)), n AS (SELECT lang, sha256(text) AS h FROM documents)
+SELECT n.lang, count(*) AS files, count(*) FILTER (WHERE b.h IS NOT NULL) AS reused, count(DISTINCT n.h) FILTER (WHERE b.h IS NULL) AS parsed FROM n LEFT JOIN b ON n.h = b.h AND n.lang = b.lang GROUP BY n.lang""")
+def reused_contents(t: Tables) -> DataFrame:
+    """The labelled documents, a fifth of them edited, as the frame before; all documents as the next one: files, those whose content has facts, and
+    contents that are parsed."""
+    d = t("documents", "doc_id", "lang", "text")
+    edited = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    known = d.join(t("labels", "doc_id"), "doc_id").select(F.sha2(edited, 256).alias("raw_hash"), F.col("lang").alias("language"))
+    now = d.select(F.sha2("text", 256).alias("raw_hash"), F.col("lang").alias("language"))
+    fresh = factstore.unseen(now, known, ["raw_hash", "language"]).groupBy("language").agg(F.count("*").alias("parsed"))
+    seen = now.join(known.distinct().withColumn("known", F.lit(True)), ["raw_hash", "language"], "left").groupBy("language").agg(F.count("*").alias("files"), F.count("known").alias("reused"))
+    return seen.join(fresh, "language", "left").select(F.col("language").alias("lang"), "files", "reused", F.coalesce("parsed", F.lit(0)).cast("long").alias("parsed"))
 
 
 @query(f"WITH {a.EDGES} SELECT source, target, 'old' AS run FROM e WHERE source % 5 <> 0 UNION ALL SELECT source, target + 1, 'new' FROM e WHERE source % 5 = 0")
