@@ -381,11 +381,34 @@ def test_leaks_of_items_with_common_stems(spark):
     frame = lambda rows, name: spark.createDataFrame([(n, " ".join(t)) for n, t in rows.items()], f"{name} long, text string")
     got = decontam.contaminated(frame(texts, "doc_id"), frame(items, "item_id"), seed=3)
     assert sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in got.collect()) == sorted(want)
-    grams = spark.createDataFrame([(1, 1, 30, 7, 0), (1, 1, 30, 8, 1), (1, 1, 30, 9, 2), (1, 1, 30, 6, 3), (2, 2, 30, 7, 0), (2, 2, 30, 5, 1)], "_item long, _item_text long, _item_words int, _run long, _item_at int")
+    grams = spark.createDataFrame([(1, 1, 30, 7, 0, 1), (1, 1, 30, 8, 1, 1), (1, 1, 30, 9, 2, 1), (1, 1, 30, 6, 3, 1), (2, 2, 30, 7, 0, 1), (2, 2, 30, 5, 1, 1)], "_item long, _item_text long, _item_words int, _run long, _item_at int, _n int")
     ranked = decontam.ranked_places(grams, 0.5, 5)
     assert sorted((r["_item"], r["_run"]) for r in ranked.where("_common").collect()) == [(1, 7), (2, 7)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=40), st.integers(1, 5))
+def test_progressions_hold_each_place_once(runs, length):
+    run = np.array(runs, dtype=np.uint64)
+    r, first, n, step = decontam.progressions(run, np.arange(len(run)), length)
+    places = sorted((int(x), int(a + k * s)) for x, a, m, s in zip(r, first, n, step, strict=True) for k in range(m))
+    assert places == sorted((x, i) for i, x in enumerate(runs)) and (step <= length).all() and ((n > 1) == (step > 0)).all()
+
+
+def test_repeated_words(spark):
+    """Texts that repeat themselves with short periods against tiles from their definition."""
+    rng = np.random.default_rng(4)
+    words = ["a"] * 12 + ["b", "a"] * 7 + ["a", "b", "c"] * 6
+    texts = {n: words[n : n + 20] + [str(x) for x in rng.integers(0, 3, 4)] + words[(5 * n) % 30 :][:15] for n in range(12)} | {20: ["a"] * 60, 21: ["a", "b"] * 30, 22: ["a", "b", "c", "a", "b"] * 8}
+    items = {n: (texts[n][3:12] + texts[n][-12:]) for n in range(6)} | {20: ["a"] * 25, 21: ["b", "a"] * 12, 22: ["a", "b", "a", "c", "a", "b", "a"] * 3, 23: ["a", "b", "c", "a", "b"] * 4}
+    want = {(d, i, c) for d, text in texts.items() for i, item in items.items() if (c := brute_tiles(text, item, 5)[0]) >= 0.5 * len(item)}
+    frame = lambda rows, name: spark.createDataFrame([(n, " ".join(t)) for n, t in rows.items()], f"{name} long, text string")
+    got = decontam.contaminated(frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert len(want) > 20 and {(r["doc_id"], r["item_id"], r["covered_words"]) for r in got} == want
+    long_ = decontam.contaminated(frame({1: ["a"] * 20_000}, "doc_id"), frame({1: ["a"] * 1000}, "item_id")).collect()
+    assert [(r["coverage"], len(r["tiles"])) for r in long_] == [(1.0, 1)]
+
+
 def test_leaks(spark, odd, nothing):
     passage = [f"tok{n}" for n in range(40)]
     turned = passage[20:] + passage[:20]
