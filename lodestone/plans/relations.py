@@ -173,6 +173,31 @@ def timeline_sample(t: Tables) -> DataFrame:
     return windows.even_sample(days, ["day"], 12).select(F.col("day").cast("string").alias("day"))
 
 
+def _strata_sql(limit: int, strata: list[tuple[str, float]]) -> str:
+    """Stratum by stratum: how many are chosen, how many are open, which of those are."""
+    spread = "CASE WHEN k >= m THEN true WHEN k < 1 THEN false WHEN k = 1 THEN place = m - 1 ELSE list_contains(list_transform(range(CAST(k AS BIGINT)), lambda i: CAST(round_even(i * (m - 1) / (k - 1), 0) AS BIGINT)), place) END"
+    steps = [f"s0 AS (SELECT *, n <= {limit} OR pos IN (0, n - 1) AS chosen FROM o)"]
+    for i, (flag, share) in enumerate([*strata, ("true", None)]):
+        k = f"greatest({limit} - have, 0)" if share is None else f"least(ceil({share} * greatest({limit} - have, 0)), m)"
+        take = "place >= m - k" if share is None else spread
+        steps.append(f"""c{i} AS (SELECT *, {flag} AND NOT chosen AS open, count(*) FILTER (WHERE chosen) OVER (PARTITION BY p) AS have, count(*) FILTER (WHERE {flag} AND NOT chosen) OVER (PARTITION BY p) AS m,
+  count(*) FILTER (WHERE {flag} AND NOT chosen) OVER (PARTITION BY p ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS place FROM s{i}),
+k{i} AS (SELECT *, {k} AS k FROM c{i}),
+s{i + 1} AS (SELECT p, id, pos, n, tagged, structural, last, chosen OR (open AND k > 0 AND {take}) AS chosen FROM k{i})""")
+    return ",\n".join(steps) + f" SELECT p AS priority, id FROM s{len(strata) + 1} WHERE chosen"
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS p, o_orderkey AS id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS n, o_totalprice > 300000 AS tagged, o_custkey % 40 = 0 AS structural,
+  row_number() OVER (PARTITION BY o_orderpriority, strftime(o_orderdate, '%Y-%m') ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS last FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)),
+""" + _strata_sql(60, [("tagged", 1.0), ("structural", 0.5), ("last", 0.5)]))
+def stratified_orders(t: Tables) -> DataFrame:
+    """For each priority sixty of its orders: the first and last, large ones, those of some customers, the last of each month, the newest."""
+    o = t("orders", "o_orderpriority", "o_orderkey", "o_orderdate", "o_totalprice", "o_custkey").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    order = ["o_orderdate", "o_orderkey"]
+    strata = [(F.col("o_totalprice") > 300000, 1.0), (F.col("o_custkey") % 40 == 0, 0.5), (windows.last_of(["o_orderpriority", "month"], order), 0.5)]
+    return windows.stratified_sample(o, order, 60, strata, ["o_orderpriority"]).select(F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("id"))
+
+
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, max(struct_pack(a := o_orderdate, b := o_orderkey)).b AS id FROM orders GROUP BY 1")
 def calendar_last(t: Tables) -> DataFrame:
     return windows.last_per_month(t("orders", "o_orderdate", "o_orderkey"), "o_orderdate", "o_orderkey").select("month", F.col("o_orderkey").alias("id"))

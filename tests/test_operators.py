@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import pytest
@@ -209,13 +210,40 @@ def test_integrity(spark):
 @pytest.mark.parametrize("n, limit", [(10, 4), (33, 8), (3, 8), (7, 1), (7, 0), (100, 13)])
 def test_even_sample(spark, n, limit):
     got = [r["id"] for r in windows.even_sample(spark.range(n), ["id"], limit).orderBy("id").collect()]
-    assert got == windows._spread(list(range(n)), limit)
-
-
-def test_representative():
-    revs = [{"sha": str(n), "month": f"2020-{n // 4:02}", "tagged": n == 5, "paths": ["schema.sql"] if n == 9 else []} for n in range(24)]
-    got = windows.representative(revs, 8)
-    assert len(got) == 8 and {"0", "23", "5", "9"} <= set(got) and got == sorted(got, key=int)
+    assert got == spread(list(range(n)), limit)
+
+
+def spread(rows, k):
+    """``k`` of some rows, evenly, both ends among them; the last where it is one."""
+    if k >= len(rows):
+        return rows
+    return [] if k < 1 else rows[-1:] if k == 1 else [rows[round(i * (len(rows) - 1) / (k - 1))] for i in range(k)]
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 9, 24, 60])
+def test_stratified_sample(spark, limit):
+    """Strata by hand: the ends, then each stratum's share of what is left, then the newest."""
+    rng = random.Random(limit)
+    rows = [(k, n, rng.random() < 0.1, rng.random() < 0.3, n // 7) for k, size in (("a", 300), ("b", 40), ("c", 5), (None, 30)) for n in range(size)]
+    df = spark.createDataFrame(rows, "k string, n int, tagged boolean, structural boolean, month int").repartition(4)
+    strata = [(F.col("tagged"), 1.0), (F.col("structural"), 0.5), (windows.last_of(["k", "month"], ["n"]), 0.5)]
+    got = [(r["k"], r["n"]) for r in windows.stratified_sample(df, ["n"], limit, strata, ["k"]).collect()]
+    want = []
+    for k in ("a", "b", "c", None):
+        own = [r for r in rows if r[0] == k]
+        ids = [r[1] for r in own]
+        if len(ids) <= limit or limit < 2:
+            want += [(k, n) for n in spread(ids, limit)]
+            continue
+        chosen = {ids[0], ids[-1]}
+        last = {r[4]: r[1] for r in own}
+        for members, share in (([r[1] for r in own if r[2]], 1.0), ([r[1] for r in own if r[3]], 0.5), (sorted(last.values()), 0.5)):
+            open_ = [n for n in members if n not in chosen]
+            chosen |= set(spread(open_, min(math.ceil((limit - len(chosen)) * share), len(open_))))
+        rest = [n for n in ids if n not in chosen]
+        chosen |= set(rest[len(rest) - (limit - len(chosen)) :])
+        want += [(k, n) for n in chosen]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_greedy_batches(spark):
@@ -392,7 +420,7 @@ def test_script_symbols(spark):
     by = {r["k"]: r for r in facts.collect()}
     assert by[1]["imports"] == ["react", "./all", "./lazy"]
     got = [(s["kind"], s["name"], s["start_line"], s["end_line"], s["complexity"]) for s in by[1]["symbols"]]
-    assert got == [("class", "Widget", 6, 8, 3), ("react_component", "Panel", 9, 9, 1), ("function", "one", 12, 13, 1), ("function", "load", 13, 13, 1), ("api_endpoint", "GET /items", 14, 15, 2), ("api_endpoint", "POST /items", 15, 15, 2)]
+    assert got == [("class", "Widget", 6, 8, 3), ("react_component", "Panel", 9, 11, 2), ("function", "one", 12, 12, 1), ("function", "load", 13, 13, 1), ("api_endpoint", "GET /items", 14, 14, 1), ("api_endpoint", "POST /items", 15, 15, 2)]
     assert by[1]["symbols"][1]["signature"] == "const Panel = ({x, y}) =>" and by[1]["lines_of_code"] == 13 and by[1]["comment_lines"] == 3
     assert by[2]["symbols"] == [] and by[3]["complexity"] == 1 and (by[4]["lines_of_code"], by[4]["comment_lines"]) == (0, 300_001) and by[5]["lines_of_code"] == 1
     assert len(by[9]["symbols"]) == 30_000 and by[7]["imports"] == by[8]["symbols"] == []
