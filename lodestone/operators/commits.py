@@ -25,13 +25,15 @@ def chains(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     up = single.join(only, "parent").select("sha", F.col("parent").alias("to"))
     # Each commit points at the oldest that it has found, and how far that is; what that one has found is added.
     at = checkpointed(known.join(up, "sha", "left").select("sha", F.coalesce("to", "sha").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("far")))
-    while True:
+    for _ in range(known.count().bit_length() + 1):
         ahead = at.select(F.col("sha").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"))
         further = checkpointed(at.join(ahead, "to").select("sha", F.col("_to").alias("to"), (F.col("far") + F.col("_far")).alias("far"), (F.col("_far") > 0).alias("moved")))
         release(at)
         at = further
         if at.where("moved").isEmpty():
             break
+    else:
+        raise ValueError("commits lead back to themselves")
     places = at.select("sha", F.col("to").alias("chain"), F.col("far").alias("place"))
     target = places.select(F.col("sha").alias("parent"), F.col("chain").alias("next"), F.col("place").alias("top"))
     down = links.join(places.where("place = 0").select("sha", "chain"), "sha").join(target, "parent").select("chain", "next", "top").distinct()

@@ -168,7 +168,7 @@ def source_chunks(t: Tables) -> DataFrame:
     return extract.chunks(t("documents", "doc_id", "text"), "doc_id", lines=5)
 
 
-@query("""WITH RECURSIVE p AS (SELECT c_custkey AS sha, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 1 UNION SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey % 5 = 0),
+@query("""WITH RECURSIVE p AS (SELECT c_custkey AS sha, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 1 UNION SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey > 1 AND c_custkey % 5 = 0),
 q AS (SELECT DISTINCT o_custkey AS a, (o_orderkey - 1) % (SELECT count(*) FROM customer) + 1 AS b FROM orders WHERE o_orderstatus = 'P'),
 r AS (SELECT a AS start, a AS sha FROM q UNION SELECT b, b FROM q UNION SELECT r.start, p.parent FROM r JOIN p ON p.sha = r.sha),
 c AS (SELECT a, b, x.sha FROM q JOIN r x ON x.start = a JOIN r y ON y.start = b AND y.sha = x.sha)
@@ -176,7 +176,7 @@ SELECT a, b, sha AS base FROM c WHERE NOT EXISTS (SELECT 1 FROM p JOIN c d ON d.
 def merge_base_pairs(t: Tables) -> DataFrame:
     """Customers as commits with one parent, a fifth of them with two; pairs from the open orders."""
     c = t("customer", "c_custkey").select(F.col("c_custkey").alias("sha"))
-    parents = c.where("sha > 1").select("sha", F.floor(F.col("sha") / 2).alias("parent")).unionByName(c.where("sha % 5 = 0").select("sha", F.floor(F.col("sha") / 3).alias("parent")))
+    parents = c.where("sha > 1").select("sha", F.floor(F.col("sha") / 2).alias("parent")).unionByName(c.where("sha > 1 AND sha % 5 = 0").select("sha", F.floor(F.col("sha") / 3).alias("parent")))
     n = c.count()
     pairs = t("orders", "o_custkey", "o_orderkey", "o_orderstatus").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("a"), ((F.col("o_orderkey") - 1) % n + 1).alias("b"))
     return commits.merge_bases(pairs, parents)

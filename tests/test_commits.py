@@ -61,3 +61,5 @@ def test_criss_cross_and_lines(spark):
     places, down = commits.chains(df)
     assert places.select("chain").distinct().count() == 5 and places.where("chain = 4").count() == 116  # a line of commits is one chain
     assert commits.merge_bases(spark.createDataFrame([], "a long, b long"), df).count() == 0
+    with pytest.raises(ValueError):
+        commits.chains(rows(spark, {0: [], 1: [3], 2: [1], 3: [2]}))
