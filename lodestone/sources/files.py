@@ -62,11 +62,15 @@ def refs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cobertura(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_rate, branch_rate, total_lines, covered_lines`` per class of a Cobertura report."""
-    schema = "_filename string, `_line-rate` double, `_branch-rate` double, lines struct<line: array<struct<_number: int, _hits: long>>>"
+    """``path, line_rate, branch_rate, total_lines, covered_lines`` per class of a Cobertura report.  Classes with a rate that
+    isn't a number are left out; a line whose hits aren't one isn't covered."""
+    schema = "_filename string, `_line-rate` string, `_branch-rate` string, lines struct<line: array<struct<_number: string, _hits: string>>>"
     rows = spark.read.format("xml").option("rowTag", "class").schema(schema).load(path)
-    lines = F.coalesce("lines.line", F.array().cast("array<struct<_number: int, _hits: bigint>>"))
-    return rows.select(normalised_path("_filename").alias("path"), F.col("`_line-rate`").alias("line_rate"), F.col("`_branch-rate`").alias("branch_rate"), F.size(lines).alias("total_lines"), F.size(F.filter(lines, lambda x: x["_hits"] > 0)).alias("covered_lines"))
+    lines = F.coalesce("lines.line", F.array().cast("array<struct<_number: string, _hits: string>>"))
+    rate = lambda c: F.trim(F.col(f"`{c}`")).try_cast("double")
+    bad = lambda c: F.col(f"`{c}`").isNotNull() & rate(c).isNull()
+    return rows.where(~bad("_line-rate") & ~bad("_branch-rate")).select(
+        normalised_path("_filename").alias("path"), rate("_line-rate").alias("line_rate"), rate("_branch-rate").alias("branch_rate"), F.size(lines).alias("total_lines"), F.size(F.filter(lines, lambda x: F.trim(x["_hits"]).try_cast("long") > 0)).alias("covered_lines"))
 
 
 def lcov(spark: SparkSession, path: str) -> DataFrame:

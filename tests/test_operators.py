@@ -509,6 +509,8 @@ def test_reports(spark, tmp_path):
     (tmp_path / "c.xml").write_text('<coverage><packages><package><classes><class filename="pkg/a.py" line-rate="0.5" branch-rate="0.25"><lines><line number="1" hits="1"/><line number="2" hits="0"/></lines></class></classes></package></packages></coverage>')
     (tmp_path / "l.info").write_text("SF:pkg\\b.py\nLF:4\nLH:3\nBRF:2\nBRH:1\nend_of_record\nSF:c.py\nLF:0\nLH:0\nend_of_record\n")
     assert pairs(files.cobertura(spark, str(tmp_path / "c.xml")), "path", "line_rate", "total_lines", "covered_lines") == [("pkg/a.py", 0.5, 2, 1)]
+    (tmp_path / "odd.xml").write_text('<coverage><class filename="a.py" line-rate="x"/><class filename="b.py" line-rate="0.25"><lines><line number="1" hits="?"/><line number="2" hits="1"/></lines></class><class filename="c.py"/></coverage>')
+    assert [tuple(r) for r in files.cobertura(spark, str(tmp_path / "odd.xml")).orderBy("path").collect()] == [("b.py", 0.25, None, 2, 1), ("c.py", None, None, 0, 0)]
     assert [tuple(r) for r in files.lcov(spark, str(tmp_path / "l.info")).orderBy("path").select("path", "line_rate", "branch_rate").collect()] == [("c.py", None, None), ("pkg/b.py", 0.75, 0.5)]
 
 
