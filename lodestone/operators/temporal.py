@@ -72,6 +72,28 @@ def parity(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     return both.agg(of("left"), of("right")).withColumn("equal", F.col("left") == F.col("right"))
 
 
+def joint_parity(left: dict[str, DataFrame], right: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
+    """A row for each table of two projections (of files, relationships and symbols, say): ``table, left_rows, right_rows, differing, equal,
+    first_key``.
+
+    Rows are compared whole, as often as they come; ``differing`` counts the distinct ones that don't come equally often, and ``first_key`` is the least key
+    (its columns as JSON, by the order of the columns' values) of those.  Each table is aggregated once, over both sides together."""
+
+    def one(name: str) -> DataFrame:
+        columns = sorted(left[name].columns)
+        whole = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
+        side = lambda df, l, r: df.select(F.struct(*keys[name]).alias("k"), whole.alias("h"), F.lit(l).alias("l"), F.lit(r).alias("r"))  # noqa: E731, E741
+        both = side(left[name], 1, 0).unionByName(side(right[name], 0, 1)).groupBy("k", "h").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        odd = F.col("l") != F.col("r")
+        sums = both.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"), F.count_if(odd).alias("differing"), F.min(F.when(odd, F.col("k"))).alias("k"))
+        return sums.select(F.lit(name).alias("table"), "left_rows", "right_rows", "differing", (F.col("differing") == 0).alias("equal"), F.to_json("k").alias("first_key"))
+
+    out = None
+    for name in left:
+        out = one(name) if out is None else out.unionByName(one(name))
+    return out
+
+
 def timeline_merge(commits: DataFrame, sha: str, at: str) -> DataFrame:
     """Commits in order of time; a repeated one keeps its first place and its last values."""
     rest = [c for c in commits.columns if c not in (sha, at)]

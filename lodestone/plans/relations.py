@@ -157,6 +157,25 @@ def checkpoint_equivalence(t: Tables) -> DataFrame:
     return temporal.parity(direct, rebuilt, ["node", "seq", "value"]).select("equal")
 
 
+@query(f"""WITH {a.DELTAS}, {a.EDGES}, f AS (SELECT node, value FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq DESC) AS n FROM d WHERE seq <= 25) WHERE n = 1 AND kind <> 'delete'),
+lost AS (SELECT * FROM e WHERE source = (SELECT min(source) FROM e)), named AS (SELECT * FROM part WHERE p_size = (SELECT max(p_size) FROM part))
+SELECT 'files' AS "table", (SELECT count(*) FROM f) AS left_rows, (SELECT count(*) FROM f) AS right_rows, 0 AS differing, true AS equal, NULL AS first_key
+UNION ALL SELECT 'relationships', (SELECT count(*) FROM e), (SELECT count(*) FROM e) - count(*), count(*), false, '{{"source":' || min(source) || ',"target":' || min(target) || '}}' FROM lost
+UNION ALL SELECT 'symbols', (SELECT count(*) FROM part), (SELECT count(*) FROM part), 2 * count(*), false, '{{"node":' || min(p_partkey) || '}}' FROM named""")
+def projection_parity(t: Tables) -> DataFrame:
+    """Three tables of a frame against those of a rebuilt one: files from a checkpoint and the deltas behind it, relationships that lost a source, and
+    symbols of which some have another name."""
+    d, e, at = a.deltas(t), a.edges(t), temporal.checkpoint_before(25)
+    files = temporal.as_of(d, ["node"], 25).select("node", "value")
+    again = temporal.as_of(d, ["node"], 25, temporal.as_of(d, ["node"], at), at).select("node", "value")
+    fewer = e.join(F.broadcast(e.agg(F.min("source").alias("least"))), F.col("source") != F.col("least")).select("source", "target")
+    p = t("part", "p_partkey", "p_name", "p_size")
+    named = p.join(F.broadcast(p.agg(F.max("p_size").alias("most"))))
+    symbols = named.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"))
+    other = named.select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") == F.col("most"), F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
+    return temporal.joint_parity({"files": files, "relationships": e, "symbols": symbols}, {"files": again, "relationships": fewer, "symbols": other}, {"files": ["node"], "relationships": ["source", "target"], "symbols": ["node"]})
+
+
 @query(f"WITH {a.DELTAS} SELECT seq, sha256(string_agg(sha256(CAST(node AS VARCHAR) || '|' || kind), '' ORDER BY sha256(CAST(node AS VARCHAR) || '|' || kind))) AS digest, count(*) AS n FROM d GROUP BY seq")
 def frame_digest(t: Tables) -> DataFrame:
     row = F.sha2(F.concat_ws("|", F.col("node").cast("string"), "kind"), 256)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import CheckpointStore
-from lodestone.operators import lineage
+from lodestone.operators import lineage, temporal
 from lodestone.sources.versioned import Conflict, Damaged, VersionedTable
 
 
@@ -104,6 +104,13 @@ def test_checkpoint_store(spark, tmp_path):
     assert store.invalidate(snapshots, snapshots.where("id < 0")).count() == 0
 
 
+def test_joint_parity(spark):
+    files = spark.createDataFrame([(1, "a"), (2, None), (2, None), (3, "c")], "id long, v string")
+    links = spark.createDataFrame([(1, 2), (2, 3)], "source long, target long")
+    got = temporal.joint_parity({"files": files, "links": links, "none": files.limit(0)}, {"files": files.where("id <> 2").unionByName(files.where("id = 2").limit(1)), "links": links.select("target", "source"), "none": files.limit(0)}, {"files": ["id"], "links": ["source", "target"], "none": ["id"]})
+    assert {tuple(r) for r in got.collect()} == {("files", 4, 3, 1, False, '{"id":2}'), ("links", 2, 2, 0, True, None), ("none", 0, 0, 0, True, None)}
+
+
 # ---- publication
 
 
