@@ -151,6 +151,37 @@ def candidate_status(references: DataFrame, candidates: DataFrame, name: str = "
     return candidate_counts(references, candidates, name, target).join(first.groupBy(name).agg(F.array_sort(F.collect_list(target)).alias("candidates")), name, "left")
 
 
+def symbol_index(symbols: DataFrame) -> DataFrame:
+    """``name, target``: the paths in which a symbol is found under its name or its qualified name, of ``(path, name, qualified)``."""
+    named = symbols.select(F.col("path").alias("target"), F.explode(F.array("name", "qualified")).alias("name"))
+    return named.where("name IS NOT NULL AND name <> ''").select("name", "target").distinct()
+
+
+def resolve_symbols(references: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
+    """``references`` (with a column ``symbol``) and ``target, status, n, candidates``: the one path that has a symbol of that name; with several
+    the reference is ambiguous, and the first ``limit`` of them are candidates; with none it is unresolved.
+
+    A name is as a rule referred to often and found in few paths, so names are counted and their candidates numbered once, and the references
+    join a row a name."""
+    asked = references.select(F.col("symbol").alias("name")).distinct()
+    index = symbol_index(symbols).join(asked, "name", "left_semi")
+    ranked = index.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("target")))
+    by = ranked.groupBy("name").agg(F.count("*").alias("n"), F.min("target").alias("_only"), F.array_sort(F.collect_list(F.when(F.col("_n") <= limit, F.col("target")))).alias("_all"))
+    found = references.join(by.withColumnRenamed("name", "symbol"), "symbol", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    n = F.col("n")
+    status = F.when(n == 1, "resolved_internal").when(n > 1, "ambiguous_internal").otherwise("unresolved_internal")
+    return found.select(*references.columns, F.when(n == 1, F.col("_only")).alias("target"), status.alias("status"), "n", F.when(n > 1, F.col("_all")).alias("candidates"))
+
+
+def with_symbol_details(symbols: DataFrame, details: DataFrame) -> DataFrame:
+    """``symbols`` with the details of the symbol of the same path, qualified name and first line, null where there are none; of several
+    the first by their values."""
+    keys = ["path", "qualified", "start_line"]
+    rest = [c for c in details.columns if c not in keys]
+    one = details.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_d")).select(*keys, *[F.col(f"_d.{c}").alias(c) for c in rest])
+    return symbols.join(one, keys, "left")
+
+
 # ---- sets
 
 

@@ -184,6 +184,25 @@ def finding_contexts(t: Tables) -> DataFrame:
     return got.select("stable_key", F.size("paths").alias("n"), F.get("paths", F.lit(0)).alias("first"))
 
 
+@query("""WITH s AS (SELECT 'm' || p_partkey AS path, regexp_extract(p_name, '[^ ]+$') AS name, p_brand || '.' || p_name AS qualified FROM part),
+i AS (SELECT DISTINCT name AS symbol, path FROM s UNION SELECT qualified, path FROM s),
+r AS (SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'lost' || l_partkey WHEN l_linenumber % 2 = 0 THEN p_brand || '.' || p_name ELSE regexp_extract(p_name, '[^ ]+$') END AS symbol FROM lineitem JOIN part ON p_partkey = l_partkey),
+k AS (SELECT symbol, count(*) AS n, min(path) AS one, list_sort(list(path))[:3] AS paths FROM i GROUP BY symbol)
+SELECT id, line, r.symbol, CASE WHEN n = 1 THEN one END AS target, CASE WHEN n = 1 THEN 'resolved_internal' WHEN n > 1 THEN 'ambiguous_internal' ELSE 'unresolved_internal' END AS status, coalesce(n, 0) AS n, CASE WHEN n > 1 THEN array_to_string(paths, ' ') END AS candidates
+FROM r LEFT JOIN k ON k.symbol = r.symbol""")
+def resolve_symbols(t: Tables) -> DataFrame:
+    """Line items as references to parts' names: by brand and whole name, by the last word, or to none."""
+    last = F.regexp_extract("p_name", "[^ ]+$", 0)
+    whole = F.concat_ws(".", "p_brand", "p_name")
+    p = t("part", "p_partkey", "p_brand", "p_name")
+    symbols = p.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("path"), last.alias("name"), whole.alias("qualified"))
+    lost = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
+    symbol = F.when(lost, F.concat(F.lit("lost"), F.col("l_partkey").cast("string"))).when(F.col("l_linenumber") % 2 == 0, whole).otherwise(last)
+    l = t("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").join(p, F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
+    r = l.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), symbol.alias("symbol"))
+    return rel.resolve_symbols(r, symbols, 3).withColumn("candidates", F.array_join("candidates", " "))
+
+
 _TOKENS = """w AS (SELECT p_partkey AS key, lower(p_type) || '.' || replace(p_name, ' ', '.') AS token FROM part)"""
 
 

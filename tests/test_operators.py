@@ -391,6 +391,19 @@ def test_python_facts():
     assert extract.python_facts("def (")["parse_error"] == "SyntaxError" and extract.python_facts(None)["symbols"] == []
 
 
+def test_symbols(spark):
+    rows = [("a.py", "Core", "a.Core", 1), ("b.py", "Core", "b.Core", 4), ("b.py", "run", "b.Core.run", 5), ("a.py", "Core", "a.Core", 9), ("c.py", None, "", 1)] + [(f"m{n:02}.py", "f", f"m{n}.f", 1) for n in range(12)]
+    symbols = spark.createDataFrame(rows, "path string, name string, qualified string, start_line int")
+    asked = spark.createDataFrame([(1, "Core"), (2, "b.Core"), (3, "run"), (4, "none"), (5, "f"), (6, None), (7, ""), (1, "Core")], "id int, symbol string")
+    got = {r["id"]: (r["target"], r["status"].split("_")[0], r["n"], r["candidates"]) for r in rel.resolve_symbols(asked, symbols).collect()}
+    assert got == {
+        1: (None, "ambiguous", 2, ["a.py", "b.py"]), 2: ("b.py", "resolved", 1, None), 3: ("b.py", "resolved", 1, None), 4: (None, "unresolved", 0, None), 5: (None, "ambiguous", 12, [f"m{n:02}.py" for n in range(10)]),
+        6: (None, "unresolved", 0, None), 7: (None, "unresolved", 0, None),
+    }
+    details = spark.createDataFrame([("a.py", "a.Core", 9, "second"), ("b.py", "b.Core", 4, "x"), ("b.py", "b.Core", 4, "w"), ("b.py", "b.Core", 5, "none")], "path string, qualified string, start_line int, note string")
+    assert pairs(rel.with_symbol_details(symbols, details).where("note IS NOT NULL"), "path", "start_line", "note") == [("a.py", 9, "second"), ("b.py", 4, "w")]
+
+
 def test_script_facts(spark):
     df = spark.createDataFrame([("w", "// import 'no'\nimport {a} from './b';\nconst r = require('c');\nexport class K {}\nfunction f() {}\nconst g = async (x) => x\n")], "k string, text string")
     assert pairs(extract.script_imports(df, "k"), "target") == [("./b",), ("c",)]
