@@ -11,10 +11,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lodestone import engine
 from lodestone.factstore import FactStore
 from lodestone.operators.temporal import EVERY
+from lodestone.sources import files
 from lodestone.sources.versioned import VersionedTable
 from lodestone.storage import drop_path
 
@@ -23,8 +25,8 @@ STATE = "status string, done int, total int, error string"
 
 
 class HistoryImport:
-    def __init__(self, spark: SparkSession, folder: str, policy: dict, tree: Callable[[str], DataFrame]):
-        """``tree`` gives the files of a revision, as ``files.tree`` does."""
+    def __init__(self, spark: SparkSession, folder: str, policy: dict, tree: Callable[[str], DataFrame] | None = None):
+        """``tree`` gives the files of a revision, as ``files.tree`` does; ``watch`` needs none."""
         self.spark, self.folder, self.policy, self.tree = spark, folder.rstrip("/"), policy, tree
         self.table = VersionedTable(spark, f"{self.folder}/state")
 
@@ -52,24 +54,40 @@ class HistoryImport:
         for seq in range(now["done"], len(revisions)):
             if cancelled():
                 return self._set(status="cancelled")
-            self._set(status="importing")
-            try:
-                self._frame(seq, revisions[seq])
-            except Exception as e:
-                self._set(status="failed", error=f"{type(e).__name__}: {e}"[:500])
-                raise
-            self._set(done=seq + 1)
-            if seq > 0 and (seq - 1) % EVERY != EVERY - 1:  # checkpoints stay
-                drop_path(self.spark, f"{self.folder}/facts/seq={seq - 1}")
-                drop_path(self.spark, f"{self.folder}/edges/seq={seq - 1}")
+            self.step(seq, self.tree(revisions[seq]))
         self._set(status="finalizing")
         return self._set(status="completed")
 
-    def _frame(self, seq: int, revision: str) -> None:
+    def step(self, seq: int, tree: DataFrame) -> None:
+        """One frame from its files; one that is done already is left as it is."""
+        if seq < self.state()["done"]:
+            return
+        self._set(status="importing")
+        try:
+            self._frame(seq, tree)
+        except Exception as e:
+            self._set(status="failed", error=f"{type(e).__name__}: {e}"[:500])
+            raise
+        self._set(done=seq + 1)
+        if seq > 0 and (seq - 1) % EVERY != EVERY - 1:  # checkpoints stay
+            drop_path(self.spark, f"{self.folder}/facts/seq={seq - 1}")
+            drop_path(self.spark, f"{self.folder}/edges/seq={seq - 1}")
+
+    def watch(self, root: str, seconds: float | None = None) -> StreamingQuery:
+        """A frame whenever the source tree below ``root`` has changed: looked at every so many ``seconds``, or once.  A batch that is
+        run again after a crash is a frame that is done, or is written over."""
+
+        def each(batch: DataFrame, n: int) -> None:
+            self.step(n, files.analysable(batch, self.policy["include"], self.policy["ignore"]))
+
+        writer = files.tree_stream(self.spark, root).writeStream.foreachBatch(each).option("checkpointLocation", f"{self.folder}/watch")
+        return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
+
+    def _frame(self, seq: int, tree: DataFrame) -> None:
         """Contents that no earlier frame had are parsed; edges of sources that nothing touches are carried forward."""
         before = self.facts(seq - 1).drop("analysis_status", "node") if seq else None
         edges = self.edges(seq - 1) if seq else None
-        made = engine.scan_tree(self.spark, self.tree(revision), self.policy, before, seq, FactStore(self.spark, f"{self.folder}/contents"), edges)
+        made = engine.scan_tree(self.spark, tree, self.policy, before, seq, FactStore(self.spark, f"{self.folder}/contents"), edges)
         made["facts"].write.mode("overwrite").parquet(f"{self.folder}/facts/seq={seq}")
         made["deltas"].drop("seq").write.mode("overwrite").parquet(f"{self.folder}/deltas/seq={seq}")
         made["edges"].write.mode("overwrite").parquet(f"{self.folder}/edges/seq={seq}")

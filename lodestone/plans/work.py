@@ -12,7 +12,7 @@ from lodestone.plans import analogs as a
 from lodestone.plans.registry import query
 from lodestone.sources.tables import Tables
 from lodestone.storage import shared_path
-from lodestone.streaming import streams
+from lodestone.streaming import leases, streams
 
 
 def _ranked(t: Tables) -> DataFrame:
@@ -185,3 +185,20 @@ def streamed_windows(t: Tables) -> DataFrame:
     """The tumbling windows of a stream over the same file, run to its end."""
     out = streams.run_once(streams.tumbling(streams.event_stream(t.spark, t.folder)), "result", shared_path(t.spark, "windows"))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT user_id * 10 + (day(ts) - 1) // 5 AS job, event_id AS id, epoch_ms(ts) AS at, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete' ELSE 'heartbeat' END AS kind FROM events),
+w AS (SELECT max(at) - 3600000 AS clock FROM l), n AS (SELECT job, at, kind, row_number() OVER (PARTITION BY job ORDER BY at, id) AS n FROM l, w WHERE at < clock UNION ALL SELECT job, min(clock), 'end', count(*) FILTER (WHERE at < clock) + 1 FROM l, w GROUP BY job),
+s AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS at, '' AS status, 0 AS attempt, CAST(0 AS BIGINT) AS lease, CAST(NULL AS BIGINT) AS lost_at, CAST(NULL AS INTEGER) AS lost_attempt, '' AS lost, false AS changed FROM l
+  UNION ALL SELECT job, n, at, CASE WHEN began THEN 'running' WHEN kind = 'complete' AND held = 'running' THEN 'completed' ELSE held END, attempt + CASE WHEN began THEN 1 ELSE 0 END,
+    CASE WHEN began OR (kind = 'heartbeat' AND held = 'running') THEN at + 28800000 ELSE lease END, CASE WHEN over THEN lease END, attempt, CASE WHEN over THEN held END, began OR (kind = 'complete' AND held = 'running')
+  FROM (SELECT *, kind = 'claim' AND held IN ('', 'retry') AS began FROM (SELECT n.job, n.n, n.at, n.kind, s.attempt, s.lease, s.status = 'running' AND s.lease < n.at AS over,
+    CASE WHEN s.status = 'running' AND s.lease < n.at THEN CASE WHEN s.attempt >= 3 THEN 'failed' ELSE 'retry' END ELSE s.status END AS held FROM s JOIN n ON n.job = s.job AND n.n = s.n + 1)))
+SELECT job, lost_at AS at, lost_attempt AS attempt, lost AS status FROM s WHERE lost_at IS NOT NULL UNION ALL SELECT job, at, attempt, status FROM s WHERE changed""")
+def lease_changes(t: Tables) -> DataFrame:
+    """Events as the log of five days' jobs of each user, streamed: leases of eight hours, three attempts."""
+    kind = F.when(F.col("event_type").isin("signup", "view"), "claim").when(F.col("event_type") == "purchase", "complete").otherwise("heartbeat")
+    job = F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 5)
+    log = streams.event_stream(t.spark, t.folder).select(job.alias("job"), F.col("event_id").alias("id"), F.col("ts").alias("at"), kind.alias("kind"))
+    leases.use_state_store(t.spark)
+    return streams.run_once(leases.lease_changes(log, 28_800_000, 3), "result", shared_path(t.spark, "leases"), "append")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.exprs import included, normalised_path
 from lodestone.sources.gitsource import GitSource
 from lodestone.sources.treesource import TreeSource
+from lodestone.sources.treestream import TreeStream
 
 
 def tree(spark: SparkSession, root: str, include: Sequence[str] = (), ignore: Sequence[str] = (), max_bytes: int = 1_000_000) -> DataFrame:
@@ -18,16 +19,22 @@ def tree(spark: SparkSession, root: str, include: Sequence[str] = (), ignore: Se
 
     Too large and binary files (a NUL in the first 8192 bytes) and those the policy keeps out are left out."""
     spark.dataSource.register(TreeSource)
-    return _analysable(spark.read.format("sourcetree").option("maxBytes", max_bytes).load(root), include, ignore)
+    return analysable(spark.read.format("sourcetree").option("maxBytes", max_bytes).load(root), include, ignore)
+
+
+def tree_stream(spark: SparkSession, root: str, max_bytes: int = 1_000_000) -> DataFrame:
+    """``path, length, content`` as a stream: the whole tree whenever it changed.  ``analysable`` makes of a batch what ``tree`` gives."""
+    spark.dataSource.register(TreeStream)
+    return spark.readStream.format("sourcetreestream").option("maxBytes", max_bytes).load(root)
 
 
 def git_tree(spark: SparkSession, root: str, revision: str = "", include: Sequence[str] = (), ignore: Sequence[str] = (), max_bytes: int = 1_000_000) -> DataFrame:
     """As ``tree``: the files of a revision of a git repository, or of its working tree as git lists it."""
     spark.dataSource.register(GitSource)
-    return _analysable(spark.read.format("gittree").option("revision", revision).option("maxBytes", max_bytes).load(root), include, ignore)
+    return analysable(spark.read.format("gittree").option("revision", revision).option("maxBytes", max_bytes).load(root), include, ignore)
 
 
-def _analysable(found: DataFrame, include: Sequence[str], ignore: Sequence[str]) -> DataFrame:
+def analysable(found: DataFrame, include: Sequence[str], ignore: Sequence[str]) -> DataFrame:
     named = found.where(F.col("content").isNotNull() & included("path", include, ignore)).select("path", F.col("length").alias("size"), "content")
     binary = F.contains(F.substring("content", 1, 8192), F.lit(b"\x00"))
     return named.where(~binary).select("path", "size", F.sha2("content", 256).alias("raw_hash"), F.call_function("decode", "content", F.lit("UTF-8")).alias("text"))
