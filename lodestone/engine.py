@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestone.factstore import KEY, FactStore
 from lodestone.functions import scores
-from lodestone.functions.exprs import WORD, effective, first_group, half_even, module_aliases, parent, ratio, relative_import, saturated, stem
+from lodestone.functions.exprs import WORD, effective, first_group, half_even, joined_path, module_aliases, parent, ratio, relative_import, saturated, stem
+from lodestone.operators import evidence as ev
 from lodestone.operators import extract, graph, paging, search, temporal, windows
 from lodestone.operators import relational as rel
 from lodestone.sources import files
@@ -162,7 +163,7 @@ class Engine:
         return search.rank_goal(m, goal, F.col("kind") == "test")
 
     def scope(self, goal: str, primary: int = 8, limit: int = 50, depth: int = 2) -> dict[str, DataFrame]:
-        """What to read for a goal: primary modules spread over folders, related ones by proximity, tests."""
+        """What to read for a goal: primary modules spread over folders, related ones by proximity, tests, and open findings."""
         ranked = checkpointed(self.rank_goal(goal).select("node", "path", "grp", "score"))
         rows = ranked.select(F.lit("goal").alias("key"), "node", parent("path").alias("folder"), effective("grp", default="ungrouped").alias("grp"), "path", "score")
         top = windows.diversity_bound(rows, "key", [F.col("score").desc(), F.col("path")], primary).drop("_fill").distinct()
@@ -174,20 +175,21 @@ class Engine:
         seeds = chosen.select("node")
         nodes = self.modules.select("node", parent("path").alias("folder"), "grp", "path").join(ranked.select("node", F.col("score").alias("lexical")), "node", "left")
         related = graph.related(self.edges, seeds, nodes, depth, limit)
-        return {"primary": chosen, "related": related, "tests": self.related_tests(seeds, related.select("node"), goal)}
+        context = self.modules.join(seeds.withColumn("primary", F.lit(True)).unionByName(related.select("node", F.lit(False).alias("primary"))), "node").select("path", "primary")
+        found = ev.scoped_findings(self.findings.where(F.col("status").isin(*paging.ACTIVE)), context)
+        return {"primary": chosen, "related": related, "tests": self.related_tests(seeds, related.select("node"), goal), "findings": found}
 
     def related_tests(self, primary: DataFrame, related: DataFrame, goal: str = "", limit: int = 12) -> DataFrame:
-        """Tests by their neighbours among the primary modules (a choice of bounded size) and the related ones, the primary modules'
-        names in their paths, and the goal's words there."""
+        """Tests by their neighbours among the primary modules and the related ones, the primary modules' names in their paths, and
+        the goal's words there."""
         near = graph.undirected(self.edges)
         hits = lambda of, name: near.join(of.select(F.col("node").alias("target")).distinct(), "target", "left_semi").groupBy(F.col("source").alias("node")).agg(F.count("*").alias(name))
         chosen = self.modules.join(primary, "node", "left_semi").select(F.regexp_replace(F.lower(stem("path")), "^test_|_test$", "").alias("s")).where("s <> ''").distinct()
-        words = {w.lower() for w in re.findall(WORD, goal) if len(w) > 3}
-        held = lambda some: sum((F.contains(F.lower("path"), F.lit(x)).cast("int") for x in sorted(some)), F.lit(0))
-        names, goals = held({r["s"] for r in chosen.collect()}), held(words)
         tests = self.modules.where("kind = 'test'").select("node", "path")
-        t = tests.join(hits(primary, "p"), "node", "left").join(hits(related, "r"), "node", "left").fillna(0)
-        return t.withColumn("score", scores.related_test(F.col("p"), F.col("r"), names, goals)).where("score > 0").orderBy(F.col("score").desc(), "path").limit(limit).select("node", "path", "score")
+        words = {w.lower() for w in re.findall(WORD, goal) if len(w) > 3}
+        goals = sum((F.contains(F.lower("path"), F.lit(w)).cast("int") for w in sorted(words)), F.lit(0))
+        t = tests.join(hits(primary, "p"), "node", "left").join(hits(related, "r"), "node", "left").join(_named(tests, chosen), "node", "left").fillna(0)
+        return t.withColumn("score", scores.related_test(F.col("p"), F.col("r"), F.col("names"), goals)).where("score > 0").orderBy(F.col("score").desc(), "path").limit(limit).select("node", "path", "score")
 
     def impact(self, path: str, protected: tuple[str, ...] = (), conflicts: int = 0) -> dict:
         """Who depends on a module, directly and through others, and how risky a change is."""
@@ -219,6 +221,16 @@ class Engine:
         return self.ledger().select("node", half_even(40 * saturated("loc", 500) + 30 * saturated("change_count", 20) + 30 * saturated(F.col("fan_in") + F.col("fan_out"), 30)).cast("int").alias("risk"))
 
 
+def _named(tests: DataFrame, stems: DataFrame) -> DataFrame:
+    """``node, names``: how many of the stems ``s`` each test's path holds.  The pieces of a path that are as long as some stem are
+    joined with the stems, so neither table is gathered; the lengths are fewer than a path has characters."""
+    lengths = stems.agg(F.collect_set(F.char_length("s")).alias("lengths"))
+    p = F.lower("path")
+    pieces = F.transform(F.filter("lengths", lambda n: n <= F.char_length(p)), lambda n: F.transform(F.sequence(F.lit(1), F.char_length(p) - n + 1), lambda i: F.substring(p, i, n)))
+    held = tests.join(F.broadcast(lengths)).select("node", F.explode(F.array_distinct(F.flatten(pieces))).alias("s"))
+    return held.join(stems, "s").groupBy("node").agg(F.count("*").alias("names"))
+
+
 def _by_score():
     from pyspark.sql import Window
 
@@ -337,7 +349,7 @@ def _wanted(target: Column, aliases: dict[str, str], path: str = "path") -> Colu
     named = target
     for alias, place in sorted(aliases.items(), key=lambda a: -len(a[0])):
         named = F.when(target.startswith(alias), F.concat(F.lit(place), F.substring(target, F.lit(len(alias) + 1), F.length(target)))).otherwise(named)
-    return F.when(target.startswith("."), _joined(parent(path), named)).otherwise(named)
+    return F.when(target.startswith("."), joined_path(parent(path), named)).otherwise(named)
 
 
 def script_edges(paths: DataFrame, scripts: DataFrame, aliases: dict[str, str]) -> DataFrame:
@@ -353,11 +365,3 @@ def script_edges(paths: DataFrame, scripts: DataFrame, aliases: dict[str, str])
     status = F.when(F.col("resolved").isNotNull(), "resolved_internal").when(F.col("inside"), "unresolved_internal").otherwise("external")
     rows = found.select("source", F.col("resolved").alias("target"), F.when(F.col("resolved").isNull(), F.col("external")).alias("external"), status.alias("status"))
     return rows.groupBy("source", "target", "external", "status").agg(F.count("*").alias("weight"))
-
-
-def _joined(folder: Column, relative: Column) -> Column:
-    """A path relative to a folder, with ``.`` and ``..`` steps taken."""
-    steps = F.split(F.concat_ws("/", F.when(folder != ".", folder), relative), "/")
-    empty = F.array().cast("array<string>")
-    walked = F.aggregate(steps, empty, lambda seen, s: F.when(s.isin(".", ""), seen).when(s == "..", F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.concat(seen, F.array(s))))
-    return F.array_join(walked, "/")

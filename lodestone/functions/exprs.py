@@ -101,6 +101,14 @@ def safe_path(path: str | Column) -> Column:
     return ~F.rlike(normalised_path(path), F.lit(r"(^/)|(^|/)\.\.(/|$)"))
 
 
+def joined_path(folder: str | Column, relative: str | Column) -> Column:
+    """A path relative to a folder, with ``.`` and ``..`` steps taken; steps above the root stay there."""
+    steps = F.split(F.concat_ws("/", F.when(col(folder) != ".", col(folder)), col(relative)), "/")
+    empty = F.array().cast("array<string>")
+    walked = F.aggregate(steps, empty, lambda seen, s: F.when(s.isin(".", ""), seen).when(s == "..", F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.concat(seen, F.array(s))))
+    return F.array_join(walked, "/")
+
+
 def literal_count(text: str | Column, term: str | Column) -> Column:
     """Non-overlapping occurrences of a literal; 0 for the empty one."""
     term = F.lit(term) if isinstance(term, str) else term
@@ -130,7 +138,9 @@ def slug(text: str | Column) -> Column:
 
 
 def visibility(name: str | Column) -> Column:
-    return F.when(col(name).rlike("^__.*__$"), "special").when(col(name).startswith("_"), "private").otherwise("public")
+    """Two underscores in front (and none behind) make a name private, one makes it protected."""
+    n = col(name)
+    return F.when(n.startswith("__") & ~n.endswith("__"), "private").when(n.startswith("_"), "protected").otherwise("public")
 
 
 def module_aliases(module: str | Column) -> Column:

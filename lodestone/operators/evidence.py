@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.exprs import glob_any
+from lodestone.functions.scores import scoped_finding
 from lodestone.operators.graph import ancestors
 from lodestone.operators.relational import symmetric_neighbours
 
@@ -54,6 +55,19 @@ def finding_context(finding: DataFrame, scope: DataFrame, impact: DataFrame) ->
     return finding.select("stable_key", "affected").join(F.broadcast(extra)).select("stable_key", F.array_distinct(F.concat("affected", F.transform("x", lambda s: s["path"]))).alias("paths"))
 
 
+def scoped_findings(findings: DataFrame, context: DataFrame, limit: int = 12) -> DataFrame:
+    """The findings that matter for a task, by score: ``findings`` has ``stable_key, severity, confidence, affected``, ``context``
+    the task's modules ``path, primary``.  ``direct``: it affects a primary module; ``relevant``: how many of the task's it affects."""
+    own = context.groupBy("path").agg(F.bool_or("primary").alias("primary"))
+    met = findings.select("stable_key", F.explode(F.array_distinct("affected")).alias("path")).join(own, "path")
+    about = met.groupBy("stable_key").agg(F.bool_or("primary").alias("direct"), F.count("*").alias("relevant"))
+    spans = F.size(F.array_distinct("affected"))
+    where = F.when(F.col("direct"), "affects a module of the task").otherwise("affects what the task's modules depend on")
+    why = F.array_compact(F.array(F.concat("severity", F.lit(" severity")), where, F.when(spans > 1, F.concat(F.lit("spans "), spans.cast("string"), F.lit(" modules")))))
+    rated = findings.join(about, "stable_key").withColumn("score", scoped_finding(F.col("severity"), F.col("direct"), F.col("relevant"), F.col("confidence")))
+    return rated.select("stable_key", "severity", "score", "direct", "relevant", why.alias("reasons")).orderBy(F.col("score").desc(), "stable_key").limit(limit)
+
+
 def members_of(groups: DataFrame, modules: DataFrame) -> DataFrame:
     """``grp, members``: all modules of a group and of those below it, sorted."""
     below = ancestors(groups).select(F.col("name").alias("grp"), F.col("ancestor"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.exprs import glob_any
 from lodestone.functions.scores import proximity
 from lodestone.storage import checkpointed, release
 
@@ -48,13 +49,14 @@ def _degrees(sources: DataFrame, targets: DataFrame) -> DataFrame:
 # ---- reachability
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, enough: int | None = None) -> DataFrame:
     """``node, distance`` of all nodes that a path leads to from ``start`` (a ``node`` column),
-    which are at distance 0."""
+    which are at distance 0.  With ``enough``, no further rings once those that are whole hold so many nodes besides the start."""
     hops = checkpointed(edges.where("target is not null").select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
     seen = _Rings(start.select("node").distinct())
     while (depth is None or seen.at < depth) and seen.grow(hops, HOPS if depth is None else min(HOPS, depth - seen.at)):
-        pass
+        if enough is not None and seen.all().where("distance > 0").count() >= enough:
+            break
     release(hops)
     return seen.all()
 
@@ -104,7 +106,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def dependants(edges: DataFrame, target: DataFrame, limit: int = 500) -> DataFrame:
     """What depends on the target, nearest first, at most ``limit`` (by distance, then node)."""
-    found = reach(reversed_edges(edges.where("target is not null")), target).where("distance > 0")
+    found = reach(reversed_edges(edges.where("target is not null")), target, enough=limit).where("distance > 0")
     return found.orderBy("distance", "node").limit(limit)
 
 
@@ -254,9 +256,16 @@ def forbidden_edges(edges: DataFrame, nodes: DataFrame, from_, to) -> DataFrame:
     return edges.join(end("source"), "source").join(end("target"), "target").where(from_ & to)
 
 
-def layer_faults(edges: DataFrame, layers: DataFrame, allowed: DataFrame) -> DataFrame:
+def layers_of(nodes: DataFrame, layers: Sequence[tuple[str, Sequence[str]]], name: str = "path") -> DataFrame:
+    """``node, layer``: every layer one of whose globs a node's name matches."""
+    own = [F.when(glob_any(name, globs), F.lit(layer)) for layer, globs in layers]
+    return nodes.select("node", F.explode(F.array_compact(F.array(*own))).alias("layer"))
+
+
+def layer_faults(edges: DataFrame, layers: DataFrame, allowed: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
     """``fault, source, target`` against ``layers (node, layer)`` and ``allowed (from_layer, to_layer)``: nodes in no layer or
-    in several, and edges between layers that aren't allowed."""
+    in several, and edges between layers that aren't allowed.  Edges that ``legacy (source, target)`` excepts are no faults; an
+    exception that excepts nothing is ``stale``."""
     n = layers.groupBy("node").agg(F.count_distinct("layer").alias("n"), F.min("layer").alias("layer"))
     nodes = edges.select(F.col("source").alias("node")).unionByName(edges.where("target is not null").select(F.col("target").alias("node"))).distinct().join(n, "node", "left")
     none = nodes.where("n is null").select(F.lit("unclassified").alias("fault"), F.col("node").alias("source"), F.lit(None).cast("string").alias("target"))
@@ -264,6 +273,10 @@ def layer_faults(edges: DataFrame, layers: DataFrame, allowed: DataFrame) -> Dat
     one = n.where("n = 1")
     across = edges.join(one.select(F.col("node").alias("source"), F.col("layer").alias("from_layer")), "source").join(one.select(F.col("node").alias("target"), F.col("layer").alias("to_layer")), "target").where("from_layer <> to_layer")
     bad = across.join(allowed, ["from_layer", "to_layer"], "left_anti").select(F.lit("not_allowed").alias("fault"), "source", F.col("target").cast("string").alias("target"))
+    if legacy is not None:
+        known = legacy.select("source", F.col("target").cast("string").alias("target")).distinct()
+        stale = known.join(bad, ["source", "target"], "left_anti").select(F.lit("stale").alias("fault"), "source", "target")
+        bad = bad.join(known, ["source", "target"], "left_anti").unionByName(stale)
     return none.unionByName(many).unionByName(bad)
 
 

@@ -107,8 +107,8 @@ def read_page(df: DataFrame, keys: Sequence[tuple[str, bool]], size: int, cursor
     shown = rows
     while budget is not None and len(shown) > 1 and len(json.dumps(shown, default=str).encode()) > budget:
         shown = shown[:-1]
-    total = df.count()
-    rest = df.where(after_key(keys, [shown[-1][k] for k, _ in keys])).count() if shown else 0
+    behind = F.count_if(after_key(keys, [shown[-1][k] for k, _ in keys])) if shown else F.lit(0)
+    total, rest = df.agg(F.count("*"), behind).first()  # both in one pass
     return Page(shown, total, len(rows) - len(shown), encode_cursor(sign, [shown[-1][k] for k, _ in keys]) if rest else None, after is not None)
 
 

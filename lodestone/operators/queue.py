@@ -12,11 +12,11 @@ from lodestone.functions.exprs import backoff_seconds
 from lodestone.storage import checkpointed
 
 
-def spent(jobs: DataFrame, today: str) -> DataFrame:
-    """One row: estimates of running jobs and actual (else estimated) cost of those completed today."""
+def spent(jobs: DataFrame, today: str, *by: str) -> DataFrame:
+    """One row, or one for each value of ``by``: estimates of running jobs and actual (else estimated) cost of those completed today."""
     cost = F.when(F.col("status") == "running", F.coalesce("estimated_cost", F.lit(0.0))).otherwise(F.coalesce("actual_cost", "estimated_cost", F.lit(0.0)))
     counts = (F.col("status") == "running") | ((F.col("status") == "completed") & (F.to_date("completed_at") == F.lit(today).cast("date")))
-    return jobs.agg(F.coalesce(F.sum(F.when(counts, cost)), F.lit(0.0)).alias("spent"))
+    return jobs.groupBy(*by).agg(F.coalesce(F.sum(F.when(counts, cost)), F.lit(0.0)).alias("spent"))
 
 
 def claimable(now: Column) -> Column:

@@ -55,16 +55,16 @@ r AS (SELECT l_suppkey AS source, CASE WHEN status = 'resolved_internal' THEN l_
 
 
 def edges(t: Tables) -> DataFrame:
-    """``events`` as a graph of users: a purchase over 10 that is followed, within the hour, by another user's error."""
+    """``events`` as a graph of users: a purchase that is followed, within the hour, by another user's error."""
     w = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
-    e = t("events", "event_id", "ts", "user_id", "event_type", "value").withColumn("target", F.lead("user_id").over(w)).withColumn("_next", F.lead("event_type").over(w))
-    return e.where("event_type = 'purchase' AND _next = 'error' AND target <> user_id AND value > 10").select(F.col("user_id").alias("source"), "target").distinct()
+    e = t("events", "event_id", "ts", "user_id", "event_type").withColumn("target", F.lead("user_id").over(w)).withColumn("_next", F.lead("event_type").over(w))
+    return e.where("event_type = 'purchase' AND _next = 'error' AND target <> user_id").select(F.col("user_id").alias("source"), "target").distinct()
 
 
 EDGES = """e AS (SELECT DISTINCT user_id AS source, nu AS target FROM (
-  SELECT user_id, event_type, value, lead(user_id) OVER w AS nu, lead(event_type) OVER w AS nt FROM events
+  SELECT user_id, event_type, lead(user_id) OVER w AS nu, lead(event_type) OVER w AS nt FROM events
   WINDOW w AS (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id))
-  WHERE event_type = 'purchase' AND nt = 'error' AND nu <> user_id AND value > 10)"""
+  WHERE event_type = 'purchase' AND nt = 'error' AND nu <> user_id)"""
 
 
 def deltas(t: Tables) -> DataFrame:

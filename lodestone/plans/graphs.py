@@ -114,6 +114,23 @@ def layer_policy(t: Tables) -> DataFrame:
     return graph.layer_faults(e, layers, allowed)
 
 
+@query(f"""WITH {a.EDGES}, n AS (SELECT source AS node FROM e UNION SELECT target FROM e), p AS (SELECT node, CASE WHEN node % 3 = 0 THEN 'tests/m' ELSE 'src/m' END || node || '.py' AS path FROM n),
+k AS (SELECT node, 'tests' AS layer FROM p WHERE starts_with(path, 'tests/') UNION ALL SELECT node, 'low' FROM p WHERE regexp_matches(path, '^src/m[1-4]') UNION ALL SELECT node, 'high' FROM p WHERE regexp_matches(path, '^src/m[^/]*[5-9]\\.py$')),
+o AS (SELECT node, min(layer) AS layer, count(*) AS n FROM k GROUP BY node),
+b AS (SELECT source, target FROM e JOIN o x ON x.node = source AND x.n = 1 JOIN o y ON y.node = target AND y.n = 1 WHERE x.layer <> y.layer AND x.layer <> 'tests' AND NOT (x.layer = 'high' AND y.layer = 'low')),
+g AS (SELECT source, target FROM e WHERE source % 7 = 0)
+SELECT 'not_allowed' AS fault, source, CAST(target AS VARCHAR) AS target FROM (SELECT * FROM b EXCEPT SELECT * FROM g) UNION ALL SELECT 'stale', source, CAST(target AS VARCHAR) FROM (SELECT * FROM g EXCEPT SELECT * FROM b)
+UNION ALL SELECT CASE WHEN o.n IS NULL THEN 'unclassified' ELSE 'ambiguous' END, p.node, NULL FROM p LEFT JOIN o ON o.node = p.node WHERE o.n IS NULL OR o.n > 1""")
+def layer_exceptions(t: Tables) -> DataFrame:
+    """Layers by globs; edges from every seventh node are excepted, those of them that needn't be are stale."""
+    e = a.edges(t)
+    node = F.col("node")
+    named = graph.degree_internal(e).select("node", F.concat(F.when(node % 3 == 0, "tests/m").otherwise("src/m"), node.cast("string"), F.lit(".py")).alias("path"))
+    layers = graph.layers_of(named, [("tests", ["tests/**"]), ("low", ["src/m[1-4]*"]), ("high", ["src/m*[5-9].py"])])
+    allowed = t.spark.createDataFrame([("tests", "low"), ("tests", "high"), ("high", "low")], "from_layer string, to_layer string")
+    return graph.layer_faults(e, layers, allowed, e.where("source % 7 = 0"))
+
+
 @query(f"WITH {a.EDGES}, s AS (SELECT source AS test, target FROM e WHERE source % 5 = 0) SELECT e.source, e.target, 1.0::DOUBLE AS coverage, array_to_string((list_sort(list(x.test)))[1:10], ',') AS evidence FROM e JOIN s x ON x.target = e.source JOIN s y ON y.target = e.target AND y.test = x.test WHERE e.source % 5 <> 0 GROUP BY e.source, e.target")
 def edge_coverage(t: Tables) -> DataFrame:
     e = a.edges(t)

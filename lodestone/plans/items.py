@@ -26,25 +26,29 @@ def glob_policy(t: Tables) -> DataFrame:
     return a.modules(t).select("node", x.included("path", ["brand_1*/**", "m2*.py"], ["**/economy/**"]).alias("included"), x.first_group("path", [("low", ["brand_[23]/**"]), ("round", ["m*[05].py"])]).alias("grp"))
 
 
-_FOLDERS = ("src/core", "frontend/app", "tests", "docs/api", "lib_worker", "a/test", "scripts", "x/infra/y", "")
-_SUFFIXES = ("py", "tsx", "ts", "md", "YAML", "scss", "go", "xyz", "tf", "test.js")
-_FILES = f"""p AS (SELECT p_partkey AS node, {list(_FOLDERS)}[CAST(p_partkey % 9 AS INTEGER) + 1] AS folder, CASE WHEN p_partkey % 13 = 0 THEN 'Dockerfile' ELSE 'f' || CAST(p_partkey AS VARCHAR) || '.' || {list(_SUFFIXES)}[CAST(p_partkey % 10 AS INTEGER) + 1] END AS file FROM part),
-q AS (SELECT node, CASE WHEN folder = '' THEN file ELSE folder || '/' || file END AS path FROM p),
-k AS (SELECT node, path, CASE WHEN ends_with(path, 'Dockerfile') THEN 'dockerfile' ELSE CASE regexp_extract(lower(path), '\\.([^.]+)$', 1) WHEN 'py' THEN 'python' WHEN 'tsx' THEN 'typescriptreact' WHEN 'ts' THEN 'typescript' WHEN 'md' THEN 'markdown' WHEN 'yaml' THEN 'yaml' WHEN 'scss' THEN 'scss' WHEN 'go' THEN 'go' WHEN 'tf' THEN 'terraform' WHEN 'js' THEN 'javascript' ELSE 'unknown' END END AS language FROM q),
+_FILES = """p AS (SELECT page_id AS node, url, regexp_extract(url, '^https?://([^/]*)/', 1) AS host, regexp_extract(url, '^https?://[^/]*/([a-z]+)/', 1) AS lang, regexp_extract(url, '^https?://[^/]*/[a-z]+/([0-9]+)', 1) AS num FROM pages),
+q AS (SELECT node, regexp_replace(regexp_replace(regexp_replace(replace(host, '.', '/'), '^blog/', 'tests/'), '^www/', 'src/'), '^m/', 'frontend/') || '/' || CASE WHEN contains(url, '#') THEN 'Dockerfile' ELSE CASE WHEN ends_with(url, '/') THEN 'index' WHEN contains(url, '?page') THEN 'main' ELSE 'f' || num END || '.' ||
+  CASE lang WHEN 'de' THEN 'md' WHEN 'es' THEN 'YAML' WHEN 'fr' THEN CASE WHEN starts_with(url, 'https') THEN 'scss' ELSE 'test.js' END ELSE CASE regexp_extract(host, '[a-z]+$') WHEN 'org' THEN 'py' WHEN 'com' THEN 'ts' ELSE 'tsx' END END END AS path FROM p),
+k AS (SELECT node, path, CASE WHEN ends_with(path, 'Dockerfile') THEN 'dockerfile' ELSE CASE regexp_extract(lower(path), '\\.([^.]+)$', 1) WHEN 'py' THEN 'python' WHEN 'tsx' THEN 'typescriptreact' WHEN 'ts' THEN 'typescript' WHEN 'md' THEN 'markdown' WHEN 'yaml' THEN 'yaml' WHEN 'scss' THEN 'scss' WHEN 'js' THEN 'javascript' ELSE 'unknown' END END AS language FROM q),
 l AS (SELECT *, CASE WHEN regexp_matches(lower(path), '(^|/)tests?/') OR contains(lower(path), '.test.') THEN 'test' WHEN language = 'markdown' THEN 'documentation' WHEN language IN ('yaml', 'dockerfile', 'terraform') THEN 'configuration' WHEN language = 'scss' THEN 'asset' ELSE 'source' END AS kind FROM k)"""
 
 
 def _files(t: Tables) -> DataFrame:
-    """``node, path, language, kind`` of made-up files, one for each part."""
-    pick = lambda some: F.get(F.array(*map(F.lit, some)), F.pmod("p_partkey", F.lit(len(some))).cast("int"))
-    name = F.when(F.col("p_partkey") % 13 == 0, "Dockerfile").otherwise(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit("."), pick(_SUFFIXES)))
-    p = t("part", "p_partkey").select(F.col("p_partkey").alias("node"), F.concat_ws("/", F.nullif(pick(_FOLDERS), F.lit("")), name).alias("path"))
+    """``node, path, language, kind`` of pages as files: hosts as folders, languages and zones as suffixes."""
+    part = lambda pattern: F.regexp_extract("url", pattern, 1)
+    host, lang = part("^https?://([^/]*)/"), part("^https?://[^/]*/([a-z]+)/")
+    folder = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(host, F.lit("."), F.lit("/")), "^blog/", "tests/"), "^www/", "src/"), "^m/", "frontend/")
+    name = F.when(F.col("url").endswith("/"), "index").when(F.contains("url", F.lit("?page")), "main").otherwise(F.concat(F.lit("f"), part("^https?://[^/]*/[a-z]+/([0-9]+)")))
+    english = F.when(host.endswith("org"), "py").when(host.endswith("com"), "ts").otherwise("tsx")
+    suffix = F.when(lang == "de", "md").when(lang == "es", "YAML").when(lang == "fr", F.when(F.col("url").startswith("https"), "scss").otherwise("test.js")).otherwise(english)
+    file = F.when(F.contains("url", F.lit("#")), "Dockerfile").otherwise(F.concat(name, F.lit("."), suffix))
+    p = t("pages", "page_id", "url").select(F.col("page_id").alias("node"), F.concat(folder, F.lit("/"), file).alias("path"))
     return p.withColumn("language", extract.language("path")).withColumn("kind", extract.artifact_type("path", F.col("language")))
 
 
 @query(f"""WITH {_FILES} SELECT node, language, kind,
 CASE WHEN starts_with(lower(path), 'frontend/') OR language = 'typescriptreact' THEN 'browser' WHEN contains(lower(path), 'worker') THEN 'worker' WHEN language = 'python' THEN 'python' WHEN language IN ('javascript', 'typescript') THEN 'node' WHEN language IN ('dockerfile', 'terraform', 'yaml') THEN 'deployment' ELSE 'static' END AS runtime,
-CASE WHEN kind = 'test' THEN 'testing' WHEN starts_with(path, 'frontend/') THEN 'frontend' WHEN contains(path, '/infra/') THEN 'infra' WHEN starts_with(path, 'docs/') THEN 'docs' WHEN starts_with(path, 'scripts/') THEN 'scripts' WHEN starts_with(path, 'src/') THEN 'core' ELSE lower(split_part(path, '/', 1)) END AS inferred_group FROM l""")
+CASE WHEN kind = 'test' THEN 'testing' WHEN starts_with(path, 'frontend/') THEN 'frontend' WHEN starts_with(path, 'src/') THEN split_part(path, '/', 2) ELSE lower(split_part(path, '/', 1)) END AS inferred_group FROM l""")
 def file_kinds(t: Tables) -> DataFrame:
     return _files(t).select("node", "language", "kind", extract.runtime("path", F.col("language")).alias("runtime"), extract.inferred_group("path", F.col("language")).alias("inferred_group"))
 
@@ -93,10 +97,16 @@ def symbol_chunks(t: Tables) -> DataFrame:
     return extract.symbol_chunks(d.withColumn("ends", F.sequence(F.lit(3), F.size(F.split("text", "\n")) + 3, F.lit(3))), "doc_id", "ends", max_chars=400)
 
 
-@query("SELECT p_partkey AS node, CASE p_partkey % 6 WHEN 0 THEN 'a/b/c' WHEN 1 THEN 'a/c' WHEN 2 THEN '/etc/x' WHEN 3 THEN '../x' WHEN 4 THEN 'a/../b' ELSE 'a/b' END AS path, p_partkey % 6 IN (0, 1, 5) AS safe FROM part")
+@query("""WITH r AS (SELECT page_id, replace(replace(replace(replace(replace(replace(url, 'https://', ''), 'http://', '/'), 'blog.', '..\\'), 'www.', './'), '/en/', '//en/./'), '#', '\\') AS raw FROM pages),
+n AS (SELECT page_id, regexp_replace(regexp_replace(replace(raw, '\\', '/'), '(^|/)(\\./)+', '\\1', 'g'), '/{2,}', '/', 'g') AS path FROM r)
+SELECT page_id, path, NOT regexp_matches(path, '(^/)|(^|/)\\.\\.(/|$)') AS safe, array_to_string(list_filter(string_split(CASE WHEN regexp_matches(path, '^/?\\.\\./') THEN 'docs/' || regexp_replace(path, '^/?\\.\\./', '') ELSE 'docs/api/' || path END, '/'), lambda y: y <> ''), '/') AS joined FROM n""".replace("\\\\", "\\"))
 def safe_paths(t: Tables) -> DataFrame:
-    raw = F.get(F.array(*map(F.lit, ("a\\b\\c", "./a/./c", "/etc/x", "..\\x", "a/../b", "a//b"))), F.pmod("p_partkey", F.lit(6)).cast("int"))
-    return t("part", "p_partkey").select(F.col("p_partkey").alias("node"), x.normalised_path(raw).alias("path"), x.safe_path(raw).alias("safe"))
+    """Addresses as paths: with and without a root, with steps upwards, empty steps and backslashes."""
+    raw = F.col("url")
+    for old, new in (("https://", ""), ("http://", "/"), ("blog.", "..\\"), ("www.", "./"), ("/en/", "//en/./"), ("#", "\\")):
+        raw = F.replace(raw, F.lit(old), F.lit(new))
+    path = x.normalised_path(raw)
+    return t("pages", "page_id", "url").select("page_id", path.alias("path"), x.safe_path(raw).alias("safe"), x.joined_path(F.lit("docs/api"), path).alias("joined"))
 
 
 @query(f"WITH {a.MODULES} SELECT DISTINCT path FROM m WHERE regexp_matches(path, '^brand_1/') AND NOT regexp_matches(path, '/m[^/]*[02468]\\.py$')")
@@ -109,10 +119,9 @@ def scoped_size_rule(t: Tables) -> DataFrame:
     return rules.above(a.modules(t), "max_module_loc", "large_module", "path", "loc", 600, scope=rules.in_scope(F.col("path"), ["brand_2*/**"])).select("subject", "measured")
 
 
-@query(f"WITH {_FILES} SELECT node, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') IN ('main', 'index') AS entry, kind = 'test' AS test FROM (SELECT node, kind, CASE node % 5 WHEN 0 THEN 'a/main.py' WHEN 1 THEN 'index.ts' WHEN 2 THEN 'b/mains.py' ELSE path END AS path FROM l)")
+@query(f"WITH {_FILES} SELECT node, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') IN ('main', 'index') AS entry, kind = 'test' AS test FROM l")
 def name_predicates(t: Tables) -> DataFrame:
-    named = F.when(F.col("node") % 5 == 0, "a/main.py").when(F.col("node") % 5 == 1, "index.ts").when(F.col("node") % 5 == 2, "b/mains.py").otherwise(F.col("path"))
-    return _files(t).select("node", rules.entry_point(named).alias("entry"), (F.col("kind") == "test").alias("test"))
+    return _files(t).select("node", rules.entry_point(F.col("path")).alias("entry"), (F.col("kind") == "test").alias("test"))
 
 
 @query(f"WITH {a.FINDINGS} SELECT node, status FROM f WHERE status IN ('new', 'acknowledged', 'accepted', 'planned', 'regressed', 'dismissed')")
@@ -383,6 +392,19 @@ def related_test_scores(t: Tables) -> DataFrame:
     return eng.related_tests(m.where("kind = 'source' AND node % 20 = 1").select("node"), m.where("node % 20 = 2").select("node"), "of the test_m12 run").select("path", F.col("score").cast("long").alias("score"))
 
 
+@query("""WITH f AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS stable_key, CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'error' WHEN 2 THEN 'warning' ELSE 'info' END AS severity, p_size / 50.0 AS confidence, unnest(list_distinct(string_split(p_brand || ' ' || p_type || ' ' || p_name, ' '))) AS path FROM part),
+c AS (SELECT path, bool_or(direct) AS direct FROM (SELECT p_brand AS path, p_size = 1 AS direct FROM part WHERE p_size <= 3 UNION ALL SELECT split_part(p_name, ' ', 1), false FROM part WHERE p_size <= 6) GROUP BY path),
+s AS (SELECT stable_key, severity, bool_or(direct) AS direct, count(*) AS relevant, max(confidence) AS confidence FROM f JOIN c USING (path) GROUP BY ALL)
+SELECT stable_key, severity, CAST(least(100, CASE severity WHEN 'critical' THEN 72 WHEN 'error' THEN 62 WHEN 'warning' THEN 42 ELSE 20 END + CASE WHEN direct THEN 18 ELSE 7 END + least(6, 2 * relevant) + round_even(4 * confidence, 0)) AS INTEGER) AS score, direct, relevant FROM s ORDER BY score DESC, stable_key LIMIT 12""")
+def scoped_findings(t: Tables) -> DataFrame:
+    """The twelve findings that matter most for a task: parts' words as what they affect, brands and first words as the task's modules."""
+    p = t("part", "p_partkey", "p_brand", "p_type", "p_name", "p_size")
+    severity = F.get(F.array(*map(F.lit, ("critical", "error", "warning", "info"))), F.pmod("p_size", F.lit(4)).cast("int"))
+    f = p.select(F.col("p_partkey").cast("string").alias("stable_key"), severity.alias("severity"), (F.col("p_size") / 50).alias("confidence"), F.split(F.concat_ws(" ", "p_brand", "p_type", "p_name"), " ").alias("affected"))
+    task = p.where("p_size <= 3").select(F.col("p_brand").alias("path"), (F.col("p_size") == 1).alias("primary")).unionByName(p.where("p_size <= 6").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("path"), F.lit(False).alias("primary")))
+    return ev.scoped_findings(f, task).select("stable_key", "severity", "score", "direct", "relevant")
+
+
 @query("""SELECT p_partkey AS node, CASE WHEN p_partkey % 11 = 0 OR p_size >= 45 OR p_partkey % 30 >= 25 THEN 'high' WHEN p_partkey % 4 > 0 OR p_partkey % 7 = 0 THEN 'medium' ELSE 'low' END AS impact,
 CASE WHEN p_partkey % 11 = 0 OR p_partkey % 30 >= 20 THEN 'high' WHEN p_partkey % 4 > 0 THEN 'medium' ELSE 'low' END AS scope FROM part""")
 def risk_labels(t: Tables) -> DataFrame:
@@ -493,20 +515,30 @@ def scalar_strings(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT p_partkey AS node, CASE p_partkey % 4 WHEN 0 THEN 'parse tree order' WHEN 1 THEN 'fix_up widgets widget' WHEN 2 THEN 'new a9' ELSE 'boss' END AS terms FROM part""")
+@query("""WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z][A-Za-z0-9_-]+'), lambda y: replace(lower(y), '-', '_')),
+  lambda y: length(y) > 1 AND y NOT IN ('add', 'and', 'change', 'create', 'for', 'from', 'implement', 'in', 'of', 'on', 'the', 'to', 'update', 'with')) AS a FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_concat(a, list_transform(list_filter(a, lambda y: ends_with(y, 's') AND length(y) > 4), lambda y: left(y, length(y) - 1))))) AS terms FROM w)
+SELECT doc_id, CAST(len(terms) AS INTEGER) AS n, sha256(array_to_string(terms, ' ')) AS digest FROM g""")
 def goal_words(t: Tables) -> DataFrame:
-    """Words of goals: camel case split, stop words gone, plurals also in singular."""
-    goals = ("Add the parseTree to order", "update fix-up of Widgets", "create a new a9 in the", "the boss")
-    goal = F.get(F.array(*map(F.lit, goals)), F.pmod("p_partkey", F.lit(4)).cast("int"))
-    return t("part", "p_partkey").select(F.col("p_partkey").alias("node"), F.array_join(x.goal_terms(goal), " ").alias("terms"))
+    """Words of whole texts read as goals: camel case split, stop words gone, plurals also in singular."""
+    terms = t("documents", "doc_id", "text").select("doc_id", F.array_sort(x.goal_terms("text")).alias("terms"))
+    return terms.select("doc_id", F.size("terms").alias("n"), F.sha2(F.array_join("terms", " "), 256).alias("digest"))
 
 
-@query("""SELECT p_partkey AS node, CASE p_partkey % 4 WHEN 0 THEN 'a.b.x' WHEN 1 THEN 'a.x' WHEN 2 THEN 'x.y' ELSE 'a.b' END AS target, CASE p_partkey % 3 WHEN 0 THEN 'src.core.m,core.m' WHEN 1 THEN 'm' ELSE 'pkg.app.v,app.v' END AS aliases, CASE p_partkey % 3 WHEN 0 THEN 'special' WHEN 1 THEN 'private' ELSE 'public' END AS shown FROM part""")
+@query("""WITH m AS (SELECT p_partkey AS node, p_size, string_split(p_name, ' ') AS w, replace(replace(replace(replace(lower(p_brand), '#', '.') || '.' || lower(p_type) || '.' || replace(p_name, ' ', '.'), 'brand.1', 'src'), 'economy', 'app'), 'small', 'lib') AS module FROM part),
+l AS (SELECT *, string_split(module, '.') AS p, repeat('_', p_size % 3) || w[2] || CASE WHEN p_size % 5 = 0 THEN '__' ELSE '' END AS name FROM m)
+SELECT node, CASE WHEN p_size % 4 = 0 THEN w[1] ELSE array_to_string(list_append(p[1 : len(p) - p_size % 4 + 1], w[1]), '.') END AS target,
+array_to_string(list_sort(list_distinct(list_filter([module, array_to_string(p[2:], '.'), CASE WHEN list_position(p, 'src') > 0 THEN array_to_string(p[list_position(p, 'src') + 1 :], '.') END, CASE WHEN list_position(p, 'app') > 0 THEN array_to_string(p[list_position(p, 'app') :], '.') END, CASE WHEN list_position(p, 'lib') > 0 THEN array_to_string(p[list_position(p, 'lib') :], '.') END], lambda y: y <> ''))), ',') AS aliases,
+CASE WHEN starts_with(name, '__') AND NOT ends_with(name, '__') THEN 'private' WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END AS shown FROM l""")
 def module_names(t: Tables) -> DataFrame:
-    """Relative imports from ``a.b``, aliases and visibility."""
-    k = F.col("p_partkey")
-    pick = lambda *some: F.get(F.array(*map(F.lit, some)), F.pmod("p_partkey", F.lit(len(some))).cast("int"))
-    return t("part", "p_partkey").select(k.alias("node"), x.relative_import(F.lit("a.b"), pick(".x", "..x", "x.y", ".")).alias("target"), F.array_join(x.module_aliases(pick("src.core.m", "m", "pkg.app.v")), ",").alias("aliases"), x.visibility(pick("__init__", "_own", "run")).alias("shown"))
+    """Parts as dotted modules: imports relative to them, their aliases, and the visibility of their names."""
+    module = F.concat_ws(".", F.replace(F.lower("p_brand"), F.lit("#"), F.lit(".")), F.lower("p_type"), F.replace("p_name", F.lit(" "), F.lit(".")))
+    for old, new in (("brand.1", "src"), ("economy", "app"), ("small", "lib")):
+        module = F.replace(module, F.lit(old), F.lit(new))
+    word, dots = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n)), F.repeat(F.lit("."), (F.col("p_size") % 4).cast("int"))
+    name = F.concat(F.repeat(F.lit("_"), (F.col("p_size") % 3).cast("int")), word(2), F.when(F.col("p_size") % 5 == 0, "__").otherwise(""))
+    p = t("part", "p_partkey", "p_brand", "p_type", "p_name", "p_size").select(F.col("p_partkey").alias("node"), module.alias("module"), F.concat(dots, word(1)).alias("raw"), name.alias("name"))
+    return p.select("node", x.relative_import("module", "raw").alias("target"), F.array_join(F.array_sort(x.module_aliases("module")), ",").alias("aliases"), x.visibility("name").alias("shown"))
 
 
 @query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m') AS month, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS INTEGER) AS age, o_orderdate < TIMESTAMP '1999-01-01' - INTERVAL 90 DAY AS old, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS moment,
@@ -535,12 +567,12 @@ def number_formats(t: Tables) -> DataFrame:
     return t("part", "p_partkey", "p_size").select(F.col("p_partkey").alias("node"), F.replace(ev.percent(F.col("p_size") / 8), F.lit(","), F.lit("")).alias("one"), ev.percent(F.col("p_size") / 100, 0).alias("none"), ev.thousands(F.col("p_partkey") * 1000).alias("large"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:12] AS a FROM documents)
-SELECT doc_id, array_to_string(list_sort(list_distinct(a)), ' ') AS sorted, array_to_string(a[2:4], ' ') AS middle, len(list_filter(a, lambda y: length(y) > 5)) AS n_long, CAST(list_sum(list_transform(a, lambda y: length(y))) AS BIGINT) AS chars, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 9 END AS code FROM documents JOIN w USING (doc_id)""")
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents)
+SELECT doc_id, sha256(array_to_string(list_sort(list_distinct(a)), ' ')) AS sorted, array_to_string(a[2:4], ' ') AS middle, len(list_filter(a, lambda y: length(y) > 5)) AS n_long, CAST(list_sum(list_transform(a, lambda y: length(y))) AS BIGINT) AS chars, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 9 END AS code FROM documents JOIN w USING (doc_id)""")
 def scalar_arrays(t: Tables) -> DataFrame:
-    d = t("documents", "doc_id", "text", "lang").withColumn("a", F.slice(F.split("text", " "), 1, 12))
+    d = t("documents", "doc_id", "text", "lang").withColumn("a", F.split("text", " "))
     return d.select(
-        "doc_id", F.array_join(F.array_sort(F.array_distinct("a")), " ").alias("sorted"), F.array_join(F.slice("a", 2, 3), " ").alias("middle"), F.size(F.filter("a", lambda w: F.char_length(w) > 5)).cast("long").alias("n_long"),
+        "doc_id", F.sha2(F.array_join(F.array_sort(F.array_distinct("a")), " "), 256).alias("sorted"), F.array_join(F.slice("a", 2, 3), " ").alias("middle"), F.size(F.filter("a", lambda w: F.char_length(w) > 5)).cast("long").alias("n_long"),
         F.aggregate("a", F.lit(0).cast("long"), lambda s, w: s + F.char_length(w)).alias("chars"), x.lookup("lang", {"en": 1, "de": 2}, 9).cast("int").alias("code"),
     )
 

@@ -97,17 +97,18 @@ def set_containment(t: Tables) -> DataFrame:
     return rel.contained_pairs(members, a.edges(t).select(F.col("source").alias("a"), F.col("target").alias("b")), "test", "user_id")
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS p FROM lineitem WHERE l_quantity > 45)
+@query("""WITH s AS (SELECT DISTINCT p_brand AS g, l_orderkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT x.g AS "left", y.g AS "right", count(*) AS shared FROM s x JOIN s y ON x.p = y.p AND x.g < y.g GROUP BY ALL""")
 def pair_collisions(t: Tables) -> DataFrame:
-    x = t("lineitem", "l_suppkey", "l_partkey", "l_quantity").where("l_quantity > 45")
-    return rel.collisions(x, "l_suppkey", "l_partkey").select("left", "right", "shared")
+    """Pairs of brands that share orders."""
+    x = t("lineitem", "l_orderkey", "l_partkey").join(t("part", "p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return rel.collisions(x.select("p_brand", "l_orderkey"), "p_brand", "l_orderkey").select("left", "right", "shared")
 
 
 @query("""WITH s AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS p FROM lineitem)
 SELECT x.g AS "left", y.g AS "right", count(*) AS shared FROM s x JOIN s y ON x.p = y.p AND x.g < y.g GROUP BY ALL""")
 def supplier_collisions(t: Tables) -> DataFrame:
-    """All pairs of suppliers that share parts, over the whole table; *pair_collisions* has its large orders only."""
+    """All pairs of suppliers that share parts, over the whole table."""
     return rel.collisions(t("lineitem", "l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").select("left", "right", "shared")
 
 

@@ -123,8 +123,8 @@ def queue_claim(t: Tables) -> DataFrame:
 
 @query(f"WITH {a.JOBS} SELECT kind, round(sum(cost), 2) AS spent, sum(cost) > 1000000 AS paused FROM j WHERE status = 'running' OR (status = 'completed' AND CAST(ts AS DATE) = DATE '1995-03-15') GROUP BY kind")
 def budget_guard(t: Tables) -> DataFrame:
-    j = a.jobs(t).where((F.col("status") == "running") | ((F.col("status") == "completed") & (F.to_date("at") == F.lit("1995-03-15").cast("date"))))
-    return j.groupBy("kind").agg(F.round(F.sum("cost"), 2).alias("spent"), (F.sum("cost") > 1000000).alias("paused"))
+    j = a.jobs(t).withColumnsRenamed({"cost": "actual_cost", "at": "completed_at"}).withColumn("estimated_cost", F.col("actual_cost"))
+    return queue.spent(j, "1995-03-15", "kind").select("kind", F.round("spent", 2).alias("spent"), (F.col("spent") > 1000000).alias("paused"))
 
 
 @query(f"WITH {a.JOBS} SELECT id, least(300.0, pow(2.0, attempts))::DOUBLE AS wait FROM j WHERE status = 'running'")
@@ -187,14 +187,14 @@ def streamed_windows(t: Tables) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT user_id * 10 + (day(ts) - 1) // 5 AS job, event_id AS id, epoch_ms(ts) AS at, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete' ELSE 'heartbeat' END AS kind FROM events),
-w AS (SELECT max(at) - 3600000 AS clock FROM l), n AS (SELECT job, at, kind, row_number() OVER (PARTITION BY job ORDER BY at, id) AS n FROM l, w WHERE at < clock UNION ALL SELECT job, min(clock), 'end', count(*) FILTER (WHERE at < clock) + 1 FROM l, w GROUP BY job),
-s AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS at, '' AS status, 0 AS attempt, CAST(0 AS BIGINT) AS lease, CAST(NULL AS BIGINT) AS lost_at, CAST(NULL AS INTEGER) AS lost_attempt, '' AS lost, false AS changed FROM l
-  UNION ALL SELECT job, n, at, CASE WHEN began THEN 'running' WHEN kind = 'complete' AND held = 'running' THEN 'completed' ELSE held END, attempt + CASE WHEN began THEN 1 ELSE 0 END,
-    CASE WHEN began OR (kind = 'heartbeat' AND held = 'running') THEN at + 28800000 ELSE lease END, CASE WHEN over THEN lease END, attempt, CASE WHEN over THEN held END, began OR (kind = 'complete' AND held = 'running')
-  FROM (SELECT *, kind = 'claim' AND held IN ('', 'retry') AS began FROM (SELECT n.job, n.n, n.at, n.kind, s.attempt, s.lease, s.status = 'running' AND s.lease < n.at AS over,
-    CASE WHEN s.status = 'running' AND s.lease < n.at THEN CASE WHEN s.attempt >= 3 THEN 'failed' ELSE 'retry' END ELSE s.status END AS held FROM s JOIN n ON n.job = s.job AND n.n = s.n + 1)))
-SELECT job, lost_at AS at, lost_attempt AS attempt, lost AS status FROM s WHERE lost_at IS NOT NULL UNION ALL SELECT job, at, attempt, status FROM s WHERE changed""")
+@query("""WITH RECURSIVE l AS (SELECT user_id * 10 + (day(ts) - 1) // 5 AS job, event_id AS id, epoch_us(ts) // 1000 AS m, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete' ELSE 'heartbeat' END AS kind FROM events),
+w AS (SELECT max(m) - 3600000 AS clock FROM l), n AS (SELECT job, m, kind, row_number() OVER (PARTITION BY job ORDER BY m, id) AS n FROM l, w WHERE m < clock UNION ALL SELECT job, min(clock), 'end', count(*) FILTER (WHERE m < clock) + 1 FROM l, w GROUP BY job),
+s AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS m, '' AS status, 0 AS attempt, CAST(0 AS BIGINT) AS lease, CAST(NULL AS BIGINT) AS lost_at, CAST(NULL AS INTEGER) AS lost_attempt, '' AS lost, false AS changed FROM l
+  UNION ALL SELECT job, n, m, CASE WHEN began THEN 'running' WHEN kind = 'complete' AND held = 'running' THEN 'completed' ELSE held END, attempt + CASE WHEN began THEN 1 ELSE 0 END,
+    CASE WHEN began OR (kind = 'heartbeat' AND held = 'running') THEN m + 28800000 ELSE lease END, CASE WHEN over THEN lease END, attempt, CASE WHEN over THEN held END, began OR (kind = 'complete' AND held = 'running')
+  FROM (SELECT *, kind = 'claim' AND held IN ('', 'retry') AS began FROM (SELECT n.job, n.n, n.m, n.kind, s.attempt, s.lease, s.status = 'running' AND s.lease < n.m AS over,
+    CASE WHEN s.status = 'running' AND s.lease < n.m THEN CASE WHEN s.attempt >= 3 THEN 'failed' ELSE 'retry' END ELSE s.status END AS held FROM s JOIN n ON n.job = s.job AND n.n = s.n + 1)))
+SELECT job, lost_at AS "at", lost_attempt AS attempt, lost AS status FROM s WHERE lost_at IS NOT NULL UNION ALL SELECT job, m, attempt, status FROM s WHERE changed""")
 def lease_changes(t: Tables) -> DataFrame:
     """Events as the log of five days' jobs of each user, streamed: leases of eight hours, three attempts."""
     kind = F.when(F.col("event_type").isin("signup", "view"), "claim").when(F.col("event_type") == "purchase", "complete").otherwise("heartbeat")
