@@ -79,3 +79,11 @@ def test_scores(spark):
         x.backoff_seconds(F.lit(3)).alias("b3"), x.backoff_seconds(F.lit(20)).alias("b20"), scores.adaptive_limit(F.lit(2001)).alias("limit"),
     ).first()
     assert tuple(row) == (100, 8, 100, None, 8.0, 300.0, 16)
+
+
+def test_visibility_and_joined_paths(spark):
+    names = {"__own": "private", "__init__": "protected", "_half": "protected", "run": "public", "__": "protected", "": "public"}
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", x.visibility("n").alias("v")).collect()
+    assert {r["n"]: r["v"] for r in got} == names
+    for folder, path, want in (("a/b", "../c", "a/c"), ("a", "../../../c", "c"), (".", "./x//y", "x/y"), ("a/b", ".", "a/b"), ("", "", "")):
+        assert value(spark, x.joined_path(F.lit(folder), F.lit(path))) == want

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import evidence as ev
 from lodestone.operators import extract, graph, paging, queue, rules, temporal, windows, scripts
 from lodestone.operators import relational as rel
 from lodestone.sources import files
@@ -85,6 +86,27 @@ def test_layers(spark):
     layers = spark.createDataFrame([(1, "low"), (2, "high")], "node long, layer string")
     allowed = spark.createDataFrame([("high", "low")], "from_layer string, to_layer string")
     assert pairs(graph.layer_faults(e, layers, allowed), "fault", "source") == [("not_allowed", 1), ("unclassified", 3)]
+    legacy = graph.session_graph(spark, [(1, 2), (1, 2), (2, 1), (8, 9)])
+    got = {(r["fault"], r["source"], r["target"]) for r in graph.layer_faults(e, layers, allowed, legacy).collect()}
+    assert got == {("stale", 2, "1"), ("stale", 8, "9"), ("unclassified", 3, None)}
+    named = spark.createDataFrame([(1, "a/x.py"), (2, "b/x.py"), (3, "c.md")], "node long, path string")
+    assert pairs(graph.layers_of(named, [("all", ["**/*.py"]), ("b", ["b/**"])]), "node", "layer") == [(1, "all"), (2, "all"), (2, "b")]
+
+
+def test_dependants_stop_when_there_are_enough(spark):
+    chain = graph.session_graph(spark, [(n + 1, n) for n in range(20)])
+    start = spark.createDataFrame([(0,)], "node long")
+    assert [tuple(r) for r in graph.dependants(chain, start, 3).select("node", "distance").collect()] == [(1, 1), (2, 2), (3, 3)]
+    assert graph.dependants(chain, start).count() == 20
+
+
+def test_findings_of_a_task(spark):
+    rows = [("a", "critical", 0.5, ["x", "y", "x"]), ("b", "info", None, ["z"]), ("c", "odd", 1.0, ["w"]), ("d", "critical", 1.0, ["elsewhere"]), ("e", "error", 0.0, [])]
+    f = spark.createDataFrame(rows, "stable_key string, severity string, confidence double, affected array<string>")
+    task = spark.createDataFrame([("x", True), ("y", False), ("z", False), ("w", False), ("x", False)], "path string, primary boolean")
+    got = [(r["stable_key"], r["score"], r["direct"], r["relevant"], len(r["reasons"])) for r in ev.scoped_findings(f, task).collect()]
+    assert got == [("a", 72 + 18 + 4 + 2, True, 2, 3), ("c", 20 + 7 + 2 + 4, False, 1, 2), ("b", 20 + 7 + 2, False, 1, 2)]
+    assert [r["stable_key"] for r in ev.scoped_findings(f, task, 1).collect()] == ["a"]
 
 
 # ---- relational and temporal
