@@ -54,17 +54,17 @@ class HistoryImport:
         for seq in range(now["done"], len(revisions)):
             if cancelled():
                 return self._set(status="cancelled")
-            self.step(seq, self.tree(revisions[seq]))
+            self.step(seq, lambda revision=revisions[seq]: self.tree(revision))
         self._set(status="finalizing")
         return self._set(status="completed")
 
-    def step(self, seq: int, tree: DataFrame) -> None:
-        """One frame from its files; one that is done already is left as it is."""
+    def step(self, seq: int, tree: Callable[[], DataFrame]) -> None:
+        """One frame from its files, which are asked for once the state says so; one that is done already is left as it is."""
         if seq < self.state()["done"]:
             return
         self._set(status="importing")
         try:
-            self._frame(seq, tree)
+            self._frame(seq, tree())
         except Exception as e:
             self._set(status="failed", error=f"{type(e).__name__}: {e}"[:500])
             raise
@@ -78,7 +78,7 @@ class HistoryImport:
         run again after a crash is a frame that is done, or is written over."""
 
         def each(batch: DataFrame, n: int) -> None:
-            self.step(n, files.analysable(batch, self.policy["include"], self.policy["ignore"]))
+            self.step(n, lambda: files.analysable(batch, self.policy["include"], self.policy["ignore"]))
 
         writer = files.tree_stream(self.spark, root).writeStream.foreachBatch(each).option("checkpointLocation", f"{self.folder}/watch")
         return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
