@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.storage import checkpointed, release
+from lodestone.storage import checkpointed, release, tasks
 
 HOPS = 2  # chains that a round goes down
 
@@ -40,20 +40,29 @@ def chains(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checkpointed(places), checkpointed(down)
 
 
-def _reached(start: DataFrame, down: DataFrame) -> DataFrame:
-    """``start (pair, side, chain, place)`` and all chains below."""
-    seen, ring = [checkpointed(start.distinct())], None
-    while ring is None or not ring.isEmpty():
-        ring, rings = seen[-1], []
+def _reached(chains: DataFrame, down: DataFrame) -> DataFrame:
+    """``start, chain, top, nexts``: for each of ``chains`` itself (``top`` is null) and all chains below, with the last place of
+    each and the chains right below it (those of one commit's parents)."""
+    nexts = down.groupBy("chain").agg(F.array_sort(F.collect_list("next")).alias("nexts"))
+    steps = checkpointed(down.join(nexts.select(F.col("chain").alias("next"), "nexts"), "next", "left").select("chain", "next", "top", "nexts"))
+    own = chains.distinct().join(nexts, "chain", "left").select(F.col("chain").alias("start"), "chain", F.lit(None).cast("long").alias("top"), "nexts")
+    seen = [checkpointed(own)]
+    ring, new = seen[0], seen[0].count()
+    rows = new
+    while new:
+        rings, n = [], tasks(chains.sparkSession, rows)
         for _ in range(HOPS):
-            ring = ring.join(down, "chain").select("pair", "side", F.col("next").alias("chain"), F.col("top").alias("place")).distinct()
+            ring = ring.select("start", "chain").join(steps, "chain").select("start", F.col("next").alias("chain"), "top", "nexts").repartition(n, "start", "chain").distinct()
             rings.append(ring)
         found, all_ = rings[0], seen[0]
         for r in rings[1:]:
             found = found.unionByName(r)
         for s in seen[1:]:
             all_ = all_.unionByName(s)
-        ring = checkpointed(found.distinct().join(all_, ["pair", "side", "chain"], "left_anti"))
+        found = found.repartition(n, "start", "chain").distinct()
+        ring = checkpointed(found.join(all_.select("start", "chain").repartition(n, "start", "chain"), ["start", "chain"], "left_anti"))
+        new = ring.count()
+        rows += new
         seen.append(ring)
     out = seen[0]
     for s in seen[1:]:
@@ -66,12 +75,20 @@ def merge_bases(pairs: DataFrame, parents: DataFrame) -> DataFrame:
     several after criss-cross merges.  A commit is an ancestor of itself.
 
     ``parents (sha, parent)`` has a row for each parent; roots have one with null or none.  Pairs of unknown commits have no base.  All ancestors of a
-    common ancestor are common, so a common chain is beaten exactly if another common one leads to it."""
+    common ancestor are common, so a common chain is beaten exactly if another common one leads to it.
+
+    What is below a chain is found once, however many pairs begin there.  Both sides of a pair are then dealt by pair, to as many
+    tasks as their rows need."""
     places, down = chains(parents)
     numbered = checkpointed(pairs.select("a", "b").distinct().select("a", "b", F.monotonically_increasing_id().alias("pair")))
-    side = lambda c: numbered.select("pair", F.col(c).alias("sha"), F.lit(c).alias("side")).join(places, "sha").select("pair", "side", "chain", "place")
-    seen = _reached(side("a").unionByName(side("b")), down)
-    common = checkpointed(seen.groupBy("pair", "chain").agg(F.count("*").alias("n"), F.min("place").alias("place")).where("n = 2").drop("n"))
-    beaten = common.join(down, "chain").select("pair", F.col("next").alias("chain")).distinct()
-    best = common.join(beaten, ["pair", "chain"], "left_anti").join(places, ["chain", "place"])
+    side = lambda c: numbered.select("pair", F.col(c).alias("sha"), F.lit(c).alias("side")).join(places, "sha").select("pair", "side", F.col("chain").alias("start"), "place")
+    ends = checkpointed(side("a").unionByName(side("b")))
+    below = _reached(ends.select(F.col("start").alias("chain")), down)
+    rows = ends.join(below.groupBy("start").agg(F.count("*").alias("n")), "start").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    reached = ends.join(below, "start").select("pair", "chain", F.coalesce("top", "place").alias("place"), F.when(F.col("side") == "a", F.col("nexts")).alias("nexts"))
+    common = reached.repartition(tasks(pairs.sparkSession, rows), "pair").groupBy("pair", "chain").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.max("nexts").alias("nexts")).where("n = 2")
+    mark = lambda chain, place, beaten: F.struct(chain.alias("chain"), place.cast("long").alias("place"), F.lit(beaten).alias("beaten"))
+    marks = F.concat(F.array(mark(F.col("chain"), F.col("place"), False)), F.transform(F.coalesce("nexts", F.array().cast(below.schema["nexts"].dataType)), lambda c: mark(c, F.lit(None), True)))
+    marked = common.select("pair", F.explode(marks).alias("m")).select("pair", "m.chain", "m.place", "m.beaten")
+    best = marked.groupBy("pair", "chain").agg(F.min("place").alias("place"), F.bool_or("beaten").alias("beaten")).where("NOT beaten").join(places, ["chain", "place"])
     return numbered.join(best, "pair").select("a", "b", F.col("sha").alias("base"))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TASK_ROWS = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of checkpoints: the cluster's own.  Where none is set, local mode takes a temporary one; a cluster
@@ -34,6 +36,11 @@ def release(*frames: DataFrame) -> None:
             drop_path(df.sparkSession, file.get())
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Into how many partitions so many rows go, that a task's memory doesn't grow with them."""
+    return max(spark.sparkContext.defaultParallelism, -(-int(rows) // TASK_ROWS))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

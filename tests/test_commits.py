@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from lodestone import storage
 from lodestone.operators import commits
 
 
@@ -63,3 +64,23 @@ def test_criss_cross_and_lines(spark):
     assert commits.merge_bases(spark.createDataFrame([], "a long, b long"), df).count() == 0
     with pytest.raises(ValueError):
         commits.chains(rows(spark, {0: [], 1: [3], 2: [1], 3: [2]}))
+
+
+def test_below_a_commit_once_for_all_its_pairs(spark, monkeypatch):
+    """Many pairs of few commits: what is below is found by commit, not by pair; and rows are dealt to more tasks as they grow."""
+    parents = history(3)
+    df = rows(spark, parents)
+    places, down = commits.chains(df)
+    ends = spark.createDataFrame([(n,) for n in (50, 59, 59, 50)], "sha long").join(places, "sha").select("chain")
+    below = commits._reached(ends, down)
+    assert below.count() == below.select("start", "chain").distinct().count() and below.select("start").distinct().count() <= 2
+    monkeypatch.setattr(storage, "TASK_ROWS", 50)
+    dealt = []
+    real = commits.tasks
+    monkeypatch.setattr(commits, "tasks", lambda s, n: dealt.append((n, real(s, n))) or dealt[-1][1])
+    pairs = [(a, b) for a in (40, 50, 59) for b in range(60)]
+    got: dict = {}
+    for r in commits.merge_bases(spark.createDataFrame(pairs, "a long, b long"), df).collect():
+        got.setdefault((r["a"], r["b"]), set()).add(r["base"])
+    assert got == {p: b for p in pairs if (b := brute(parents, *p))}
+    assert dealt[-1][1] == max(spark.sparkContext.defaultParallelism, -(-dealt[-1][0] // 50)) > 10
