@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.storage import checkpointed, tasks
+
 # ---- integrity
 
 
@@ -196,13 +198,22 @@ def collisions(members: DataFrame, group: str, member: str, sample: int = 10, bl
     """Pairs of groups that share members: how many, and the first few by name.
 
     The groups of a very common member are dealt to blocks of about ``block``, and each pair of blocks is joined by
-    itself, so no task pairs all groups of one member."""
-    own = members.select(F.col(group).alias("left"), member).where(F.col("left").isNotNull()).distinct()
-    common = own.groupBy(member).agg(F.ceil(F.count("*") / block).alias("_blocks")).where("_blocks > 1")
+    itself, so no task pairs all groups of one member.  Members, and then the pairs that they make, are counted, and go to as many
+    tasks as that needs."""
+    spark, rows = members.sparkSession, members.select(F.col(group).alias("left"), member).where(F.col("left").isNotNull())
+    own = checkpointed(rows.repartition(tasks(spark, rows.count()), "left", member).distinct())
+    sizes = own.where(F.col(member).isNotNull()).groupBy(member).agg(F.count("*").alias("n"))
+    made = sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+    groups = own.agg(F.count_distinct("left")).first()[0]
+    common = sizes.select(member, F.ceil(F.col("n") / block).alias("_blocks")).where("_blocks > 1")
     dealt = own.join(common, member, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_block", F.pmod(F.xxhash64("left"), "_blocks"))
     a = dealt.select("left", member, F.col("_block").alias("_i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_j"))
     b = dealt.select(F.col("left").alias("right"), member, F.explode(F.sequence(F.lit(0).cast("long"), "_block")).alias("_i"), F.col("_block").alias("_j"))
+    a, b = (x.repartition(tasks(spark, made), member, "_i", "_j") for x in (a, b))
     both = a.join(b, [member, "_i", "_j"]).where("_i < _j OR left < right").select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), member)
+    n = tasks(spark, min(made, groups * (groups - 1) / 2))
+    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):  # else fewer pairs than that: better summed before they are dealt
+        both = both.repartition(n, "left", "right")
     return both.groupBy("left", "right").agg(F.count("*").alias("shared"), F.slice(F.array_sort(F.collect_set(member)), 1, sample).alias("first"))
 
 
