@@ -15,6 +15,9 @@ from lodestone.functions.exprs import glob_any
 from lodestone.functions.scores import scoped_finding
 from lodestone.operators.graph import ancestors
 from lodestone.operators.relational import symmetric_neighbours
+from lodestone.storage import checkpointed, tasks
+
+SPREAD = 8  # parts of one module's rows
 
 # ---- evidence of a module
 
@@ -26,11 +29,22 @@ def top_rows(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
 
 
 def evidence(modules: DataFrame, symbols: DataFrame, edges: DataFrame, changes: DataFrame, symbol_limit: int = 250, edge_limit: int = 250, change_limit: int = 8) -> DataFrame:
-    """``modules`` with arrays of their first symbols, relations and latest changes."""
-    s = top_rows(symbols, "node", symbol_limit, F.col("start_line"), F.col("name")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start_line", "name", "kind"))).alias("symbols"))
-    near = symmetric_neighbours(edges.where("target is not null"))
-    r = top_rows(near, "node", edge_limit, F.col("direction"), F.col("neighbour")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("direction", "neighbour"))).alias("relations"))
-    c = top_rows(changes, "node", change_limit, F.col("at").desc(), F.col("sha")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "sha")), asc=False).alias("latest"))
+    """``modules`` with arrays of their first symbols, relations and latest changes.
+
+    Only what belongs to a module is sorted.  A module's rows are dealt to SPREAD parts and, part by part, to as many tasks as
+    all rows need; the first of each part are enough to find the module's first."""
+    spark, own = modules.sparkSession, modules.select("node").distinct()
+    near = checkpointed(symmetric_neighbours(edges.where("target is not null")).join(own, "node", "left_semi"))
+    n = tasks(spark, max(symbols.count(), near.count(), changes.count()))
+
+    def first(df: DataFrame, limit: int, order: list[Column], *columns: str) -> DataFrame:
+        dealt = df.select("node", *columns).withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(SPREAD))).repartition(n, "node", "_part")
+        of_part = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("node", "_part").orderBy(*order))).where(F.col("_n") <= limit).drop("_n", "_part")
+        return top_rows(of_part.join(own, "node", "left_semi").repartition(n, "node"), "node", limit, *order).groupBy("node")
+
+    s = first(symbols, symbol_limit, [F.col("start_line"), F.col("name")], "start_line", "name", "kind").agg(F.array_sort(F.collect_list(F.struct("start_line", "name", "kind"))).alias("symbols"))
+    r = first(near, edge_limit, [F.col("direction"), F.col("neighbour")], "direction", "neighbour").agg(F.array_sort(F.collect_list(F.struct("direction", "neighbour"))).alias("relations"))
+    c = first(changes, change_limit, [F.col("at").desc(), F.col("sha")], "at", "sha").agg(F.sort_array(F.collect_list(F.struct("at", "sha")), asc=False).alias("latest"))
     return modules.join(s, "node", "left").join(r, "node", "left").join(c, "node", "left")
 
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lodestone import storage
 from lodestone.operators import evidence as ev
 
 
@@ -21,6 +22,22 @@ def test_evidence_is_bounded(spark):
     assert [(r["summary"], r["deterministic_summary"]) for r in ev.overlaid(modules, claims).orderBy("node").collect()] == [("best", "a"), ("b", "b")]
 
 
+def test_evidence_of_a_module_with_many_rows(spark, monkeypatch):
+    """Its rows are dealt to several tasks; what belongs to no module is neither sorted nor counted."""
+    monkeypatch.setattr(storage, "TASK_ROWS", 20)
+    dealt = []
+    monkeypatch.setattr(ev, "tasks", lambda s, n: dealt.append((n, storage.tasks(s, n))) or dealt[-1][1])
+    modules = spark.createDataFrame([(1, "a"), (2, "b")], "node long, summary string")
+    symbols = spark.createDataFrame([(1, n % 7, f"s{n:03}", "function") for n in range(200)], "node long, start_line int, name string, kind string")
+    edges = spark.createDataFrame([(1, 1000 + n) for n in range(150)] + [(5, 6 + n) for n in range(900)], "source long, target long")
+    changes = spark.createDataFrame([(1, f"2024-{n % 12 + 1:02}", f"c{n:03}") for n in range(100)], "node long, at string, sha string")
+    row = ev.evidence(modules, symbols, edges, changes, 9, 5, 4).where("node = 1").first()
+    assert [(s["start_line"], s["name"]) for s in row["symbols"]] == sorted((n % 7, f"s{n:03}") for n in range(200))[:9]
+    assert [tuple(r) for r in row["relations"]] == [("uses", 1000 + n) for n in range(5)]
+    assert sorted(c["sha"] for c in row["latest"]) == sorted(f"c{n:03}" for n in range(100) if n % 12 == 11)[:4]
+    assert dealt == [(200, 10)]
+
+
 def test_contexts_and_members(spark):
     f = spark.createDataFrame([("k", ["b", "a"])], "stable_key string, affected array<string>")
     path = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
