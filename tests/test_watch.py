@@ -47,6 +47,29 @@ def test_leases_do_not_depend_on_batches(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_timers_do_not_grow_with_jobs(spark, tmp_path):
+    """Jobs share the timers and what waits in their bucket."""
+    leases.use_state_store(spark)
+    claims = spark.range(4000).select(F.col("id").alias("job"), "id", F.timestamp_millis(F.col("id") + HOUR).alias("at"), F.lit("claim").alias("kind"))
+    claims.union(claims.limit(1).withColumn("at", F.timestamp_millis(F.lit(100 * HOUR)))).coalesce(1).write.parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema(LOG).parquet(str(tmp_path / "log"))
+    changes = leases.lease_changes(log, HOUR, 1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    changes.awaitTermination()
+    assert 0 < sum(state["customMetrics"].get("numRegisteredTimers", 0) for p in changes.recentProgress for state in p["stateOperators"]) < 2000
+    got = spark.read.schema(leases.CHANGES).parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == sorted(c for n in range(4000) for c in ((n, n + HOUR, 1, "running"), (n, n + 2 * HOUR, 1, "failed")))
+
+
+def test_entries_without_job_moment_or_id(spark, tmp_path):
+    """Without a job or a moment they do nothing, but the first count for the clock; without an id they come last at their moment."""
+    leases.use_state_store(spark)
+    big = 2**53
+    rows = [(None, 1, 100 * HOUR, "claim"), (7, 1, None, "claim"), (8, None, HOUR, "complete"), (8, big + 1, HOUR, "complete"), (8, big + 2, HOUR, "claim"), (9, big, HOUR, "complete"), (9, big + 1, HOUR, "claim")]
+    spark.createDataFrame(rows, "job long, id long, at long, kind string").withColumn("at", F.timestamp_millis("at")).coalesce(1).write.parquet(str(tmp_path / "log"))
+    got = streams.run_once(leases.lease_changes(spark.readStream.schema(LOG).parquet(str(tmp_path / "log")), HOUR, 1, buckets=1), "out", str(tmp_path / "cp"), "append")
+    assert sorted(map(tuple, got.collect())) == [(8, HOUR, 1, "completed"), (8, HOUR, 1, "running"), (9, HOUR, 1, "running"), (9, 2 * HOUR, 1, "failed")]
+
+
 def test_silence_gives_a_job_back_by_the_clock(spark, tmp_path):
     leases.use_state_store(spark)
     spark.createDataFrame([(1, 1, 0, "claim"), (2, 1, 0, "claim"), (2, 2, 1, "complete")], "job long, id long, at long, kind string").withColumn("at", F.timestamp_millis("at")).coalesce(1).write.parquet(str(tmp_path / "log"))
