@@ -13,7 +13,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from lodestone.operators.pairs import PAIRS, count_pairs
 from lodestone.storage import checkpointed, tasks
 
 # ---- integrity
@@ -217,6 +219,34 @@ def collisions(members: DataFrame, group: str, member: str, sample: int = 10, bl
     return both.groupBy("left", "right").agg(F.count("*").alias("shared"), F.slice(F.array_sort(F.collect_set(member)), 1, sample).alias("first"))
 
 
+def collision_counts(members: DataFrame, group: str, member: str, block: int = 512, pairs: int = PAIRS) -> DataFrame:
+    """``left, right, shared`` of ``collisions``, where nobody needs the members' names: pairs are shuffled as packed lists.
+
+    That takes integer groups no further than 2^31 apart; others are counted by ``collisions``.  A member's groups become arrays of about
+    ``block`` at most, so those of a very common one lie in many."""
+    spark, kind = members.sparkSession, members.schema[group].dataType
+    rows = members.select(F.col(group).alias("left"), F.col(member).alias("_member")).where("left IS NOT NULL AND _member IS NOT NULL")
+    n, low, high = rows.agg(F.count("*"), F.min("left"), F.max("left")).first()
+    if not isinstance(kind, IntegralType) or (n and high - low >= 2**31 - 1):
+        return collisions(members, group, member, block=block).select("left", "right", "shared")
+    low, high = low or 0, high or 0
+    own = checkpointed(rows.select((F.col("left") - low).cast("int").alias("_id"), "_member").repartition(tasks(spark, n), "_id", "_member").distinct())
+    sizes = own.groupBy("_member").agg(F.count("*").alias("n"))
+    made, most = sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    parts = max(tasks(spark, n), -(-int(made) // pairs))
+    if most <= block:
+        lists = own.repartition(parts, "_member").groupBy("_member").agg(F.collect_list("_id").alias("a")).select("a", F.expr("CAST(array() AS array<int>)").alias("b"), F.lit(True).alias("within"))
+    else:
+        common = sizes.where(F.col("n") > block).select("_member", F.ceil(F.col("n") / block).alias("_blocks"))
+        dealt = own.join(common, "_member", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_block", F.pmod(F.xxhash64("_id"), "_blocks"))
+        dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        cells = dealt.select("_member", "_id", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), (F.col("_block") <= F.col("_other")).alias("_first"))
+        held = [F.collect_list(F.when(side, F.col("_id"))).alias(name) for name, side in (("a", F.col("_first")), ("b", ~F.col("_first")))]
+        lists = cells.repartition(parts, "_member", "_i", "_j").groupBy("_member", "_i", "_j").agg(*held).withColumn("within", F.expr("_i = _j"))
+    counted = count_pairs(lists, high - low, int(made), pairs)
+    return counted.select((F.col("x") + low).cast(kind).alias("left"), (F.col("y") + low).cast(kind).alias("right"), F.col("n").alias("shared"))
+
+
 def symmetric_neighbours(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Each edge seen from both ends: ``node, neighbour, direction``."""
     uses = edges.select(F.col(source).alias("node"), F.col(target).alias("neighbour"), F.lit("uses").alias("direction"))
